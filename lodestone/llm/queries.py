@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, sharding, storage
+from lodestone.llm import minhash, mpeg, packing, rans, sharding, storage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, ties=("doc_id", "piece"))
 
 
+def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.new_path(spark)
+    rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return rans.read_tokens(spark, path, keep_ids=False)
+
+
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.digests(mpeg.store_texts(_table(spark, sf_dir, "documents")))
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op8_hilbert_sharding)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_rans_tokens, op7_mpeg_audio, op8_hilbert_sharding, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}

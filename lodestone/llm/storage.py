@@ -23,14 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder; removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back; removed when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

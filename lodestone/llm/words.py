@@ -52,23 +52,34 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def span_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the code points in each span, the same wherever the span lies."""
-    up, down = _powers()
-    if len(cp) >= len(up):  # one span longer than any chunk: hash it in pieces of its own
-        return np.array([_long_hash(cp[s:e]) for s, e in zip(start, end, strict=True)], np.uint64)
+def _values(cp: np.ndarray) -> np.ndarray:
     v = cp.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
     v = (v ^ (v << np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9)
-    v ^= v >> np.uint64(29)
-    total = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(v * up[: len(cp)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-
+    return v ^ (v >> np.uint64(29))
 
-def _long_hash(cp: np.ndarray) -> int:
-    import hashlib
 
-    return int.from_bytes(hashlib.blake2b(cp.tobytes(), digest_size=8).digest(), "little")
+def span_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the code points in each span, the same wherever the span lies; spans ascend."""
+    up, down = _powers()
+    out, i, limit = np.empty(len(start), np.uint64), 0, len(up) - 1
+    while i < len(start):
+        base = int(start[i])
+        if end[i] - base > limit:  # a span longer than the tables of powers: in pieces
+            whole, step = 0, int(up[1])
+            for at in range(base, int(end[i]), limit):
+                v = _values(cp[at : min(at + limit, int(end[i]))])
+                whole += int((v * up[: len(v)]).sum()) * pow(step, at - base, 1 << 64)
+            out[i] = whole % (1 << 64)
+            i += 1
+            continue
+        j = int(np.searchsorted(end, base + limit, side="right"))
+        s, e = start[i:j] - base, end[i:j] - base
+        v = _values(cp[base : base + int(e[-1])])
+        total = np.zeros(len(v) + 1, np.uint64)
+        np.cumsum(v * up[: len(v)], out=total[1:])
+        out[i:j] = (total[e] - total[s]) * down[s]
+        i = j
+    return mix(out + (end - start).astype(np.uint64))
 
 
 def pretokens(cp: np.ndarray, style: str) -> tuple[np.ndarray, np.ndarray]:
