@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import minhash, mpeg, packing, rans, sharding, storage
+from lodestone.llm import minhash, mpeg, packing, pii, rans, sharding, storage, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, ties=("doc_id", "piece"))
 
 
+def op2_projection_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark)
     rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return rans.read_tokens(spark, path, keep_ids=False)
 
 
+def op6_candidate_boosting_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digests(mpeg.store_texts(_table(spark, sf_dir, "documents")))
 
@@ -38,6 +46,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_rans_tokens, op7_mpeg_audio, op8_hilbert_sharding, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op4_rans_tokens, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
