@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import minhash, mpeg, packing, pii, rans, sharding, storage, vectors
+from lodestone.llm import licences, minhash, mpeg, packing, pii, quality, rans, sharding, storage, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path, keep_ids=False)
 
 
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = model.score(docs)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_candidate_boosting_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
@@ -42,10 +49,14 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op4_rans_tokens, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op4_rans_tokens, op5_random_indexing_quality, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op9_licence_dice, op10_minhash_near_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_licence_dice": licences.oracle()}
