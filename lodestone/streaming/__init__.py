@@ -1 +1 @@
-"""Lodestone."""
+"""Nothing streams here: repeated runs skip what is there (see operators.fetch.not_yet_fetched)."""
