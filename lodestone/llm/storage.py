@@ -1,55 +1,13 @@
-"""Tables cut off from their lineage, and ranks over whole tables."""
+"""Ranks over whole tables, long literals and free names; and the settled tables of the rest of the package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOW = (1 << 33) - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession) -> str:
-    """A folder of its own in the shared folder; removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+from lodestone.sources.storage import exists, forget, new_path, settle, shared_dir
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back; removed when the session's JVM ends."""
-    spark = df.sparkSession
-    path = new_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
-
-
-def forget(*tables: DataFrame | None) -> None:
-    """Delete settled tables that nothing will read again."""
-    for df in tables:
-        path = getattr(df, "_settled_at", None)
-        if path:
-            sc = df.sparkSession.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+_LOW = (1 << 33) - 1
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -82,3 +40,6 @@ def ranked(df: DataFrame, *keys: str, name: str = "rank") -> tuple[DataFrame, in
         total += counts.get(p, 0)
     at = F.element_at(long_array(starts), (part + 1).cast("int")) + F.col(pos).bitwiseAND(F.lit(_LOW))
     return fixed.withColumn(name, at).drop(pos), total
+
+
+__all__ = ["exists", "forget", "free_name", "long_array", "new_path", "ranked", "settle", "shared_dir"]
