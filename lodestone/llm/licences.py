@@ -79,7 +79,7 @@ def _pairs(words: Column) -> Column:
 
 
 def found(text: Column, templates=None, least: float = LEAST) -> Column:
-    """array<struct<licence, dice>>: passages' coefficients with templates, where at least least.
+    """array<struct<licence, dice>>: each passage's closest templates, where their coefficient is at least least.
 
     Passages are the text's lines, and what stands between blank lines.
     """
@@ -94,7 +94,10 @@ def found(text: Column, templates=None, least: float = LEAST) -> Column:
         fit = F.filter(known, lambda t: (F.size(s) >= t["lo"]) & (F.size(s) <= t["hi"]))
         return F.transform(fit, lambda t: F.struct(t["licence"].alias("licence"), (F.size(F.array_intersect(s, t["grams"])) * F.lit(2.0) / (F.size(s) + F.size(t["grams"]))).alias("dice")))
 
-    every = F.filter(F.flatten(F.transform(sets, against)), lambda x: x["dice"] >= least)
+    def closest(near: Column) -> Column:
+        return F.filter(near, lambda x: (x["dice"] >= least) & (x["dice"] == F.array_max(F.transform(near, lambda y: y["dice"]))))
+
+    every = F.flatten(F.transform(F.transform(sets, against), closest))
     return F.when(hit(F.lower(text)), every).otherwise(F.array().cast("array<struct<licence:string,dice:double>>"))
 
 
@@ -124,10 +127,11 @@ def oracle(least: float = LEAST) -> str:
     return f"""
 WITH t AS (SELECT k, licence, {grams('w')} AS g FROM (SELECT k, licence, {norm('txt')} AS w FROM (VALUES {rows}) v(k, licence, txt))),
 p AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)) || regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS p FROM documents),
-s AS (SELECT doc_id, {grams('w')} AS g FROM (SELECT doc_id, {norm('p')} AS w FROM p)),
-d AS (SELECT doc_id, licence, max(2.0 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g))) AS dice
+s AS (SELECT doc_id, p, {grams('w')} AS g FROM (SELECT doc_id, p, {norm('p')} AS w FROM p)),
+c AS (SELECT doc_id, p, licence, max(2.0 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g))) AS dice
       FROM s, t WHERE 2.0 * least(len(s.g), len(t.g)) / (len(s.g) + len(t.g)) >= {least} AND list_has_any(s.g, t.g)
         AND 2.0 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) >= {least} GROUP BY ALL),
+d AS (SELECT doc_id, licence, max(dice) AS dice FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, p) AS most FROM c) WHERE dice = most GROUP BY ALL),
 a AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences, count(*) AS n_licences, round(max(dice), 6) AS dice FROM d GROUP BY doc_id)
 SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_licences, 0) AS n_licences, coalesce(dice, 0.0) AS dice
 FROM documents LEFT JOIN a USING (doc_id)"""

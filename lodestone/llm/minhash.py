@@ -219,3 +219,18 @@ def _apart(rows: DataFrame, percent: int) -> DataFrame:
     y = rows.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     met = x.join(y, "key").where((F.col("root") != F.col("root2")) & ((F.col("id") < F.col("id2")) | (F.col("root2") == F.col("main")))).where(_fit("n", "n2", percent))
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps, all columns: one document of each group.
+
+    Of several rows with one id, one stays. Rows without id, which nothing can name, stay all.
+    """
+    id_name = storage.free_name(docs, "kept_id")
+    found = storage.settle(near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_name)).agg(F.count("*").alias("c")))
+    mine = docs[id_col].cast("long")
+    once, often = found.where("c = 1").select(id_name), found.where("c > 1").select(id_name)
+    out = docs.join(once, mine == F.col(id_name), "left_semi")
+    if not often.isEmpty():
+        out = out.unionByName(docs.join(often, mine == F.col(id_name), "left_semi").dropDuplicates([id_col]))
+    return out.unionByName(docs.where(docs[id_col].isNull()))
