@@ -1,7 +1,45 @@
-"""A corpus from raw documents: quality, near-duplicates, personal data, packing."""
+"""A corpus from raw documents: quality, near-duplicates, personal data, packing.
+
+Every stage works on all that the one before it kept. Stages write nothing but what their
+operators settle in the shared folder; run() writes each stage's rows there and reads them back.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm import minhash, packing, pii, quality, storage
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is at least 0.5; the model learns from the labels of documents that are still there."""
+    return quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).keep(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word shingle sets with a similarity of 0.8 or more: the one with the smallest id."""
+    return minhash.deduplicate(docs)
+
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with marks in place of personal data."""
+    return pii.redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 ids: doc_id, piece, start, length, ids, sequence_id, offset."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_classifier", quality_classifier), ("minhash_near_dedup", minhash_near_dedup), ("personal_data", personal_data), ("best_fit_packing", best_fit_packing)]
+
+#: None of the four stages can be said in SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = storage.settle(stage(spark, docs, sf_dir))
+    return docs
