@@ -5,10 +5,10 @@ table (i, j) is the pair (A_i, B_j), so that m + m half keys serve m * m tables.
 similarity s and r minhashes a half key, a pair meets with (1 - (1 - s^r)^m)^2; the defaults give
 0.9996 at 0.8 and nearly 1 at 0.85.
 
-Work is never dealt by a group of copies as a whole: documents with equal sets are one class,
-members of a table's bucket are compared with a leader, and only what the leader leaves apart goes
-on. Buckets of up to SMALL classes are compared pair by pair; in larger ones every class that is
-not yet joined with all others of its bucket is compared with those it is apart from.
+Work is never dealt by a group of copies as a whole, and buckets are not spread into pairs.
+Documents with equal sets are one class; members of a table's bucket are compared with a leader,
+twice, with the components found so far left out. What then still shares a bucket but no
+component is settled exactly, by the shingles that few of these documents have.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from lodestone.llm import storage
 from lodestone.llm.graph import components
 from lodestone.llm.words import CHUNK, mix, points, span_hashes
 
-HALVES, ROWS, SMALL, ROUNDS = 8, 2, 16, 2
+HALVES, ROWS = 8, 2
 
 
 def _multiplier(seed: int, n: int) -> np.ndarray:
@@ -178,21 +178,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
     pairs = cand.where("id != leader").where(_fit("n", "leader_n", percent)).groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
     told = _confirm(pairs, docs, words, percent, 100)
     roots = components(told.where("linked").select("a", "b").unionByName(bridges))
-    for turn in range(ROUNDS + 1):
-        own = cand.select("key", "id", "n", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        own = storage.settle(own)
-        apart = own.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.lit(turn))).alias("l")).where("r1 < r2").select("key", "l")
+    for exact in (False, True):
+        own = storage.settle(cand.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        apart = own.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by(F.struct("id", "n", "root"), F.xxhash64("id")).alias("l")).where("r1 < r2").select("key", "l")
         left = storage.settle(own.join(apart, "key"))
         storage.forget(own)
         if left.isEmpty():
             break
-        large = left.where(F.col("size") > SMALL)
-        if turn < ROUNDS:
-            pairs = large.where("root != l.root").where(_fit("n", "l.n", percent)).select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+        if exact:
+            pairs = _rare_pairs(left.select("id", "root").distinct(), docs, words, percent)
         else:
-            pairs = _apart(large, percent)
-        if turn == 0:
-            pairs = pairs.unionByName(_apart(left.where(F.col("size") <= SMALL), percent))
+            pairs = left.where("root != l.root").where(_fit("n", "l.n", percent)).select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
         pairs = storage.settle(pairs.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             told = told.unionByName(_confirm(pairs, docs, words, percent, 100))
@@ -209,16 +205,37 @@ def _fit(x: str, y: str, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _apart(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that no links join yet and whose sizes fit.
+def _rare_pairs(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs of ids (with their roots) that can be linked, whose roots differ.
 
-    One side leaves out the bucket's most common component: two of its members need no pair.
+    Exact: with shingles ordered by how few of these documents have them, sets that are similar
+    enough share one among their first n - ceil(n * percent / 100) + 1, at places that leave room
+    for the overlap they need. What only a few common passages join has its own rare shingles
+    in front, and so meets nobody.
     """
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("main"))
-    x = rows.join(sizes, "key").where("root != main").select("key", "id", "n", "root", "main")
-    y = rows.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    met = x.join(y, "key").where((F.col("root") != F.col("root2")) & ((F.col("id") < F.col("id2")) | (F.col("root2") == F.col("main")))).where(_fit("n", "n2", percent))
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+    def sets(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                got = batch.slice(at, 256)
+                h, bounds = distinct_sets(got.column(1).to_pylist(), words)
+                n = np.diff(bounds)
+                uid = np.array([mix(h[s:e]).sum(dtype=np.uint64) for s, e in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
+                yield pa.RecordBatch.from_arrays([got.column(0), pa.array(uid.view(np.int64)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "uid", "n", "h"])
+
+    texts = docs.join(ids.select("id"), "id", "left_semi").select("id", "text")
+    tokens = storage.settle(texts.mapInArrow(sets, "id long, uid long, n long, h array<long>").where("n > 0").select("id", "uid", "n", F.explode("h").alias("h")))
+    shared = storage.settle(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    lists = tokens.join(shared, "h").groupBy("id", "uid", "n").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "h")))).alias("x"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    front = lists.select("id", "n", F.posexplode("x").alias("k", "t"), (F.col("n") - F.size("x")).alias("alone"), first.alias("first")).select(F.col("t.h").alias("h"), "id", "n", (F.col("k") + F.col("alone")).alias("at"), "first").where("at < first")
+    front = storage.settle(front.join(ids, "id").select("h", "id", "n", "at", "root"))
+    other = front.select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "root")))
+    room = (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
+    met = front.join(other, "h").where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & room & _fit("n", "n2", percent))
+    out = storage.settle(met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
+    storage.forget(tokens, shared, front)
+    return out
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
