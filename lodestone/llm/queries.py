@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import licences, minhash, mpeg, packing, pii, quality, rans, sharding, storage, vectors
+from lodestone.llm import bpe, licences, minhash, mpeg, packing, pii, quality, rans, sharding, storage, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op2_projection_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    ids = F.col("ids")
+    return coded.select("doc_id", bpe.count(ids).alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids, path), 256).alias("decoded_sha256"))
+
+
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark)
     rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,6 +64,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op4_rans_tokens, op5_random_indexing_quality, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op9_licence_dice, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op3_byte_level_bpe, op4_rans_tokens, op5_random_indexing_quality, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op9_licence_dice, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {"op9_licence_dice": licences.oracle()}
