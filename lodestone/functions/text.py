@@ -28,7 +28,8 @@ def url_digest(url: Column) -> Column:
 
 
 def output_path(base: str, url: Column, path: Column) -> Column:
-    return F.concat_ws("/", F.lit(base.rstrip("/")), url_digest(url), path)
+    """base/digest/path; null for a null path."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), url_digest(url), F.lit("/"), path)
 
 
 def content_url(base_url: str, sha1_git: Column) -> Column:
