@@ -1,0 +1,182 @@
+"""Quality scores on held-out rows, personal data against plain patterns, licences, media, shards, the pipeline."""
+
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import licences, mpeg, pii, quality, sharding
+
+SF = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_quality_held_out(spark, odd):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aeioustrn") for _ in range(5)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(400):
+        t = [rng.choice(words) for _ in range(40)]
+        bad = i % 4 == 0
+        docs.append((i, " ".join(w.upper() + "!!" for w in t) if bad else " ".join(t)))
+        labels.append((i, int(not bad)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (99999, 0), (1, None)], "doc_id long, quality int")
+    model = quality.fit(df, lab)
+    score = {r["doc_id"]: r["score"] for r in model.score(df).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 80 and np.mean([(score[i] >= 0.5) == y for i, y in held]) > 0.97
+    rated = model.score(odd).collect()
+    assert len(rated) == odd.count() and all(0 <= r["score"] <= 1 for r in rated)
+    assert model.keep(odd).columns == odd.columns
+    blank = quality.fit(df, lab.limit(0))
+    assert {r["score"] for r in blank.score(df).collect()} == {0.5}
+
+
+def test_quality_bound_and_no_leak(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    a, b = (quality.fit(df, lab.where(c)).net for c in ("true", "crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    assert np.array_equal(a.w1, b.w1)
+    assert quality.fit(df, lab, sample=5).net.mean.shape == (quality.DIM + quality.EXTRA,)
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")) or kind == "card" and not (13 <= len(d) <= 19 and pii.luhn(d)) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(3)
+    fixed = ["a.b@c.d@e.f", "4111 1111 1111 1111 5", "4111111111111111", "+1 (521) 555-6210", "1.2.3.4.5.6.7.8", "999.1.1.1", "00000000000000000000001.2.3.4", "+1" * 20]
+    for t in fixed + ["".join(rng.choice("aB9@@..%+- 1234(05)x\n") for _ in range(rng.randrange(60))) for _ in range(8000)]:
+        assert pii.base_spans(t) == plain(t), t
+
+
+def test_added_spans_and_redaction():
+    text = 'mail jo@ex.org, call 555-123-4567, token = "f0ddae3b09bd7c7e8f0a11f0ddae3b09", page 2019-01-02'
+    base, every = pii.spans(text)
+    assert [k for k, *_ in base] == ["email"] and set(base) <= set(every) and any(k == "secret" for k, *_ in every)
+    out = pii.redact(text, every)
+    assert "jo@ex.org" not in out and "f0ddae" not in out and "2019-01-02" in out
+    assert pii.spans(None) == pii.spans("") == ([], [])
+
+
+def test_long_texts_take_linear_time():
+    for t in ("9" * 300_000, "a" * 300_000 + "@", "1.1." * 60_000, "a@" * 60_000, "+1" * 60_000):
+        pii.base_spans(t)
+
+
+def test_pii_frames(odd, nothing):
+    got = pii.find(odd)
+    assert got.count() == odd.count() and pii.find(nothing).count() == 0
+    assert pii.redacted(odd).columns == odd.columns and pii.redacted(odd).where("text is null").count() == 1
+
+
+def test_licences(spark, odd, nothing):
+    rows = [(1, "Intro.\nReleased under the MIT License.\nMore."), (2, "Licensed under CC BY-NC 4.0."), (3, "licensed UNDER the apache license -- version 2.0!"), (4, "I like licenses of all kinds"), (5, "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nother"), (6, "This work is licensed under the GNU General Public License, version 3.")]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["licences"] for i in range(1, 7)] == ["MIT", "CC-BY-NC-4.0", "Apache-2.0", "", "MIT", "GPL-3.0"]
+    assert got[1]["dice"] == 1.0 and got[4]["dice"] == 0.0
+    assert licences.scan(odd).where("n_licences > 0").count() == 0 and licences.scan(odd).count() == odd.count() and licences.scan(nothing).count() == 0
+
+
+def test_licence_bounds_are_exact():
+    rng = random.Random(2)
+    for _, t in licences.TEMPLATES:
+        grams = licences.template_bigrams(t)
+        lo, hi = licences.bounds(len(grams), 0.8)
+        assert 2 * lo / (lo + len(grams)) >= 0.8 - 1e-9 and 2 * (lo - 1) / (lo - 1 + len(grams)) < 0.8
+        assert 2 * len(grams) / (hi + len(grams)) >= 0.8 - 1e-9 and 2 * len(grams) / (hi + 1 + len(grams)) < 0.8
+        signs = set(licences.anchors(grams, 0.8))
+        for _ in range(200):
+            kept = rng.sample(grams, lo)
+            assert signs & {w for g in kept for w in g.split()}
+
+
+def test_licence_plan_has_no_python_and_no_exchange(odd):
+    plan = licences.scan(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mpeg_round_trip_and_damage():
+    for n in (64, 128, 1408, 1472, 64_000):
+        p = os.urandom(n)
+        data = mpeg.write(p)
+        found = mpeg.parse(data)
+        assert mpeg.read(data) == p and found["crc_bad"] == 0 and found["resyncs"] == 0
+        assert found["table"]["frames"] == len(found["offsets"]) and found["duration"][0] * 32000 == found["samples"] * found["duration"][1]
+    junk = data[:5000] + b"junk\xff\xfbxx" + data[5000:]
+    found = mpeg.parse(junk)
+    assert found["resyncs"] >= 1 and found["skipped"] >= 8
+    broken = bytearray(data)
+    broken[mpeg.parse(data)["offsets"][3] + 8] ^= 1
+    assert mpeg.parse(bytes(broken))["crc_bad"] == 1
+    for other in (None, b"", b"abc", b"\xff" * 50, b"ID3", os.urandom(3000)):
+        mpeg.feature(mpeg.parse(other))
+    assert mpeg.parse(data + b"TAG" + b"title".ljust(125, b"\0"))["tags"]["TIT2"] == "title"
+
+
+def test_mpeg_known_headers():
+    assert mpeg.header(bytes.fromhex("fffb9064"))[3:7] == (128, 44100, 417, 1152)
+    assert mpeg.header(bytes.fromhex("fff38064"))[:2] == (2, 3) and mpeg.header(bytes.fromhex("fff38064"))[6] == 576
+    assert mpeg.header(b"\xff\xfb\xf0\x00") is None and mpeg.header(b"\xff\xeb\x90\x00") is None
+
+
+def test_media_frames(spark, odd, nothing):
+    stored = mpeg.store_texts(odd)
+    got = mpeg.digests(stored).collect()
+    assert len(got) == odd.count() and {r["payload_bytes"] % 64 for r in got} == {0} and min(r["payload_bytes"] for r in got) == 64
+    assert mpeg.digests(mpeg.store_texts(nothing)).count() == 0
+    parsed = mpeg.parse_audio(stored.withColumn("audio", F.lit(1))).select("audio.*").collect()
+    assert all(r["n_frames"] == len(r["seek_offsets"]) for r in parsed)
+
+
+def test_hilbert_is_a_walk_through_all_cells():
+    for dims, bits in ((2, 4), (3, 3)):
+        grid = np.array(np.meshgrid(*[np.arange(1 << bits)] * dims)).reshape(dims, -1)
+        at = sharding.hilbert(list(grid), bits)
+        assert sorted(at) == list(range(1 << (bits * dims)))
+        path = grid[:, np.argsort(at)]
+        assert (np.abs(np.diff(path, axis=1)).sum(axis=0) == 1).all()
+
+
+def test_shards(odd, nothing):
+    for n in (1, 4, 16):
+        got = sharding.shard_documents(odd, n).collect()
+        sizes = [sum(r["shard"] == s for r in got) for s in range(n)]
+        assert len(got) == odd.count() and max(sizes) - min(sizes) <= 1
+        for s in range(n):
+            assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
+    assert {r["size"] for r in got if r["doc_id"] == 3} == {1} and sharding.shard_documents(nothing).count() == 0
+
+
+@needs_data
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    docs = docs.withColumn("kept", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert 0 < out.count() <= docs.count()
+        docs = out
+    assert set(names) < set(docs.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    packed = corpus_pipeline.run(spark, SF)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
