@@ -173,10 +173,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
     bridges = storage.settle(members.join(several, "id").select(F.col("least").alias("a"), F.col("rep").alias("b")).where("a < b"))
     cand = _candidates(classes, halves)
     storage.forget(sig, classes)
+    pool = storage.settle(docs.join(cand.select("id").distinct(), "id", "left_semi").select("id", "text"))
 
     # First each class with the smallest leader that it meets: most copies of a large group are joined by that alone.
     pairs = cand.where("id != leader").where(_fit("n", "leader_n", percent)).groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
-    told = _confirm(pairs, docs, words, percent, 100)
+    told = _confirm(pairs, pool, words, percent, 100)
     roots = components(told.where("linked").select("a", "b").unionByName(bridges))
     for exact in (False, True):
         own = storage.settle(cand.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
@@ -186,14 +187,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
         if left.isEmpty():
             break
         if exact:
-            pairs = _rare_pairs(left.select("id", "root").distinct(), docs, words, percent)
+            pairs = _rare_pairs(left.select("id", "root").distinct(), pool, words, percent)
         else:
             pairs = left.where("root != l.root").where(_fit("n", "l.n", percent)).select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
         pairs = storage.settle(pairs.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            told = told.unionByName(_confirm(pairs, docs, words, percent, 100))
+            told = told.unionByName(_confirm(pairs, pool, words, percent, 100))
             roots = components(told.where("linked").select("a", "b").unionByName(bridges))
         storage.forget(left, pairs)
+    storage.forget(pool, cand)
     names = roots.select(F.col("id").alias("rep"), "root")
     component = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
     out = members.join(names, "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
