@@ -8,6 +8,7 @@ more than the other m - m t / (2 - t) bigrams hold) is never compared.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -16,7 +17,14 @@ from pyspark.sql import functions as F
 
 LEAST = 0.8
 
-# licences' names and notices.
+# The paragraphs that the BSD licences share, and the third clause.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_SPDX = ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+
+# licences' names, notices and paragraphs.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -44,6 +52,16 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    ("Proprietary", "All rights reserved."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_1} {_BSD_2}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3}"),
+    ("BSD-3-Clause", _BSD_3),
+    *((n, f"SPDX-License-Identifier: {n}") for n in _SPDX),
 ]
 
 
@@ -57,7 +75,10 @@ def bounds(m: int, least: float) -> tuple[int, int]:
     return math.ceil(m * least / (2 - least) - 1e-9), math.floor(m * (2 - least) / least + 1e-9)
 
 
-def anchors(grams: list[str], least: float, liked: tuple[str, ...] = ("license", "licensed", "gnu", "copyright", "permission", "domain", "copying")) -> list[str]:
+LIKED = ("license", "licensed", "gnu", "copyright", "permission", "domain", "copying")
+
+
+def anchors(grams: list[str], least: float, liked: tuple[str, ...] = LIKED) -> list[str]:
     """Words of which every set that reaches the coefficient holds at least one."""
     spare, chosen, held = len(grams) - bounds(len(grams), least)[0], [], set()
     words = {w for g in grams for w in g.split()}
@@ -84,11 +105,16 @@ def found(text: Column, templates=None, least: float = LEAST) -> Column:
     Passages are the text's lines, and what stands between blank lines.
     """
     templates = [(n, template_bigrams(t)) for n, t in templates or TEMPLATES]
-    signs = sorted({a for _, g in templates for a in anchors(g, least)})
-    hit = lambda c: _any([F.contains(c, F.lit(a)) for a in signs])
+    signs: list[str] = []
+    for _, g in templates:
+        signs += [a for a in anchors(g, least, (*LIKED, *signs)) if a not in signs]
+    held = F.from_json(F.lit(json.dumps(signs)), "array<string>")
+    # The array of one makes lower() run once for each string, not once for each sign.
+    hit = lambda c: F.exists(F.array(F.lower(c)), lambda low: F.exists(held, lambda a: F.contains(low, a)))
     lines = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n")))
-    sets = F.transform(F.transform(F.filter(lines, lambda p: hit(F.lower(p))), _words), _pairs)
-    known = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, g)).alias("grams")) for n, g in templates for lo, hi in [bounds(len(g), least)]])
+    sets = F.transform(F.transform(F.filter(lines, hit), _words), _pairs)
+    known = [{"licence": n, "lo": lo, "hi": hi, "grams": g} for n, g in templates for lo, hi in [bounds(len(g), least)]]
+    known = F.from_json(F.lit(json.dumps(known)), "array<struct<licence:string,lo:int,hi:int,grams:array<string>>>")
 
     def against(s: Column) -> Column:
         fit = F.filter(known, lambda t: (F.size(s) >= t["lo"]) & (F.size(s) <= t["hi"]))
@@ -98,14 +124,7 @@ def found(text: Column, templates=None, least: float = LEAST) -> Column:
         return F.filter(near, lambda x: (x["dice"] >= least) & (x["dice"] == F.array_max(F.transform(near, lambda y: y["dice"]))))
 
     every = F.flatten(F.transform(F.transform(sets, against), closest))
-    return F.when(hit(F.lower(text)), every).otherwise(F.array().cast("array<struct<licence:string,dice:double>>"))
-
-
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+    return F.when(hit(text), every).otherwise(F.array().cast("array<struct<licence:string,dice:double>>"))
 
 
 def scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

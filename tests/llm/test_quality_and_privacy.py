@@ -93,6 +93,42 @@ def test_licences(spark, odd, nothing):
     assert licences.scan(odd).where("n_licences > 0").count() == 0 and licences.scan(odd).count() == odd.count() and licences.scan(nothing).count() == 0
 
 
+# Licence lines as they stand in documents, written down apart from the templates.
+LICENCE_LINES = {
+    "All rights reserved.": "Proprietary",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+}
+
+
+@needs_data
+def test_each_licence_line_of_the_documents_is_found(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs).collect()}
+    want = {r["doc_id"]: {LICENCE_LINES[x] for x in (r["text"] or "").split("\n") if x in LICENCE_LINES} for r in docs.collect()}
+    assert "Proprietary" in {x for w in want.values() for x in w}
+    assert got == {k: ",".join(sorted(w)) for k, w in want.items()}
+
+
+def test_licence_bodies(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+    third = """Neither the name of Example Inc. nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission."""
+    apache = """Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    rows = [(1, bsd), (2, bsd + "\n" + third), (3, apache + " See the License for the specific language governing permissions and limitations under the License."), (4, "x\n# SPDX-License-Identifier: Apache-2.0\ny"), (5, "// SPDX-License-Identifier: GPL-3.0-or-later")]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "BSD-2-Clause,BSD-3-Clause", 2: "BSD-2-Clause,BSD-3-Clause", 3: "Apache-2.0", 4: "Apache-2.0", 5: "GPL-3.0-or-later"}
+
+
 def test_licence_bounds_are_exact():
     rng = random.Random(2)
     for _, t in licences.TEMPLATES:
