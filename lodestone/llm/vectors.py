@@ -3,8 +3,11 @@
 Each pass orders the vectors by a key of concatenated random hyperplane signs and compares every
 one with a bounded window of those before it; verified pairs of all passes are united. A pair at
 the threshold shares a sign with probability 1 - angle/pi, so the passes that a wanted chance of a
-miss takes follow from the number of vectors and the window; no candidate is dropped for being one
-of many. Windows only have to connect a group: the exact step after them compares the members of
+miss takes follow from the number of vectors and the window, and so does the length of the key's
+prefix on which the pair has to agree in one of them. Vectors that share a prefix are one run. A
+run that fits the window lies whole in one task, where windows reach over all of it; a longer one,
+as dense regions have, is compared pair by pair in blocks. So the chance does not depend on how the
+vectors are spread, and no candidate is dropped for being one of many. Windows and runs only have to connect a group: the exact step after them compares the members of
 each component block by block, counting links without emitting pairs. Equal vectors are one class.
 """
 
@@ -23,6 +26,7 @@ from lodestone.llm import storage
 from lodestone.llm.graph import components
 
 WINDOW, MISS, LEAST_PASSES, BLOCK, KEY_BITS = 256, 1e-3, 16, 512, 62
+RUN_BLOCK = 1024  #: vectors of a long run that meet as many others in one group
 
 
 def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
@@ -32,6 +36,11 @@ def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MIS
     return max(LEAST_PASSES, math.ceil(math.log(miss) / math.log1p(-met)) if met < 1 else 1)
 
 
+def prefix_bits(n: int, window: int = WINDOW) -> int:
+    """Signs on which passes_for counts on a pair to agree, rounded down."""
+    return min(KEY_BITS, max(0, math.floor(math.log2(max(1, n) / window))))
+
+
 def _unit(rows: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -69,6 +78,26 @@ def _joined(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _links(mask: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Links that join what mask, which is symmetric, joins."""
+    root = _joined(mask)
+    new = root != np.arange(len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(ids[root[new]], pa.int64()), pa.array(ids[new], pa.int64())], names=["a", "b"])
+
+
+def _blocks(threshold: float):
+    def compare(group: pa.Table) -> pa.Table:
+        mine, i, j = (group.column(c).to_numpy() for c in ("mine", "i", "j"))
+        x, near = _unit(group.column("vec").to_pylist()), np.zeros((len(mine), len(mine)), bool)
+        for at in range(0, len(x), BLOCK):
+            near[at : at + BLOCK] = x[at : at + BLOCK] @ x.T >= threshold
+        if i[0] != j[0]:
+            near &= mine[:, None] != mine
+        return pa.Table.from_batches([_links(near | near.T, group.column("cid").to_numpy())])
+
+    return compare
+
+
 def _windows(threshold: float, window: int):
     def compare(batches):
         held_x, held_id, dim = None, None, None
@@ -86,10 +115,7 @@ def _windows(threshold: float, window: int):
                     if near.any():
                         mask = np.zeros((len(both), len(both)), bool)
                         mask[len(held_x) :] = near
-                        mask |= mask.T
-                        root = _joined(mask)
-                        new = root != np.arange(len(both))
-                        yield pa.RecordBatch.from_arrays([pa.array(both_id[root[new]]), pa.array(both_id[new])], names=["a", "b"])
+                        yield _links(mask | mask.T, both_id)
                     held_x, held_id = both[-window:], both_id[-window:]
 
     return compare
@@ -111,19 +137,32 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, id_col: str =
     total = classes.count()
     turns = passes_for(total, threshold, window, miss)
 
-    def keys(batches):
-        weights = 1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
-        for batch in batches:
-            cid, dims, vecs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                x, held = _unit([vecs[i] for i in own]), pa.array([vecs[i] for i in own], pa.binary())
-                for k in range(turns):
-                    key = (x @ _planes(k, int(dim)) > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(dims[own]), pa.array(key), pa.array(cid[own]), held], names=["turn", "dim", "key", "cid", "vec"])
-
-    ordered = classes.select("cid", "dim", "vec").mapInArrow(keys, "turn int, dim int, key long, cid long, vec binary").repartitionByRange("turn", "dim", "key", "cid").sortWithinPartitions("turn", "dim", "key", "cid")
-    found = storage.settle(ordered.select("dim", "cid", "vec").mapInArrow(_windows(threshold, window), "a long, b long").where("a != b").distinct())
+    shift = KEY_BITS - prefix_bits(total, window)
+
+    def keys(whole: bool):
+        def each(batches):
+            weights = 1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
+            for batch in batches:
+                cid, dims, vecs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+                for dim in np.unique(dims):
+                    own = np.flatnonzero(dims == dim)
+                    x, held = _unit([vecs[i] for i in own]), pa.array([vecs[i] for i in own], pa.binary())
+                    for k in range(turns):
+                        key = (x @ _planes(k, int(dim)) > 0) @ weights
+                        columns = [pa.array(np.full(len(own), k, np.int32)), pa.array(dims[own]), pa.array(key >> shift)]
+                        more = [pa.array(key), pa.array(cid[own]), held] if whole else []
+                        yield pa.RecordBatch.from_arrays(columns + more, names=["turn", "dim", "prefix", "key", "cid", "vec"][: len(columns + more)])
+
+        return classes.select("cid", "dim", "vec").mapInArrow(each, "turn int, dim int, prefix long" + ", key long, cid long, vec binary" * whole)
+
+    run = ["turn", "dim", "prefix"]
+    long_runs = storage.settle(keys(False).groupBy(*run).agg(F.count("*").alias("n")).where(F.col("n") > window).select(*run, F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks")))
+    short = keys(True).join(long_runs, run, "left_anti").repartition(*run).sortWithinPartitions("turn", "dim", "key", "cid")
+    mine = keys(True).join(long_runs, run).withColumn("mine", F.pmod(F.hash("cid"), F.col("blocks")))
+    met = mine.select(*run, "cid", "vec", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    near = short.select("dim", "cid", "vec").mapInArrow(_windows(threshold, window), "a long, b long").unionByName(met.groupBy(*run, "i", "j").applyInArrow(_blocks(threshold), "a long, b long"))
+    found = storage.settle(near.where("a != b").distinct())
+    storage.forget(long_runs)
     roots = components(found)
     members = storage.settle(classes.join(roots, classes.cid == roots.id).select("root", "cid", "copies", "vec"))
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

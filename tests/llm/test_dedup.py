@@ -126,3 +126,25 @@ def test_vectors(spark):
 def test_passes_grow_with_the_logarithm():
     assert vectors.passes_for(10, 0.9) == vectors.LEAST_PASSES
     assert vectors.passes_for(10**6, 0.9) < vectors.passes_for(10**9, 0.9) < 300
+
+
+def test_lone_pairs_in_a_dense_cone_are_found(spark):
+    rng = np.random.default_rng(6)
+    dim, cone, lone = 64, 2400, 200
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    axis = unit(rng.standard_normal((1, dim)))
+    free = lambda n: unit((v := rng.standard_normal((n, dim))) - (v @ axis.T) * axis)
+    around = free(cone)
+    close = around[:lone]
+    across = free(lone)
+    across = unit(across - (across * close).sum(1, keepdims=True) * close)
+    c = (0.902 - 0.8) / 0.2
+    around = np.concatenate((around, c * close + np.sqrt(1 - c * c) * across))
+    x = np.concatenate((np.sqrt(0.8) * axis + np.sqrt(0.2) * around, unit(rng.standard_normal((4000, dim)))))
+    near = x @ x.T >= 0.9
+    want = near.sum(axis=1) - 1
+    assert (want > 0).sum() >= 2 * lone
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vectors.near_duplicate_vectors(rows, window=16).collect()}
+    root = union(np.argwhere(np.triu(near, 1)).tolist(), range(len(x)))
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == [(want[i], root[i]) for i in range(len(x))]
