@@ -139,16 +139,17 @@ def _placer(runs, place, length):
     return placed
 
 
-def token_pieces(docs: DataFrame, path: str, style: str = "word", end_id: int = 1, size: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, style: str = "word", end_id: int = 1, size: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Each document's ids, with end_id after them, in pieces of at most size ids.
 
     Returns doc_id, piece, start, length and ids (binary: little-endian unsigned 32-bit). Null and
     empty texts are one piece that holds end_id; null ids stay null; repeated rows give their
-    pieces again; an empty table gives none. Other columns of docs are not read.
+    pieces again; an empty table gives none. Other columns of docs are not read. added: see
+    words.Encoder.
     """
 
     def cut(batches):
-        tok = encoder(path, style)
+        tok = encoder(path, style, added)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(texts), 1024):
@@ -161,9 +162,9 @@ def token_pieces(docs: DataFrame, path: str, style: str = "word", end_id: int =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack_documents(docs: DataFrame, path: str, style: str = "word", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, style: str = "word", end_id: int = 1, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Token pieces of docs with their ids, packed: doc_id, piece, start, length, ids, sequence_id, offset."""
-    return pack(storage.settle(token_pieces(docs, path, style, end_id, capacity)), capacity=capacity, ties=("doc_id", "piece"))
+    return pack(storage.settle(token_pieces(docs, path, style, end_id, capacity, added=added)), capacity=capacity, ties=("doc_id", "piece"))
 
 
 __all__ = ["CAPACITY", "SegmentTree", "pack", "pack_documents", "plan", "token_pieces"]

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added=True)
     digests = storage.settle(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packing.pack(digests, ties=("doc_id", "piece"))
 
@@ -32,7 +32,7 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark)
-    rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return rans.read_tokens(spark, path, keep_ids=False)
 
 

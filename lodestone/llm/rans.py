@@ -144,18 +144,18 @@ def _narrow(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, style: str = "byte", end_id: int = 2, vocabulary: int = 50258, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, style: str = "byte", end_id: int = 2, vocabulary: int = 50258, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> None:
     """Encode every text and write the ids, in ascending order of document ids, to a new folder at path.
 
     Null texts count as empty (end_id alone); null ids come first; repeated rows stay; an empty
     table gives a folder without blocks. Documents are sorted by ranges; of the corpus only the
     counts of ids (at most the vocabulary) go to the driver. A document is never split, so a
-    block holds about 2^18 ids, or one longer document.
+    block holds about 2^18 ids, or one longer document. added: see words.Encoder.
     """
     kind = _narrow(vocabulary)
 
     def tokenise(batches):
-        tok, part, block, base = encoder(tokenizer, style), TaskContext.get().partitionId(), 0, 0
+        tok, part, block, base = encoder(tokenizer, style, added), TaskContext.get().partitionId(), 0, 0
         keys: list = []
         held: list = []
         size = 0

@@ -2,7 +2,8 @@
 
 Texts are laid end to end as code points; class changes give the pre-tokens, a keyed polynomial
 hash names each of them, and the library encodes each distinct pre-token once per worker.
-Texts with code points that this Python does not know go to the library whole.
+Texts with code points that this Python does not know, or with added tokens where these count, go
+to the library whole.
 """
 
 from __future__ import annotations
@@ -141,16 +142,21 @@ def cuts(text: str, size: int = CHUNK):
 
 
 class Encoder:
-    """Ids of whole texts, equal to those of the library's encode(text, add_special_tokens=False)."""
+    """Ids of whole texts, equal to those of the library's encode(text, add_special_tokens=False).
+
+    added: whether added tokens that stand in a text, such as <|endoftext|>, become their own ids,
+    as the library has it unless encode_special_tokens is set; else they are text like any other.
+    """
 
     LIMIT = 1_200_000  #: distinct pre-tokens that a worker remembers
 
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, style: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.style = Tokenizer.from_file(path), style
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        self.added = sorted({t.content.lower() for t in self.library.get_added_tokens_decoder().values()}) if added else []
         self._clear()
 
     def _clear(self) -> None:
@@ -226,7 +232,8 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            clean = None if not text.isascii() and (classes()[points(text)] >= UNKNOWN).any() else self.normal(text)
+            low = text.lower() if self.added else ""
+            clean = None if any(a in low for a in self.added) or not text.isascii() and (classes()[points(text)] >= UNKNOWN).any() else self.normal(text)
             if clean is None:
                 out[k].append(self._whole(text))
                 continue
@@ -241,6 +248,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, style: str) -> Encoder:
+def encoder(path: str, style: str, added: bool = False) -> Encoder:
     """One for each worker."""
-    return Encoder(path, style)
+    return Encoder(path, style, added)

@@ -32,6 +32,27 @@ def test_encoder_equals_the_library(path, style):
         assert [g.tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path, style", [(WORD, "word"), (BYTE, "byte")])
+def test_added_tokens_equal_the_unmodified_library(path, style):
+    lib, enc = Tokenizer.from_file(path), Encoder(path, style, added=True)
+    contents = [t.content for t in lib.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in contents
+    texts = [f"{a}{c}{b}" for c in [*contents, "<|EndOfText|>", "<|endoftext"] for a in ("", "a ", "É\n") for b in ("", " b", "<|endoftext|>x")]
+    texts += ["plain words, no mark", "", "x" * 500_000 + " <|endoftext|> y"]
+    assert [g.tolist() for g in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_queries_of_tokens_equal_the_unmodified_library(spark, tmp_path):
+    from lodestone.llm import queries
+
+    texts = {1: "a <|endoftext|> b", 2: "plain"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, path, end in ((queries.op1_best_fit_packing, WORD, 1), (queries.op4_rans_tokens, BYTE, 2)):
+        lib = Tokenizer.from_file(path)
+        want = {d: zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for d, t in texts.items()}
+        assert {r["doc_id"]: r["ids_crc32"] for r in query(spark, str(tmp_path)).collect()} == want
+
+
 def test_long_texts_are_cut_where_no_token_can_be():
     text = "ab  cd e\n f " * 3000
     parts = list(cuts(text, 1000))
