@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,7 +15,8 @@ from lodestone.llm import storage
 from lodestone.llm.words import CHUNK, LETTER, classes, cuts, points, pretokens, span_hashes
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 15, 48, 4, 2
-SAMPLE = 6000  #: labelled rows that the model is fitted on, at most
+SAMPLE = 6000  #: labelled rows that the network is fitted on, at most
+SLICES = 16  #: parts of the table of sums, each added up by one task
 SHAPES = 5  #: lower, title, upper, mixed, no letters: a word's shape has a vector too
 EXTRA = 3
 
@@ -72,12 +74,15 @@ def contexts(texts: list[str | None], into: np.ndarray) -> None:
             continue
         own = index[bucket].astype(np.int32) + index[BUCKETS + shape]
         owner = np.repeat(np.arange(len(held)), np.diff(bounds))
+        around = np.zeros_like(own)
         for d in range(1, REACH + 1):
             same = (owner[d:] == owner[:-d])[:, None]
-            for to, what in ((slice(None, -d), own[d:] * same), (slice(d, None), own[:-d] * same)):
-                np.add.at(into, bucket[to], what)
-                for s in range(SHAPES):
-                    into[BUCKETS + s] += what[shape[to] == s].sum(axis=0, dtype=np.int32)
+            around[:-d] += own[d:] * same
+            around[d:] += own[:-d] * same
+        for row in (bucket, BUCKETS + shape):
+            order = np.argsort(row, kind="stable")
+            first = np.flatnonzero(np.diff(row[order], prepend=-1))
+            into[row[order[first]]] += np.add.reduceat(around[order], first, axis=0)
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
@@ -189,25 +194,37 @@ def held_out(id_col):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from labelled rows that are not held out.
 
-    At most sample of them are used: those whose hashed ids come first. Labels that are null, or
-    whose document is missing, are skipped; an id with several labels has the least of them. Word
-    vectors and pooled rows are made on executors; the driver gets the vectors' sums (a bounded
-    table for each of 8 tasks) and a row of numbers for each sampled document.
+    Word vectors are summed over every row of docs, labelled or not; the network is fitted on at
+    most sample labelled rows, those whose hashed ids come first. Labels that are null, or whose
+    document is missing, are skipped; an id with several labels has the least of them. Words share
+    BUCKETS places by their hashes, so a large corpus has several words in one. Sums and pooled
+    rows are made on executors: each task has one table of sums, which is cut into SLICES and added
+    up there; the driver gets one table and a row of numbers for each sampled document.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     known = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     rows = storage.settle(known.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).repartition(8))
 
     def gather(batches):
-        into = np.zeros((BUCKETS + SHAPES, DIM), np.int32)
+        into = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
         for batch in batches:
             contexts(batch.column(0).to_pylist(), into)
-        used = np.flatnonzero(into.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array([used.astype("<i4").tobytes()]), pa.array([into[used].astype("<i4").tobytes()])], names=["used", "sums"])
+        for k in range(SLICES):
+            own = into[k::SLICES]
+            used = np.flatnonzero(own.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([used.astype("<i4").tobytes()]), pa.array([own[used].astype("<i8").tobytes()])], names=["slice", "used", "sums"])
+
+    def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((len(range(int(key[0].as_py()), BUCKETS + SHAPES, SLICES)), DIM), np.int64)
+        for batch in tables:
+            for used, sums in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own[np.frombuffer(used, "<i4")] += np.frombuffer(sums, "<i8").reshape(-1, DIM)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([own.astype("<i8").tobytes()])], names=["slice", "sums"])
 
     total = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
-    for used, sums in rows.select("t").coalesce(8).mapInArrow(gather, "used binary, sums binary").collect():
-        total[np.frombuffer(bytes(used), "<i4")] += np.frombuffer(bytes(sums), "<i4").reshape(-1, DIM)
+    parts = known.select("t").mapInArrow(gather, "slice int, used binary, sums binary")
+    for k, sums in parts.groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
+        total[k::SLICES] = np.frombuffer(bytes(sums), "<i8").reshape(-1, DIM)
     vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)).astype(np.float32)
 
     def pool(batches):

@@ -85,6 +85,18 @@ def test_pii_frames(odd, nothing):
     assert pii.redacted(odd).columns == odd.columns and pii.redacted(odd).where("text is null").count() == 1
 
 
+def test_word_vectors_come_from_all_documents(spark):
+    docs = [(i, f"good word number {i % 7}" if i % 2 else f"bad thing item {i % 5}") for i in range(60)] + [(1000 + i, "unlabelled zebra beside the river") for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(frame, labels, sample=10)
+    want = np.zeros((quality.BUCKETS + quality.SHAPES, quality.DIM), np.int64)
+    quality.contexts([t for _, t in docs], want)
+    bucket, _, _ = quality.words(["zebra"])
+    assert model.vectors[bucket].any()
+    assert np.allclose(model.vectors, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1), atol=1e-6)
+
+
 def test_licences(spark, odd, nothing):
     rows = [(1, "Intro.\nReleased under the MIT License.\nMore."), (2, "Licensed under CC BY-NC 4.0."), (3, "licensed UNDER the apache license -- version 2.0!"), (4, "I like licenses of all kinds"), (5, "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nother"), (6, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
