@@ -252,14 +252,21 @@ def model() -> Trees:
     return Trees().fit(*drawn())
 
 
+def _taken(c: tuple[str, int, int], other: tuple[str, int, int]) -> bool:
+    """Whether c overlaps another span of its kind, or lies in one of any kind."""
+    if c[0] == other[0]:
+        return other[1] < c[2] and c[1] < other[2]
+    return other[1] <= c[1] and c[2] <= other[2]
+
+
 def spans(text: str | None, trees: Trees | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans), each by kind and start; an added span overlaps no other of its kind."""
+    """(base spans, all spans), each by kind and start; an added span overlaps no other of its kind, and lies in none of another."""
     text = text or ""
     base = base_spans(text)
     proposed = [c for c in candidates(text) if c not in set(base)]
     free = []
     for c in proposed:
-        if not any(b[1] < c[2] and c[1] < b[2] for b in base):
+        if not any(_taken(c, b) for b in base):
             free.append(c)
     added: list[tuple[str, int, int]] = []
     if free:
@@ -267,7 +274,7 @@ def spans(text: str | None, trees: Trees | None = None) -> tuple[list[tuple[str,
         score = trees.score(features(text, free))
         for i in np.argsort(-score, kind="stable"):
             c = free[i]
-            if score[i] >= trees.threshold and not any(a[1] < c[2] and c[1] < a[2] for a in added):
+            if score[i] >= trees.threshold and not any(_taken(c, a) for a in added):
                 added.append(c)
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

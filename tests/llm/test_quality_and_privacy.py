@@ -97,6 +97,22 @@ def test_word_vectors_come_from_all_documents(spark):
     assert np.allclose(model.vectors, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1), atol=1e-6)
 
 
+def test_a_secret_with_a_card_inside_is_found_and_redacted():
+    rng = random.Random(8)
+    n = 0
+    while n < 20:
+        digits = "".join(rng.choice("0123456789") for _ in range(16))
+        if pii.luhn(digits):
+            n += 1
+            token = "".join(rng.choice("abcdef") for _ in range(12)) + digits + "".join(rng.choice("abcdef") for _ in range(12))
+            text = f'some words token = "{token}" and more words'
+            base, every = pii.spans(text)
+            at = text.index(token)
+            assert ("card", at + 12, at + 28) in base and set(base) <= set(every)
+            assert any(k == "secret" and s <= at and at + 40 <= e for k, s, e in every)
+            assert not any(token[i : i + 6] in pii.redact(text, every) for i in range(35))
+
+
 def test_licences(spark, odd, nothing):
     rows = [(1, "Intro.\nReleased under the MIT License.\nMore."), (2, "Licensed under CC BY-NC 4.0."), (3, "licensed UNDER the apache license -- version 2.0!"), (4, "I like licenses of all kinds"), (5, "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nother"), (6, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
