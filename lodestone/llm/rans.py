@@ -144,67 +144,83 @@ def _narrow(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+def _binary(parts: list[np.ndarray]) -> pa.Array:
+    """A binary column of these arrays' bytes."""
+    ends = np.cumsum([0, *(p.nbytes for p in parts)])
+    data = pa.py_buffer(np.concatenate(parts).tobytes() if parts else b"")
+    if ends[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends.astype("<i4").tobytes()), data])
+    return pa.array([p.tobytes() for p in parts], pa.binary())
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, style: str = "byte", end_id: int = 2, vocabulary: int = 50258, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> None:
     """Encode every text and write the ids, in ascending order of document ids, to a new folder at path.
 
-    Null texts count as empty (end_id alone); null ids come first; repeated rows stay; an empty
-    table gives a folder without blocks. Documents are sorted by ranges; of the corpus only the
-    counts of ids (at most the vocabulary) go to the driver. A document is never split, so a
-    block holds about 2^18 ids, or one longer document. added: see words.Encoder.
+    Null texts count as empty (end_id alone); null ids come first; rows of one id are ordered by a
+    digest of their ids, so that only rows that are equal in all could change places; an empty
+    table gives a folder without blocks; very long texts are encoded in parts. Texts are encoded
+    where they lie, and only their ids are sorted, by ranges in which a drawn number parts equal
+    rows too. Of the corpus only the counts of ids (at most the vocabulary) go to the driver. A
+    document is never split, so a block holds about 2^18 ids, or one longer document. added: see
+    words.Encoder.
     """
     kind = _narrow(vocabulary)
 
     def tokenise(batches):
-        tok, part, block, base = encoder(tokenizer, style, added), TaskContext.get().partitionId(), 0, 0
-        keys: list = []
-        held: list = []
-        size = 0
-
-        def row():
-            nonlocal keys, held, size, block, base
-            null = np.array([k is None for k in keys], np.uint8)
-            values = (part, block, base, size, np.array([k or 0 for k in keys], "<i8").tobytes(), null.tobytes(), np.array(list(map(len, held)), "<u4").tobytes(), np.concatenate(held).astype(kind).tobytes())
-            block, base, keys, held, size = block + 1, base + size, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "block", "base", "n_ids", "doc_ids", "nulls", "lengths", "ids"])
-
+        tok, total = encoder(tokenizer, style, added), np.zeros(vocabulary, np.int64)
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        names = ["k", "ids", "id", "n"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 got = batch.slice(at, 512)
-                for key, ids in zip(got.column(0).to_pylist(), tok.encode(got.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    size += len(held[-1])
-                    if size >= BLOCK:
-                        yield row()
-        if keys:
-            yield row()
-
-    def count(batches):
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, kind), minlength=vocabulary)
+                ids = [np.append(x, np.uint32(end_id)) for x in tok.encode(got.column(1).to_pylist())]
+                total += np.bincount(np.concatenate(ids), minlength=vocabulary)
+                yield pa.RecordBatch.from_arrays([got.column(0), _binary([x.astype(kind) for x in ids]), pa.nulls(len(ids), kinds[2]), pa.nulls(len(ids), kinds[3])], names=names)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], kinds[0]), pa.array([None], kinds[1]), pa.array([used.astype(np.int32)], kinds[2]), pa.array([total[used]], kinds[3])], names=names)
 
     spark = docs.sparkSession
-    sorted_ = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).repartitionByRange("k").sortWithinPartitions("k")
-    raw = storage.settle(sorted_.mapInArrow(tokenise, "part int, block int, base long, n_ids long, doc_ids binary, nulls binary, lengths binary, ids binary"))
+    coded = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(tokenise, "k long, ids binary, id array<int>, n array<long>")
+    coded = storage.settle(coded.withColumns({"tie": F.xxhash64("ids"), "drawn": F.rand(17)}))
     counts = np.zeros(vocabulary, np.int64)
-    for i, n in raw.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    pairs = coded.where("n is not null").select(F.inline(F.arrays_zip("id", "n"))).groupBy("id").agg(F.sum("n").alias("n"))
+    for i, n in pairs.collect():
         counts[i] = n
     freq = quantise(counts)
 
     def code(batches):
-        tables = Tables(freq)
+        tables, part, block, base, size = Tables(freq), TaskContext.get().partitionId(), 0, 0, 0
+        keys, nulls, lengths, held = [], [], [], []
+
+        def row():
+            nonlocal keys, nulls, lengths, held, block, base, size
+            data = pack_block(tables, np.concatenate(keys), np.concatenate(nulls), np.concatenate(lengths), np.concatenate(held))
+            values = (part, block, base, size, data)
+            block, base, size, keys, nulls, lengths, held = block + 1, base + size, 0, [], [], [], []
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "base", "n_ids", "payload"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                data = pack_block(tables, np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["nulls"], "u1"), np.frombuffer(r["lengths"], "<u4"), np.frombuffer(r["ids"], kind))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((r["part"], pa.int32()), (r["block"], pa.int32()), (r["base"], pa.int64()), (r["n_ids"], pa.int64()), (data, pa.binary()))], names=["part", "block", "base", "n_ids", "payload"])
+            key, column = batch.column(0), batch.column(1)
+            null, key = np.asarray(key.is_null()), key.fill_null(0).to_numpy()
+            begin = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset).astype(np.int64) // np.dtype(kind).itemsize
+            ids, at = np.frombuffer(column.buffers()[2], kind), 0
+            while at < len(key):
+                to = min(len(key), int(np.searchsorted(begin, begin[at] + BLOCK - size)))
+                keys.append(key[at:to])
+                nulls.append(null[at:to].astype(np.uint8))
+                lengths.append(np.diff(begin[at : to + 1]))
+                held.append(ids[begin[at] : begin[to]].copy())
+                size += len(held[-1])
+                at = to
+                if size >= BLOCK:
+                    yield row()
+        if size:
+            yield row()
 
-    raw.mapInArrow(code, "part int, block int, base long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered = coded.where("n is null").select("k", "ids", "tie", "drawn").repartitionByRange("k", "tie", "drawn").sortWithinPartitions("k", "tie", "ids")
+    ordered.select("k", "ids").mapInArrow(code, "part int, block int, base long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(BITS, bytearray(freq.astype("<i8").tobytes()))], "bits int, freq binary").coalesce(1).write.parquet(f"{path}/tables")
-    storage.forget(raw)
+    storage.forget(coded)
 
 
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
