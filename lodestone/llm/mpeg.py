@@ -7,8 +7,8 @@ import hashlib
 import re
 import struct
 import zlib
+from fractions import Fraction
 from functools import lru_cache
-from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -45,32 +45,69 @@ def header(four: bytes) -> tuple | None:
 
 
 @lru_cache(maxsize=4096)
-def crc16(data: bytes) -> int:
-    """The frames' checksum: polynomial 0x8005, from 0xFFFF."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The frames' checksum: polynomial 0x8005, from 0xFFFF, over the first so many bits (all of them)."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1 & 0xFFFF
+    for k in range(8 * len(data) if bits is None else bits):
+        bit = data[k >> 3] >> (7 - (k & 7)) & 1
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if (crc >> 15) ^ bit else crc << 1 & 0xFFFF
     return crc
 
 
+# Fixed values of layer II: how many subbands in a row have an allocation of so many bits.
+_ALLOCATION = {"a": [(11, 4), (12, 3), (4, 2)], "b": [(11, 4), (12, 3), (7, 2)], "c": [(2, 4), (6, 3)], "d": [(2, 4), (10, 3)], "low": [(4, 4), (7, 3), (19, 2)]}
+
+
+def _layer2_table(version, kbps: int, hz: int, channels: int) -> list[int]:
+    """Bits of each subband's allocation."""
+    each = kbps // channels
+    kind = "low" if version != 1 else ("d" if hz == 32000 else "c") if each <= 48 else "a" if hz == 48000 or each <= 80 else "b"
+    return [bits for n, bits in _ALLOCATION[kind] for _ in range(n)]
+
+
+def _checked_bits(data: bytes, at: int, h: tuple) -> int | None:
+    """Bits after the checksum that it covers, beside the header's last 16; None: the frame is too short for them."""
+    version, layer, _, kbps, hz, size, _, channels, side = h
+    mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+    if layer == 3:
+        return 8 * side if 6 + side <= size else None
+    bound = 4 * (extension + 1) if mode == 1 else 32
+    if layer == 1:
+        n = 4 * (32 if channels == 1 else 2 * bound + 32 - bound)
+        return n if 48 + n <= 8 * size else None
+    room, used, chosen = 8 * (size - 6), 0, 0
+    value = int.from_bytes(data[at + 6 : at + size], "big")
+    for band, bits in enumerate(_layer2_table(version, kbps, hz, channels)):
+        for _ in range(channels if band < bound else 1):
+            used += bits
+            if used > room:
+                return None
+            if value >> (room - used) & (1 << bits) - 1:
+                chosen += 1 if band < bound else channels
+    return used + 2 * chosen if used + 2 * chosen <= room else None
+
+
 def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
     """Texts of the tags at both ends, and where the audio between them starts and ends."""
     tags, start, end = {}, 0, len(data)
     size7 = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
     while data[start : start + 3] == b"ID3" and len(data) - start >= 10 and max(data[start + 6 : start + 10]) < 128:
-        major, stop = data[start + 3], min(end, start + 10 + size7(data[start + 6 : start + 10]))
-        at = start + 10
-        while at + 10 <= stop and data[at : at + 4].isalnum():
-            n = size7(data[at + 4 : at + 8]) if major >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-            body, name = data[at + 10 : min(stop, at + 10 + n)], data[at : at + 4].decode("latin-1")
+        major, flags, stop = data[start + 3], data[start + 5], min(end, start + 10 + size7(data[start + 6 : start + 10]))
+        held = data[start + 10 : stop]
+        if flags & 0x80:  # unsynchronised: a zero byte after each 0xFF
+            held = held.replace(b"\xff\0", b"\xff")
+        at = 0
+        if flags & 0x40 and major >= 3 and len(held) >= 4:
+            at = size7(held) if major >= 4 else 4 + int.from_bytes(held[:4], "big")
+        while at + 10 <= len(held) and held[at : at + 4].isalnum():
+            n = size7(held[at + 4 : at + 8]) if major >= 4 else int.from_bytes(held[at + 4 : at + 8], "big")
+            body, name = held[at + 10 : at + 10 + n], held[at : at + 4].decode("latin-1")
             if name[0] == "T" and body:
                 text = body[1:].decode(["latin-1", "utf-16", "utf-16-be", "utf-8"][body[0]] if body[0] < 4 else "latin-1", "replace").rstrip("\0")
                 key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
                 tags[key] = value
             at += 10 + n
-        start = stop
+        start = min(end, stop + 10) if flags & 0x10 and major >= 4 else stop
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for key, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
@@ -79,6 +116,32 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
     return tags, start, end
 
 
+def _table(data: bytes, at: int, h: tuple) -> dict | None:
+    """The variable-bitrate table in a layer III frame, whole in that frame; toc holds where its seek points lead, in bytes from the frame's start."""
+    _, _, checked, _, _, size, _, _, side = h
+    frame = data[at : at + size]
+    i = 4 + 2 * checked + side
+    number = lambda k, n: int.from_bytes(frame[k : k + n], "big")
+    if frame[i : i + 4] in (b"Xing", b"Info"):
+        flags, table = number(i + 4, 4), {"kind": "xing"}
+        i += 8
+        for bit, key in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                table[key] = number(i, 4)
+                i += 4
+        points = frame[i : i + 100] if flags & 4 else b""
+        table["toc"] = [p * table.get("bytes", 0) // 256 for p in points]
+        return table
+    if frame[36:40] == b"VBRI" and size >= 62:
+        entries, scale, width = number(54, 2), number(56, 2), number(58, 2)
+        toc, place = [], 0
+        for k in range(entries if 1 <= width <= 4 and 62 + entries * width <= size else 0):
+            place += scale * number(62 + k * width, width)
+            toc.append(place)
+        return {"kind": "vbri", "bytes": number(46, 4), "frames": number(50, 4), "toc": toc}
+    return None
+
+
 _SYNC = re.compile(rb"\xff[\xe0-\xff]")
 
 
@@ -86,14 +149,16 @@ def parse(data: bytes | None) -> dict:
     """What the bytes hold; never raises.
 
     offsets and sizes: of the audio frames, the table frame aside. skipped: bytes between frames
-    that are none; resyncs: how often they came. Null, empty and foreign bytes: no frames, and
-    duration 0/1. A last frame that is cut off counts as skipped.
+    that are none; resyncs: how often they came. hz: the first frame's; duration: seconds as an
+    exact fraction, each frame by its own rate. Checksums are verified in all three layers. Null,
+    empty and foreign bytes: no frames, and duration 0/1. A last frame that is cut off counts as
+    skipped, and so does a damaged header up to the next two that fit.
     """
     data = data or b""
     tags, at, end = _tags(data)
-    offsets, sizes, kbps = [], [], []
-    skipped = resyncs = samples = good = bad = hz = 0
-    table, kinds, frames = None, set(), []
+    offsets, sizes, kbps, lasts = [], [], [], {}
+    skipped = resyncs = good = bad = 0
+    table, kinds = None, set()
     while at < end:
         h = header(data[at : at + 4])
         if h is None or at + h[5] > end:
@@ -108,34 +173,22 @@ def parse(data: bytes | None) -> dict:
                 found = end
             skipped, resyncs, at = skipped + found - at, resyncs + 1, found
             continue
-        version, layer, checked, rate, hz, size, n, _, side = h
-        body = at + 4 + 2 * checked
-        if not offsets and table is None and layer == 3:
-            if data[body + side : body + side + 4] in (b"Xing", b"Info"):
-                flags = int.from_bytes(data[body + side + 4 : body + side + 8], "big")
-                i, table = body + side + 8, {"kind": "xing"}
-                for bit, key in ((1, "frames"), (2, "bytes")):
-                    if flags & bit:
-                        table[key] = int.from_bytes(data[i : i + 4], "big")
-                        i += 4
-                table["toc"] = data[i : i + 100] if flags & 4 else b""
-            elif data[at + 36 : at + 40] == b"VBRI":
-                size_, frames_ = struct.unpack_from(">II", data, at + 46)
-                table = {"kind": "vbri", "bytes": size_, "frames": frames_, "toc": b""}
-            if table is not None:
-                at += size
-                continue
-        if checked and layer == 3:
-            ok = crc16(data[at + 2 : at + 4] + data[body : body + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        version, layer, checked, rate, hz, size, n, _, _ = h
+        if not offsets and table is None and layer == 3 and (table := _table(data, at, h)) is not None:
+            at += size
+            continue
+        if checked:
+            bits = _checked_bits(data, at, h)
+            ok = bits is not None and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + -(-bits // 8)], 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
             good, bad = good + ok, bad + (not ok)
         offsets.append(at)
         sizes.append(size)
         kbps.append(rate)
         kinds.add((version, layer))
-        samples += n
+        lasts[hz] = lasts.get(hz, 0) + n
         at += size
-    d = gcd(samples, hz) or 1
-    return {"tags": tags, "table": table, "offsets": offsets, "sizes": sizes, "kbps": sorted(set(kbps)), "kinds": sorted(kinds), "hz": hz, "samples": samples, "duration": (samples // d, max(1, hz // d)), "skipped": skipped, "resyncs": resyncs, "crc_good": good, "crc_bad": bad}
+    lasting = sum((Fraction(n, hz) for hz, n in lasts.items()), Fraction(0))
+    return {"tags": tags, "table": table, "offsets": offsets, "sizes": sizes, "kbps": sorted(set(kbps)), "kinds": sorted(kinds), "hz": next(iter(lasts), 0), "samples": sum(lasts.values()), "duration": (lasting.numerator, lasting.denominator), "skipped": skipped, "resyncs": resyncs, "crc_good": good, "crc_bad": bad}
 
 
 # The writer's frames: MPEG-1 layer III, one channel, 32,000 Hz, checksums; all-zero side data (silence), so that a frame's rest is ancillary.
@@ -221,7 +274,11 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, and digests of the payload read back from media and of media itself, with the feature line."""
+    """doc_id, n_bytes, and digests of the payload read back from media and of media itself, with the feature line.
+
+    stored: what store_texts() returns, whose media is never null. Null ids stay null, repeated
+    rows come again with equal values, an empty table gives none; a medium is read whole.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def read_back(batches):
