@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("--config", default="config/config.yaml")
     args = parser.parse_args(argv)
     config = load_config(args.config)
-    prepare.setup_logging(config.log_path)
+    prepare.setup_logging(config.layout().logs)
     spark = importable(spark or SparkSession.builder.appName("lodestone").getOrCreate())
     if args.command == "parse":
         with prepare.timer("Parsing dataset"):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import http.client
 import logging
 import os
 import posixpath
 import threading
 import time
+import urllib.parse
 import uuid
 from collections import deque
 from collections.abc import Callable
@@ -32,23 +34,47 @@ class NetworkError(Exception):
     """A request that got no answer, other than by timeout."""
 
 
-def http_get(url: str, headers: dict[str, str], timeout: float) -> tuple[int, dict[str, str], bytes]:
-    """Status, headers (names in lower case) and body; TimeoutError or NetworkError if there is no answer."""
-    import socket
-    import urllib.error
-    import urllib.request
+class Connections:
+    """A transport that keeps one open connection to each host and thread. Redirects are answers like any other."""
 
-    try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
-            return r.status, {k.lower(): v for k, v in r.headers.items()}, r.read()
-    except urllib.error.HTTPError as e:
-        return e.code, {k.lower(): v for k, v in e.headers.items()}, b""
-    except (TimeoutError, socket.timeout) as e:
-        raise TimeoutError(str(e)) from e
-    except (urllib.error.URLError, OSError) as e:
-        if isinstance(getattr(e, "reason", None), TimeoutError):
-            raise TimeoutError(str(e)) from e
-        raise NetworkError(str(e)) from e
+    def __init__(self):
+        self.held = threading.local()
+
+    def _open(self, scheme: str, host: str, timeout: float, fresh: bool) -> http.client.HTTPConnection:
+        kept = self.held.__dict__.setdefault("by_host", {})
+        if fresh and (old := kept.pop((scheme, host), None)):
+            old.close()
+        if (scheme, host) not in kept:
+            kept[scheme, host] = (http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection)(host, timeout=timeout)
+        return kept[scheme, host]
+
+    def __call__(self, url: str, headers: dict[str, str], timeout: float) -> tuple[int, dict[str, str], bytes]:
+        """Status, headers (names in lower case) and body; TimeoutError or NetworkError if there is no answer."""
+        parts = urllib.parse.urlsplit(url)
+        target = urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, ""))
+        for again in (False, True):  # a kept connection may have been closed by the other side meanwhile
+            connection = self._open(parts.scheme, parts.netloc, timeout, again)
+            used = connection.sock is not None
+            try:
+                connection.request("GET", target, headers=headers)
+                answer = connection.getresponse()
+                return answer.status, {k.lower(): v for k, v in answer.getheaders()}, answer.read()
+            except TimeoutError:
+                connection.close()
+                raise
+            except (OSError, http.client.HTTPException) as e:
+                connection.close()
+                if again or not used:
+                    raise NetworkError(str(e) or type(e).__name__) from e
+        raise AssertionError
+
+
+def local_folder(place: str) -> str:
+    """The path of a folder that all executors mount; contents go to files, so other stores are refused."""
+    local = place.removeprefix("file:")
+    if ":" in local.split("/")[0]:
+        raise ValueError(f"contents need a mounted folder, not {place}")
+    return "/" + local.lstrip("/") if local.startswith("/") else local
 
 
 class Limiter:
@@ -104,8 +130,8 @@ def retry_after(value: str | None, attempt: int, now: float) -> float:
 class Fetcher:
     """The state machine for one file after another; one for each task."""
 
-    def __init__(self, config: ApiConfig, per_hour: int | None = None, transport=http_get, clock=time.time, sleep=time.sleep):
-        self.config, self.transport, self.clock, self.sleep = config, transport, clock, sleep
+    def __init__(self, config: ApiConfig, per_hour: int | None = None, transport=None, clock=time.time, sleep=time.sleep):
+        self.config, self.transport, self.clock, self.sleep = config, transport or Connections(), clock, sleep
         self.limiter, self.rate = Limiter(per_hour or config.hourly, clock, sleep), RateInfo()
         self.slots = threading.Semaphore(max(1, config.max_concurrent))
 

@@ -46,7 +46,12 @@ def one_url(chain: DataFrame) -> DataFrame:
 
 
 def add_repo_urls(heads: DataFrame, snapshot_branches: DataFrame, origin_visit: DataFrame, origin: DataFrame) -> DataFrame:
-    return one_url(url_chain(heads, snapshot_branches, origin_visit, origin))
+    """one_url(url_chain(..)), but each snapshot's visits are reduced to the one that can win before heads meet them."""
+    order = [x for c in ("url", "origin", "type") for x in (F.col(c).isNull(), F.col(c))]
+    visited = origin_visit.select("origin", "snapshot_id").join(origin.select(F.col("id").alias("origin"), "url", "type"), "origin", "left")
+    best = visited.groupBy("snapshot_id").agg(F.min_by(F.struct("origin", "url", "type"), F.struct(*order)).alias("v")).select(F.col("snapshot_id").alias("actual_snapshot_id"), F.col("v.origin").alias("origin_id"), F.col("v.url").alias("repo_url"), F.col("v.type").alias("origin_type"))
+    to_snapshot = snapshot_branches.select(F.col("branch_id").alias("snapshot_id"), F.col("snapshot_id").alias("actual_snapshot_id"))
+    return one_url(heads.join(to_snapshot, "snapshot_id", "left").join(best, "actual_snapshot_id", "left"))
 
 
 def url_coverage(repos: DataFrame) -> DataFrame:

@@ -70,12 +70,12 @@ def files_below(roots: DataFrame, directory: DataFrame, entry_file: DataFrame, e
     A bag: shared directories give their files once for each way. Directories that are missing
     give nothing. recursive=False: only files that lie in a root itself.
     """
-    unique = unique_directories(directory)
     if recursive:
-        ways = walk(roots, dir_edges(unique, entry_dir), max_depth)
+        ways = walk(roots, dir_edges(unique_directories(directory), entry_dir), max_depth)
     else:
         ways = roots.select(F.col("root_directory_id").alias("root")).where("root is not null").distinct().select("root", F.col("root").alias("directory"), F.lit("").alias("prefix"))
-    files = file_edges(unique, entry_file, content)
+    reached = directory.join(ways.select(F.col("directory").alias("id")).distinct(), "id", "left_semi")  # before any list is spread
+    files = file_edges(unique_directories(reached), entry_file, content)
     return ways.join(files, "directory").select("root", path_join(F.col("prefix"), F.col("name")).alias("path"), "name", F.col("target").alias("sha1_git"))
 
 

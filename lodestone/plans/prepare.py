@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.operators import fetch, heads, select, tree
 from lodestone.plans import schemas
 from lodestone.plans.config import Config
-from lodestone.sources.catalog import Catalog, ensure_dataset
+from lodestone.sources.catalog import Catalog, dataset_place, source_uri
+from lodestone.sources.storage import exists, scope, settle
 
 log = logging.getLogger("lodestone")
 
@@ -42,28 +43,34 @@ def setup_logging(folder: Path) -> None:
         log.addHandler(h)
 
 
-def file_metadata(catalog: Catalog, max_depth: int = tree.MAX_DEPTH) -> DataFrame:
-    """Heads, their repositories' URLs and all files below their roots, in one pipeline. Null URLs stay null."""
+def file_metadata(catalog: Catalog, max_depth: int = tree.MAX_DEPTH, batch_size: int | None = None) -> DataFrame:
+    """Heads, their repositories' URLs and all files below their roots, in one pipeline. Null URLs stay null.
+
+    batch_size: repositories a task starts with (as far as that makes no more than MOST_TASKS); it changes only how work is dealt.
+    """
     revisions = heads.main_revisions(catalog[schemas.SNAPSHOT_BRANCH], catalog[schemas.REVISION])
     repos = heads.add_repo_urls(revisions, catalog[schemas.SNAPSHOT_BRANCHES], catalog[schemas.ORIGIN_VISIT], catalog[schemas.ORIGIN])
+    if batch_size:
+        repos = settle(repos)
+        repos = repos.repartition(min(MOST_TASKS, max(1, -(-repos.count() // batch_size))), "root_directory_id")
     files = tree.files_below(repos, catalog[schemas.DIRECTORY], catalog[schemas.ENTRY_FILE], catalog[schemas.ENTRY_DIR], catalog[schemas.CONTENT], max_depth=max_depth)
     return tree.repo_files(repos, files)
 
 
+MOST_TASKS = 10_000
+
+
 def prepare_dataset(spark: SparkSession, config: Config, catalog: Catalog | None = None) -> str:
     """Write the file metadata table; returns its path."""
-    config.raw_dataset_path.mkdir(parents=True, exist_ok=True)
-    config.processed_path.mkdir(parents=True, exist_ok=True)
     log.info("Configuration: %s", config.shown())
+    places, s3 = config.layout(), config.s3_dataset
     if catalog is None:
-        s3 = config.s3_dataset
-        if s3.auto_download:
-            ensure_dataset(spark, config.raw_dataset_path, s3.s3_url, s3.dataset_name, s3.parallelism, s3.auto_download)
-        catalog = Catalog(spark, str(config.raw_dataset_path)).load()
-    out = str(config.file_metadata_file)
-    write_metadata(file_metadata(catalog), out)
-    log.info("Saved file metadata to %s", out)
-    return out
+        source = source_uri(s3.s3_url, s3.dataset_name) if s3.auto_download else None
+        catalog = Catalog(spark, dataset_place(spark, places.tables, source, s3.in_place, s3.parallelism)).load()
+    with scope(spark):
+        write_metadata(file_metadata(catalog, batch_size=config.batch.batch_size), places.metadata)
+    log.info("Saved file metadata to %s", places.metadata)
+    return places.metadata
 
 
 def write_metadata(files: DataFrame, path: str) -> None:
@@ -72,15 +79,14 @@ def write_metadata(files: DataFrame, path: str) -> None:
 
 def download_data(spark: SparkSession, config: Config, tasks: int = 1, fetcher=fetch.Fetcher) -> str | None:
     """Fetch the selected files and write an outcome for each; None (and a warning) before parse has run."""
-    config.content_path.mkdir(parents=True, exist_ok=True)
-    config.processed_path.mkdir(parents=True, exist_ok=True)
-    if not config.file_metadata_file.exists():
-        log.warning("Metadata file not found: %s; run parse first", config.file_metadata_file)
+    places = config.layout()
+    if not exists(spark, places.metadata):
+        log.warning("There is no %s; run parse first", places.metadata)
         return None
-    files = select.hex_ids(spark.read.schema(schemas.FILE_METADATA).parquet(str(config.file_metadata_file)))
+    files = select.hex_ids(spark.read.schema(schemas.FILE_METADATA).parquet(places.metadata))
     chosen = select.select_files(files, config.processing.file_extensions, config.processing.file_patterns)
-    out = str(config.download_stats_file)
-    fetch.fetch_files(chosen, str(config.content_path), config.swh_api, config.swh_api.max_files, tasks=tasks, fetcher=fetcher).write.mode("overwrite").parquet(out)
+    out = places.outcomes
+    fetch.fetch_files(chosen, fetch.local_folder(places.contents), config.swh_api, config.swh_api.max_files, tasks=tasks, fetcher=fetcher).write.mode("overwrite").parquet(out)
     done = fetch.summary(spark.read.schema(schemas.DOWNLOAD_STATS).parquet(out)).first()
     log.info("Download complete: %d total, %d downloaded, %d skipped, %d failed", *done)
     return out

@@ -200,7 +200,7 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", fn.backoff(kind, size % 5, F.when(size % 2 == 0, size)).alias("wait"), fn.limiter_wait(size).alias("limiter"))
 
 
-@_query()
+@_query("SELECT c_custkey, c_name || chr(65533) || chr(65533) || c_mktsegment || chr(65533) AS name FROM customer")
 def utf8_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.concat(F.col("c_name").cast("binary"), F.lit(b"\xff\xfe"), F.col("c_mktsegment").cast("binary"), F.lit(b"\xe2\x82"))
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", fn.utf8_replace(broken).alias("name"))
@@ -232,9 +232,12 @@ def simulated(config: ApiConfig, hourly: int) -> fetch.Fetcher:
     return fetch.Fetcher(config, 1 << 40, world.get, world.clock, world.sleep)
 
 
-@_query()
+_ANSWERS = "CASE p_partkey % 10 WHEN 1 THEN 'timeout' WHEN 2 THEN 'network_error' WHEN 3 THEN 'not_found' WHEN 4 THEN 'max_retries_exceeded' WHEN 5 THEN 'max_retries_exceeded' ELSE 'success' END"
+
+
+@_query(f"SELECT status, count(*) AS n, CAST(sum(CASE status WHEN 'success' THEN length('{ApiConfig.base_url}/content/sha1_git:' || lower(hex('p' || p_partkey)) || '/raw/') ELSE 0 END) AS BIGINT) AS bytes FROM (SELECT p_partkey, {_ANSWERS} AS status FROM part) GROUP BY status")
 def fetch_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = storage.new_path(spark).removeprefix("file://").removeprefix("file:")
+    base = fetch.local_folder(storage.new_path(spark))
     files = hex_encode(spark, sf_dir).select("sha1_git", F.lit("https://host.example/r").alias("repo_url"), F.concat(F.lit("d/"), "p_partkey", F.lit(".py")).alias("path"))
     stats = fetch.fetch_files(files, base, ApiConfig(bearer_token=None), tasks=2, fetcher=simulated)
     return storage.settle(stats).groupBy("status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

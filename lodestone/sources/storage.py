@@ -4,17 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """Executors on other machines would write to their own disks."""
+
+
+#: Paths of the tables that the innermost open scope will delete.
+_open: ContextVar[list[str] | None] = ContextVar("lodestone_scope", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where none is set."""
+    """spark.checkpoint.dir; where none is set, a folder of our own on this machine, if the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all machines share; the master is {master}")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -27,25 +41,60 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def new_path(spark: SparkSession) -> str:
-    """A path of its own in the shared folder; removed when the session's JVM ends."""
+    """A path of its own in the shared folder; removed at the end of the open scope, or else when the session's JVM ends."""
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     fs, at = _hadoop(spark, path)
     fs.deleteOnExit(at)
+    if (held := _open.get()) is not None:
+        held.append(path)
     return path
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Whatever is settled in the block is deleted after it: write what is to stay within it."""
+    held: list[str] = []
+    token = _open.set(held)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in held:
+            fs, at = _hadoop(spark, path)
+            fs.delete(at, True)
+
+
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, settled; all other tables that it settled are deleted."""
+    path = new_path(spark)
+    with scope(spark):
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    return _read(spark, df, path)
+
+
+def _read(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _hadoop(spark, path)
     return fs.exists(at)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file at path."""
+    fs, at = _hadoop(spark, path)
+    fs.create(at, True).close()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
+    return _read(df.sparkSession, df, path)
 
 
 def forget(*tables: DataFrame | None) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lodestone.functions import text as fn
 from lodestone.operators import heads, select, tree
 from lodestone.plans import prepare, schemas
-from lodestone.sources.catalog import Catalog, MissingTable, ensure_dataset, is_dataset_present, s3_location
+from lodestone.sources.catalog import Catalog, MissingTable
 
 DIR = "id binary, file_entries array<bigint>, dir_entries array<bigint>"
 ENTRY = "id bigint, name binary, target binary"
@@ -149,17 +149,76 @@ def test_catalog(spark, tmp_path):
         c["snapshot"]
 
 
-def test_dataset_presence(spark, tmp_path):
+def put_tables(spark, place, names):
+    for name in names:
+        spark.range(1).write.mode("overwrite").parquet(f"{place}/{name}")
+
+
+def test_dataset_place(spark, tmp_path):
+    from lodestone.sources import catalog
+
+    source, place = f"file://{tmp_path}/source", f"file://{tmp_path}/own"
     with pytest.raises(FileNotFoundError):
-        ensure_dataset(spark, tmp_path / "x", "s3://b/name/parquet", "name", auto_download=False)
-    asked = []
-    assert ensure_dataset(spark, tmp_path / "x", "s3://b/name/parquet/", "name", 3, copy=lambda *a: asked.append(a[1:]))
-    assert asked == [("s3a://b/name/parquet", tmp_path / "x", 3)]
-    (tmp_path / "y.parquet").write_bytes(b"")
-    assert is_dataset_present(tmp_path) and not is_dataset_present(tmp_path / "nowhere")
-    with pytest.raises(ValueError):
-        s3_location("http://b", "name")
-    assert s3_location("s3://b/other", "name") == "s3a://b/other/name"
+        catalog.dataset_place(spark, place, None)
+    for in_place in (True, False):  # an empty source is an error, not a dataset
+        with pytest.raises(MissingTable):
+            catalog.dataset_place(spark, place, source, in_place)
+    put_tables(spark, source, catalog.NEEDED)
+    assert catalog.dataset_place(spark, place, source, in_place=True) == source
+    put_tables(spark, place, catalog.NEEDED[:2])  # a copy that was broken off
+    assert catalog.dataset_place(spark, place, source) == place
+    assert (tmp_path / "own" / catalog.COMPLETE).exists() and catalog.lacking(spark, place) == []
+    assert catalog.dataset_place(spark, place, None) == place
+    put_tables(spark, tmp_path / "third", catalog.NEEDED)
+    assert catalog.dataset_place(spark, str(tmp_path / "third"), None) == str(tmp_path / "third")
+
+
+def test_source_uri():
+    from lodestone.sources.catalog import source_uri
+
+    assert source_uri("s3://b/name/parquet/", "name") == "s3a://b/name/parquet" and source_uri("s3://b/other", "name") == "s3a://b/other/name"
+    for bad in ("http://b", "s3://", "b/name"):
+        with pytest.raises(ValueError):
+            source_uri(bad, "name")
+
+
+def test_settled_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
+    from lodestone.sources import storage
+
+    def folders():
+        import os
+
+        root = storage.shared_dir(spark).removeprefix("file://")
+        return {d for d in os.listdir(root) if d.startswith("lodestone-")}
+
+    before = folders()
+    kept = storage.alone(spark, lambda: storage.settle(storage.settle(spark.range(5)).where("id > 1")))
+    assert kept.count() == 3 and len(folders() - before) == 1
+    with pytest.raises(ZeroDivisionError), storage.scope(spark):
+        storage.settle(spark.range(2))
+        1 / 0
+    storage.forget(kept)
+    assert folders() == before
+
+
+def test_other_masters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodestone.sources import storage
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+        with pytest.raises(storage.NoSharedFolder):
+            storage.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_urls_equal_the_whole_chain(spark):
+    rng = random.Random(9)
+    h = spark.createDataFrame([(i, bytearray(b"r%d" % (i % 3)), bytearray(b"d%d" % (i % 4)), bytearray(b"m")) for i in range(30)], "snapshot_id bigint, revision_id binary, root_directory_id binary, branch_name binary")
+    to = spark.createDataFrame([(rng.randrange(30), rng.randrange(9)) for _ in range(60)], "branch_id bigint, snapshot_id bigint")
+    visit = spark.createDataFrame([(rng.choice([None, 1, 2, 3, 4, 9]), rng.randrange(9)) for _ in range(40)], "origin bigint, snapshot_id bigint")
+    origin = spark.createDataFrame([(1, "https://b", "git"), (2, None, "git"), (3, "https://a", None), (3, "https://a", "hg"), (4, "https://b", "svn")], "id bigint, url string, type string")
+    assert bag(heads.add_repo_urls(h, to, visit, origin)) == bag(heads.one_url(heads.url_chain(h, to, visit, origin)))
 
 
 def test_filters_reach_the_scan(spark, tmp_path):

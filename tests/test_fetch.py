@@ -113,10 +113,10 @@ def test_commands(spark, tmp_path, caplog):
     config = Config(data_dir=str(tmp_path))
     config.s3_dataset.auto_download = False
     assert prepare.download_data(spark, config) is None
-    raw = config.raw_dataset_path
+    raw = config.layout().tables
 
     def put(name, rows, schema):
-        spark.createDataFrame(rows, schema).write.parquet(str(raw / name))
+        spark.createDataFrame(rows, schema).write.parquet(f"{raw}/{name}")
 
     put("snapshot_branch", [(1, b"refs/heads/main", b"r", "revision")], "object_id bigint, name binary, target binary, target_type string")
     put("revision", [(b"r", b"d")], "id binary, directory binary")
@@ -143,7 +143,14 @@ def test_settings(tmp_path, monkeypatch):
     c = load_config()
     assert (c.batch.batch_size, c.swh_api.max_concurrent, c.swh_api.max_retries, c.processing.file_patterns) == (10, 5, 5, ["(?i)^license"])
     assert c.swh_api.hourly == 1200 and c.swh_api.headers["Authorization"] == "Bearer t0ken" and "t0ken" not in str(c.shown())
-    assert c.raw_dataset_path.parts[-2:] == ("raw", c.s3_dataset.dataset_name)
+    assert c.layout().tables.endswith(f"/raw/{c.s3_dataset.dataset_name}")
+    far = from_dict({"data_dir": "s3a://bucket/data/"}).layout()
+    assert far.metadata == "s3a://bucket/data/processed/file_metadata.parquet" and far.logs.is_absolute()
+    with pytest.raises(ValueError):
+        fetch.local_folder(far.contents)
+    assert fetch.local_folder("file:///a/b") == fetch.local_folder("file:/a/b") == fetch.local_folder("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        from_dict({"batch": {"batch_size": 0}})
     (tmp_path / "e.yaml").write_text("")
     assert load_config(tmp_path / "e.yaml").batch.batch_size == 4
     with pytest.raises(FileNotFoundError):
@@ -153,6 +160,47 @@ def test_settings(tmp_path, monkeypatch):
     assert from_dict({"ray": {"batch_size": 2}}).batch.batch_size == 2
 
 
+def test_environment_file(tmp_path, monkeypatch):
+    from lodestone.plans.config import environment
+
+    (tmp_path / ".env").write_text("# a note\nOTHER=x\nexport LODESTONE_T = 'from file'\n")
+    assert environment("LODESTONE_T", tmp_path) == "from file" and environment("LODESTONE_NONE", tmp_path) is None
+    monkeypatch.setenv("LODESTONE_T", "set")
+    assert environment("LODESTONE_T", tmp_path) == "set"
+
+
+def test_connections_are_kept():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        protocol_version, seen = "HTTP/1.1", []
+
+        def do_GET(self):
+            self.seen.append((self.client_address[1], self.path, self.headers["X-A"]))
+            status = 302 if "moved" in self.path else 404 if "gone" in self.path else 200
+            self.send_response(status)
+            self.send_header("Content-Length", "2")
+            if "close" in self.path:
+                self.send_header("Connection", "close")
+                self.close_connection = True
+            self.end_headers()
+            self.wfile.write(b"ok")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, get = f"http://127.0.0.1:{server.server_port}", fetch.Connections()
+    assert [get(f"{base}/{p}", {"X-A": "1"}, 5)[::2] for p in ("a?q=1", "gone", "moved", "close", "b")] == [(200, b"ok"), (404, b"ok"), (302, b"ok"), (200, b"ok"), (200, b"ok")]
+    assert [p for _, p, _ in Handler.seen] == ["/a?q=1", "/gone", "/moved", "/close", "/b"] and len({c for c, _, _ in Handler.seen[:4]}) == 1
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(fetch.NetworkError):
+        fetch.Connections()(f"{base}/a", {}, 2)
+
+
 def test_timer_logs_even_after_an_error(caplog):
     with caplog.at_level(logging.INFO, "lodestone"), pytest.raises(KeyError), prepare.timer("work"):
         raise KeyError
