@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.storage import exists, forget, new_path, settle, shared_dir
+from lodestone.sources.storage import alone, exists, forget, new_path, scope, settle, shared_dir, stored_bytes
 
 _LOW = (1 << 33) - 1
 
@@ -42,4 +42,28 @@ def ranked(df: DataFrame, *keys: str, name: str = "rank") -> tuple[DataFrame, in
     return fixed.withColumn(name, at).drop(pos), total
 
 
-__all__ = ["exists", "forget", "free_name", "long_array", "new_path", "ranked", "settle", "shared_dir"]
+HOT = 1000  #: a key is hot if it holds more than one in so many rows; hence there are fewer hot keys than that
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", least: int = 1 << 25) -> DataFrame:
+    """left joined (inner or left) with right, which has one row for each key; settle left: it is read several times.
+
+    Rows of hot keys stay where they are: their less than HOT rows of right are broadcast. So no
+    task gets all rows of a key, whatever its share. A settled left of less than least bytes, which
+    one task can hold, is simply joined.
+    """
+    held = stored_bytes(left)
+    if held is not None and held < least:
+        return left.join(right, key, how)
+    total = left.count()
+    keys = [key] if isinstance(key, str) else key
+    count = free_name(left, "rows")
+    hot = settle(left.groupBy(*keys).agg(F.count("*").alias(count)).where(F.col(count) * HOT > total).select(*keys).dropna())
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    stay = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
+    return stay.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
+__all__ = ["alone", "exists", "forget", "free_name", "join_unique", "long_array", "new_path", "ranked", "scope", "settle", "shared_dir"]

@@ -213,16 +213,21 @@ def spelled(parts: list[str], style: str) -> tuple[np.ndarray, np.ndarray, list[
     cp = points(big)
     start, end = pretokens(cp, style)
     bounds = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))))
+    code, distinct = spans_coded(cp, start, end)
+    firsts = _firsts(code, distinct)
+    return code, bounds, [big[s:e] for s, e in zip(start[firsts].tolist(), end[firsts].tolist(), strict=True)]
+
+
+def spans_coded(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each span, equal where its characters are, in the order of first places; and how many numbers there are."""
     if not len(start):
-        return np.zeros(0, np.int64), bounds, []
+        return np.zeros(0, np.int64), 0
     n = end - start
     hashes, chars, first = _spelled(cp, start, n)
     code, distinct = pd.factorize(hashes)
-    firsts = _firsts(code, len(distinct))
-    if not _alike(code, firsts, chars, first, n):
-        code, distinct = pd.factorize(np.array([big[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], object))
-        return code, bounds, list(distinct)
-    return code, bounds, [big[s:e] for s, e in zip(start[firsts].tolist(), end[firsts].tolist(), strict=True)]
+    if not _alike(code, _firsts(code, len(distinct)), chars, first, n):
+        code, distinct = pd.factorize(np.array([cp[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)], object))
+    return code, len(distinct)
 
 
 def _firsts(code: np.ndarray, n: int) -> np.ndarray:
