@@ -97,6 +97,15 @@ def settle(df: DataFrame) -> DataFrame:
     return _read(df.sparkSession, df, path)
 
 
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of a settled table's files, without a job; None: df is not one."""
+    path = getattr(df, "_settled_at", None)
+    if path is None:
+        return None
+    fs, at = _hadoop(df.sparkSession, path)
+    return fs.getContentSummary(at).getLength()
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete settled tables that nothing will read again."""
     for df in tables:
