@@ -69,10 +69,24 @@ def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     path = new_path(spark)
     with scope(spark):
         df = make()
-        df.write.option("compression", "zstd").parquet(path)
+        _write(df, path)
     return _read(spark, df, path)
 
 
+#: Whether shuffle files go with the query that wrote them, and not only with the driver's next full collection.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
 def _read(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
@@ -93,7 +107,7 @@ def touch(spark: SparkSession, path: str) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    _write(df, path)
     return _read(df.sparkSession, df, path)
 
 
