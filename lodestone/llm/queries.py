@@ -20,7 +20,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_projection_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return storage.alone(spark, lambda: vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9))
 
 
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,27 @@ def op9_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+    return storage.alone(spark, lambda: minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op3_byte_level_bpe, op4_rans_tokens, op5_random_indexing_quality, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op9_licence_dice, op10_minhash_near_dedup)}
 
-ORACLES: dict[str, str] = {"op9_licence_dice": licences.oracle()}
+_COMPONENTS = """links(a, b) AS ({links}),
+reach(id, root) AS (SELECT {id}, {id} FROM {rows} UNION SELECT b, root FROM reach JOIN links ON a = id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
+# All pairs, which only small tables allow.
+_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+{_COMPONENTS.format(links="SELECT p.vec_id, q.vec_id FROM good p JOIN good q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_inner_product(p.e, q.e) / (p.n * q.n) >= 0.9", id="vec_id", rows="v")}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON id = vec_id"""
+
+# Every pair of documents with a common shingle.
+_SHINGLES = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, p.n + q.n AS total, count(*) AS c FROM x p JOIN x q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
+{_COMPONENTS.format(links="SELECT a, b FROM shared WHERE 100 * c >= 80 * (total - c)", id="doc_id", rows="documents")}
+SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON id = doc_id"""
+
+ORACLES: dict[str, str] = {"op2_projection_near_dedup": _VECTORS, "op9_licence_dice": licences.oracle(), "op10_minhash_near_dedup": _SHINGLES}

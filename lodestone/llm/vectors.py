@@ -7,8 +7,11 @@ miss takes follow from the number of vectors and the window, and so does the len
 prefix on which the pair has to agree in one of them. Vectors that share a prefix are one run. A
 run that fits the window lies whole in one task, where windows reach over all of it; a longer one,
 as dense regions have, is compared pair by pair in blocks. So the chance does not depend on how the
-vectors are spread, and no candidate is dropped for being one of many. Windows and runs only have to connect a group: the exact step after them compares the members of
-each component block by block, counting links without emitting pairs. Equal vectors are one class.
+vectors are spread, and no candidate is dropped for being one of many. The passes carry sketches,
+unit vectors in half precision, whose error has a bound: what it cannot decide is emitted and
+compared in double precision, once. Windows and runs only have to connect a group: the exact step
+after them compares the members of each component block by block, counting links without emitting
+pairs. Equal vectors are one class.
 """
 
 from __future__ import annotations
@@ -78,22 +81,38 @@ def _joined(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(mask: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """Links that join what mask, which is symmetric, joins."""
-    root = _joined(mask)
-    new = root != np.arange(len(ids))
-    return pa.RecordBatch.from_arrays([pa.array(ids[root[new]], pa.int64()), pa.array(ids[new], pa.int64())], names=["a", "b"])
+def margin(dim: int) -> float:
+    """What two sketches' product can be away from their vectors' cosine: rounding to 11 bits, twice, sums in single precision, and the least half."""
+    return 2.0**-10 + 2.0**-20 + dim * 2.0**-22 + math.sqrt(dim) * 2.0**-24
+
+
+def _sketch(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+
+
+def _links(cosine: np.ndarray, apart: np.ndarray | None, ids: np.ndarray, threshold: float, dim: int) -> pa.RecordBatch:
+    """Sure links that join what sketches' products, a square, surely join; and each pair that may be linked beyond them. apart: the pairs to look at."""
+    off = margin(dim)
+    maybe = cosine >= threshold - off
+    if apart is not None:
+        maybe &= apart
+    np.fill_diagonal(maybe, False)
+    sure = maybe & (cosine >= threshold + off)
+    root = _joined(sure | sure.T)
+    new = np.flatnonzero(root != np.arange(len(ids)))
+    x, y = np.nonzero(maybe & ~sure)
+    open_ = root[x] != root[y]
+    x, y = x[open_], y[open_]
+    kinds = np.concatenate((np.ones(len(new), bool), np.zeros(len(x), bool)))
+    a, b = ids[np.concatenate((root[new], x))], ids[np.concatenate((new, y))]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(kinds)], names=["a", "b", "sure"])
 
 
 def _blocks(threshold: float):
     def compare(group: pa.Table) -> pa.Table:
         mine, i, j = (group.column(c).to_numpy() for c in ("mine", "i", "j"))
-        x, near = _unit(group.column("vec").to_pylist()), np.zeros((len(mine), len(mine)), bool)
-        for at in range(0, len(x), BLOCK):
-            near[at : at + BLOCK] = x[at : at + BLOCK] @ x.T >= threshold
-        if i[0] != j[0]:
-            near &= mine[:, None] != mine
-        return pa.Table.from_batches([_links(near | near.T, group.column("cid").to_numpy())])
+        x = _sketch(group.column("vec").to_pylist())
+        return pa.Table.from_batches([_links(x @ x.T, mine[:, None] != mine if i[0] != j[0] else None, group.column("cid").to_numpy(), threshold, x.shape[1])])
 
     return compare
 
@@ -106,21 +125,29 @@ def _windows(threshold: float, window: int):
             edges = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
             for s, e in zip(edges, edges[1:], strict=False):
                 if dims[s] != dim:
-                    dim, held_x, held_id = dims[s], np.zeros((0, dims[s])), np.zeros(0, np.int64)
+                    dim, held_x, held_id = dims[s], np.zeros((0, dims[s]), np.float32), np.zeros(0, np.int64)
                 for at in range(s, e, window):
-                    x, own = _unit(vecs[at : min(e, at + window)]), ids[at : min(e, at + window)]
+                    x, own = _sketch(vecs[at : min(e, at + window)]), ids[at : min(e, at + window)]
                     both, both_id = np.concatenate((held_x, x)), np.concatenate((held_id, own))
-                    near = x @ both.T >= threshold
-                    near[np.arange(len(x)), len(held_x) + np.arange(len(x))] = False
-                    if near.any():
-                        mask = np.zeros((len(both), len(both)), bool)
-                        mask[len(held_x) :] = near
-                        yield _links(mask | mask.T, both_id)
+                    cosine = np.full((len(both), len(both)), -2.0, np.float32)
+                    cosine[len(held_x) :] = x @ both.T
+                    if (cosine[len(held_x) :] >= threshold - margin(int(dim))).sum() > len(x):  # more than each with itself
+                        yield _links(cosine, None, both_id, threshold, int(dim))
                     held_x, held_id = both[-window:], both_id[-window:]
 
     return compare
 
 
+def _verified(threshold: float):
+    def compare(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(v, np.float64) for v in batch.column(i).to_pylist()] for i in (2, 3))
+            good = [float(a @ b) / (float(np.linalg.norm(a)) * float(np.linalg.norm(b))) >= threshold for a, b in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return compare
+
+
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", window: int = WINDOW, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of df.
 
@@ -146,7 +173,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, id_col: str =
                 cid, dims, vecs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
                 for dim in np.unique(dims):
                     own = np.flatnonzero(dims == dim)
-                    x, held = _unit([vecs[i] for i in own]), pa.array([vecs[i] for i in own], pa.binary())
+                    x = _unit([vecs[i] for i in own])
+                    held = pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())
                     for k in range(turns):
                         key = (x @ _planes(k, int(dim)) > 0) @ weights
                         columns = [pa.array(np.full(len(own), k, np.int32)), pa.array(dims[own]), pa.array(key >> shift)]
@@ -160,9 +188,13 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, id_col: str =
     short = keys(True).join(long_runs, run, "left_anti").repartition(*run).sortWithinPartitions("turn", "dim", "key", "cid")
     mine = keys(True).join(long_runs, run).withColumn("mine", F.pmod(F.hash("cid"), F.col("blocks")))
     met = mine.select(*run, "cid", "vec", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    near = short.select("dim", "cid", "vec").mapInArrow(_windows(threshold, window), "a long, b long").unionByName(met.groupBy(*run, "i", "j").applyInArrow(_blocks(threshold), "a long, b long"))
-    found = storage.settle(near.where("a != b").distinct())
-    storage.forget(long_runs)
+    pair = "a long, b long, sure boolean"
+    near = short.select("dim", "cid", "vec").mapInArrow(_windows(threshold, window), pair).unionByName(met.groupBy(*run, "i", "j").applyInArrow(_blocks(threshold), pair))
+    met = storage.settle(near.where("a != b").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    fetch = classes.select("cid", "vec")
+    doubt = met.where("not sure").select("a", "b").join(fetch.select(F.col("cid").alias("a"), F.col("vec").alias("x")), "a").join(fetch.select(F.col("cid").alias("b"), F.col("vec").alias("y")), "b")
+    found = storage.settle(met.where("sure").select("a", "b").unionByName(doubt.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long")))
+    storage.forget(long_runs, met)
     roots = components(found)
     members = storage.settle(classes.join(roots, classes.cid == roots.id).select("root", "cid", "copies", "vec"))
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -186,5 +218,7 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, id_col: str =
     least = members.select("root", "cid").join(classes.select("cid", "least"), "cid").groupBy("root").agg(F.min("least").alias("component"))
     named = classes.select("cid", "least", "copies").join(links, "cid", "left").join(members.select("cid", "root").join(least, "root"), "cid", "left")
     named = named.select("cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "least").alias("component"))
-    out = rows.select("id", "cid").join(named, "cid", "left").select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    linked = storage.join_unique(rows.where("cid is not null").select("id", "cid"), storage.settle(named), "cid", least=1).select("id", "n", "component")
+    alone = rows.where("cid is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    out = linked.unionByName(alone).select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

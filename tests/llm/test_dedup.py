@@ -71,6 +71,38 @@ def test_near_duplicates(spark, odd, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_like_words_and_weak_hashes_link_nothing(spark, monkeypatch):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    b = a.translate({97: 98, 98: 97})
+    rows = [(1, a), (2, b), (3, f"{a} {a} {b} {b} {a}"), (4, f"{b} {b} {a} {a} {b}"), (5, a)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    plain = __import__("lodestone.llm.words", fromlist=["x"])._spelled
+    monkeypatch.setattr("lodestone.llm.words._spelled", lambda *a: (plain(*a)[0] % np.uint64(3), *plain(*a)[1:]))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "C", "dd"]) for _ in range(rng.randrange(9))) for _ in range(400)]
+    x, y = texts[::2], texts[1::2]
+    s = [(shingles(t, 3), shingles(u, 3)) for t, u in zip(x, y, strict=True)]
+    assert minhash.similar(x, y, 3, 50, 100) == [100 * len(t & u) >= 50 * len(t | u) for t, u in s]
+
+
+def test_rows_of_hot_keys_stay(spark):
+    from lodestone.llm.storage import join_unique, settle
+
+    left = settle(spark.range(3000).selectExpr("if(id < 1000, null, if(id < 2000, 7, id)) k", "id v"))
+    right = spark.range(0, 2500).selectExpr("id k", "id * 2 w")
+    for how in ("inner", "left"):
+        assert sorted(map(str, join_unique(left, right, "k", how, least=1).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_rare_step_takes_long_texts(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:29_000], *(f"v{i}" for i in range(1000))])), (3, " ".join(reversed(words)))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    roots = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, root long")
+    assert list(map(tuple, minhash._rare_pairs(roots, docs, 5, 80).collect())) == [(1, 2)]
+
+
 def test_one_id_with_two_texts_joins_them(spark):
     rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "a b c d e f"), (3, "g h i j k l")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -86,8 +118,9 @@ def test_deduplicate_keeps_columns(odd, nothing):
 
 def test_hashes_do_not_depend_on_neighbours():
     texts = ["x y z w v", "", "one two three four five six", "One TWO three"]
-    alone = [minhash.distinct_sets([t], 4)[0].tolist() for t in texts]
-    h, b = minhash.distinct_sets(texts, 4)
+    alone = [minhash.distinct_sets([t], 4)[0][0].tolist() for t in texts]
+    (h,), b = minhash.distinct_sets(texts, 4)
+    assert (minhash.distinct_sets(texts, 4, (0, 1))[0][0] == h).all()
     assert [h[s:e].tolist() for s, e in zip(b[:-1], b[1:], strict=True)] == alone
 
 
