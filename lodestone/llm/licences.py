@@ -131,7 +131,8 @@ def scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col
     """doc_id, licences (names, comma-joined, in order), n_licences and dice (the greatest; 0 without any) for every row.
 
     Null, empty and one-word texts have none. Null ids and repeated rows are rows like any other;
-    an empty table gives no rows; other columns are not read. No row moves.
+    an empty table gives no rows; other columns are not read. Of very long texts only passages with
+    an anchor are compared. No row moves.
     """
     hits = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select("doc_id", found(F.col("t"), least=least).alias("m"))
     names = F.array_sort(F.array_distinct(F.transform("m", lambda x: x["licence"])))

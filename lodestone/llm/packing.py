@@ -114,7 +114,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, ti
     if max(histogram, default=0) > capacity:
         raise ValueError(f"a piece of {max(histogram)} is longer than the capacity {capacity}")
     runs = plan(histogram, capacity)
-    out = fixed.mapInPandas(_placer(runs, place, length), _with(fixed.drop(place), "sequence_id long, offset long"))
+    out = fixed.mapInArrow(_placer(runs, place, length), _with(fixed.drop(place), "sequence_id long, offset long"))
     return out.unionByName(rest.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
 
 
@@ -128,13 +128,13 @@ def _placer(runs, place, length):
     ranks, _, per, first, offset = (np.array(x, np.int64) for x in (zip(*runs, strict=True) if runs else [[]] * 5))
 
     def placed(batches):
-        for pdf in batches:
-            rank = pdf.pop(place).to_numpy(np.int64)
+        for batch in batches:
+            rank, size = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (place, length))
             i = np.searchsorted(ranks, rank, side="right") - 1
             k = rank - ranks[i]
-            pdf["sequence_id"] = first[i] + k // per[i]
-            pdf["offset"] = offset[i] + k % per[i] * pdf[length].to_numpy(np.int64)
-            yield pdf
+            names = [n for n in batch.schema.names if n != place]
+            own = [pa.array(first[i] + k // per[i]), pa.array(offset[i] + k % per[i] * size)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *own], names=[*names, "sequence_id", "offset"])
 
     return placed
 
@@ -144,8 +144,8 @@ def token_pieces(docs: DataFrame, path: str, style: str = "word", end_id: int =
 
     Returns doc_id, piece, start, length and ids (binary: little-endian unsigned 32-bit). Null and
     empty texts are one piece that holds end_id; null ids stay null; repeated rows give their
-    pieces again; an empty table gives none. Other columns of docs are not read. added: see
-    words.Encoder.
+    pieces again; an empty table gives none. Very long texts are encoded in parts and give as many
+    pieces as they need. Other columns of docs are not read. added: see words.Encoder.
     """
 
     def cut(batches):

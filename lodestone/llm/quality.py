@@ -162,7 +162,11 @@ class Model:
     net: Network
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, score for every row; null and empty texts have the score of no words."""
+        """doc_id, score for every row; null and empty texts have the score of no words.
+
+        Null ids stay null, repeated rows come again with equal scores, an empty table gives none;
+        texts over CHUNK characters are pooled in parts. Other columns are not read.
+        """
         vectors, net = self.vectors, self.net
 
         def rate(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import storage
@@ -89,3 +89,56 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     name = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), name("lang").alias("lang"), name("source").alias("source"))
     return shard(rows, shards, (hashed(F.col("lang"), 8), hashed(F.col("source"), 8), scaled(F.col("size"), 8, 1e6)), ("text_crc32", "doc_id"))
+
+
+CELLS = ("cell_lang", "cell_source", "cell_size")
+
+
+def _cells(lang: Column, source: Column, size: Column) -> tuple[Column, Column, Column]:
+    return hashed(lang, 8), hashed(source, 8), scaled(size, 8, 1e6)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
+    """Write all columns of docs in the curve's order, a folder for each shard, below path/rows; and each shard's least and greatest cells to path/manifest.
+
+    docs has doc_id, text, lang and source. Adds size, the cells (CELLS), curve, shard and slot; own
+    columns of these names are replaced. Null metadata has cells too. An empty table keeps its schema.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("size", (F.octet_length(text) + 1).cast("long"))
+    rows = rows.withColumns(dict(zip(CELLS, _cells(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("size")), strict=True)))
+    dealt = storage.settle(shard(rows, shards, tuple(map(F.col, CELLS)), ("doc_id",)))
+    if dealt.isEmpty():
+        dealt.drop("shard").write.parquet(f"{path}/rows/shard=0")
+    else:
+        dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(f"{path}/rows")
+    ranges = [f(c).alias(f"{n}_{c}") for c in CELLS for n, f in (("least", F.min), ("most", F.max))]
+    dealt.groupBy("shard").agg(F.count("*").alias("n"), *ranges).coalesce(1).write.parquet(f"{path}/manifest")
+    storage.forget(dealt)
+
+
+def _box(lang: str | None, source: str | None, sizes: tuple[int, int] | None) -> list[tuple[str, Column, Column]]:
+    """The given dimensions' cells, from and to."""
+    low, high = (_cells(F.lit(lang), F.lit(source), F.lit(size)) for size in sizes or (0, 0))
+    return [(c, a, b) for c, a, b, held in zip(CELLS, low, high, (lang, source, sizes), strict=True) if held is not None]
+
+
+def shards_of_box(spark: SparkSession, path: str, lang: str | None = None, source: str | None = None, sizes: tuple[int, int] | None = None) -> list[int]:
+    """Shards whose ranges of cells meet the box; of the manifest these numbers go to the driver."""
+    meets = F.lit(True)
+    for c, a, b in _box(lang, source, sizes):
+        meets &= (F.col(f"most_{c}") >= a) & (F.col(f"least_{c}") <= b)
+    return sorted(r["shard"] for r in spark.read.parquet(f"{path}/manifest").where(meets).select("shard").collect())
+
+
+def read_box(spark: SparkSession, path: str, lang: str | None = None, source: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of write_shards() with this language, source and size (both ends included); None: any.
+
+    Only shards whose ranges of cells meet the box are read, and of these only row groups that do.
+    """
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("shard").isin(shards_of_box(spark, path, lang, source, sizes)))
+    for c, a, b in _box(lang, source, sizes):
+        rows = rows.where(F.col(c).between(a, b))
+    for name, value in (("lang", lang), ("source", source)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows.where(F.col("size").between(*sizes)) if sizes else rows

@@ -347,6 +347,27 @@ def test_shards(odd, nothing):
     assert {r["size"] for r in got if r["doc_id"] == 3} == {1} and sharding.shard_documents(nothing).count() == 0
 
 
+def test_shard_files_are_pruned(spark, nothing):
+    from lodestone.llm import storage
+
+    rng = random.Random(7)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 14)), rng.choice(["en", "de", "fr", "es", None]), rng.choice(["web", "book", "code", "news"]), 1) for i in range(3000)]
+    path = storage.new_path(spark)
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot int").repartition(4), path, 64)
+    assert spark.read.parquet(f"{path}/rows").count() == 3000 and spark.read.parquet(f"{path}/manifest").count() == 64
+    for lang, source, sizes in (("de", "web", (100, 800)), ("fr", None, (1, 20)), (None, "code", None), (None, None, None), ("xx", None, None)):
+        got = sharding.read_box(spark, path, lang, source, sizes)
+        want = {r[0] for r in rows if lang in (None, r[2]) and source in (None, r[3]) and (not sizes or sizes[0] <= len(r[1]) + 1 <= sizes[1])}
+        assert {r["doc_id"] for r in got.select("doc_id").collect()} == want
+        read = sharding.shards_of_box(spark, path, lang, source, sizes)
+        assert len(read) <= {"de": 12, "fr": 20}.get(lang, 64)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in plan and {r["shard"] for r in got.select("shard").distinct().collect()} <= set(read)
+    empty = storage.new_path(spark)
+    sharding.write_shards(nothing, empty)
+    assert sharding.read_box(spark, empty, "de").count() == 0
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
