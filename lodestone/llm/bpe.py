@@ -1,26 +1,34 @@
-"""Byte-level byte-pair encoding and decoding in the JVM.
+"""Byte-level byte-pair encoding and decoding.
 
 A word's bytes are a list of token ids; a higher-order fold replaces, merge after merge, the pair
 with the lowest rank, until no pair has one. Ranks come from a literal map: a perfect hash over
-the pairs of tokens whose bytes together are a token. Frequent words of a bounded sample are folded
-once, each distinct word alone, and looked up by a literal table; every other word is folded in
-its place, so the table changes nothing but the time. Decoding joins the tokens' pieces.
+the pairs of tokens whose bytes together are a token. Each distinct word is folded once. A bounded
+table of folded words that are frequent in a sample goes to all tasks; what other words a text has
+is joined to it by the word, so only few words travel, and the texts' ids only once. Decoding joins
+the tokens' pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import storage
+from lodestone.llm.words import CHUNK, UNKNOWN, classes, cuts, points, spelled
 
-SAMPLE_DOCS, TABLE_BITS = 16384, 18
+SAMPLE_DOCS, TABLE_WORDS, TABLE_BYTES = 1 << 16, 1 << 18, 64
+HELD = 1 << 17  #: words that a task counts before it hands their counts on
+LONG, BLOCK = 1024, 0.5  #: words of more bytes are folded in blocks of BLOCK * sqrt(bytes) tokens
 _EDGE, _NONE = 65535, 65536
-_P, _S, _C, _D = 65521, 524287, 668265261, 40503  # sizes and factors of the perfect hash
+_P, _S, _C, _D = 65521, 196613, 668265261, 40503  # sizes and factors of the perfect hash
 _SEP = "\x01"
 
 
@@ -75,27 +83,35 @@ def _strings(values: list[str]) -> Column:
 
 
 def _let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value), with value computed once; unlike a transform, an aggregate copies nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
 
 
 def fold(word: Column, r: Ranks) -> Column:
     """The ids of one word (array<bigint>): its bytes, merged by rank."""
-    shift, table, first = storage.long_array(r.shift), storage.long_array(r.table), storage.long_array(r.bytes)
+    tables = F.struct(storage.long_array(r.shift).alias("shift"), storage.long_array(r.table).alias("table"), storage.long_array(r.bytes).alias("first"))
+    return _let(tables, lambda q: F.when(F.octet_length(word) > LONG, _fold_blocks(word, q)).otherwise(_fold_plain(word, q)))
 
-    def ranked(keys: Column) -> Column:  # below _NONE: the merged token; else there is none
-        return F.transform(keys, lambda k: F.get(table, F.pmod(k * F.lit(_C) + F.get(shift, F.pmod(k, F.lit(_P))) * F.lit(_D), F.lit(_S))).bitwiseXOR(k * F.lit(65536)))
 
+def _ranked(keys: Column, q: Column) -> Column:
+    """Of each pair (left * 2^16 + right) the merged token if below _NONE; else there is none."""
+    return F.transform(keys, lambda k: F.get(q["table"], F.pmod(k * F.lit(_C) + F.get(q["shift"], F.pmod(k, F.lit(_P))) * F.lit(_D), F.lit(_S))).bitwiseXOR(k * F.lit(65536)))
+
+
+def _bytes(word: Column, q: Column) -> Column:
     chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-    ids = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.get(first, F.ascii(c)))
-    edge = F.array(F.lit(_EDGE).cast("bigint"))
-    none = F.array().cast("array<bigint>")
+    return F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.get(q["first"], F.ascii(c)))
+
+
+def _neighbours(t: Column) -> Column:
+    return F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: a * F.lit(65536) + b)
 
-    # State: tokens t between two edges, ranks r of neighbours, and p, the place and the keys to rank anew.
-    def keys(t: Column) -> Column:
-        return F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: a * F.lit(65536) + b)
 
-    start = _let(F.concat(edge, ids, edge), lambda t: F.struct(t.alias("t"), none.alias("a"), keys(t).alias("k"), none.alias("z")))
+def _fold_plain(word: Column, q: Column) -> Column:
+    """Every merge makes the list anew."""
+    edge, none = F.array(F.lit(_EDGE).cast("bigint")), F.array().cast("array<bigint>")
+    # State: tokens t between two edges, ranks a and z of neighbours before and after k, the keys to rank anew.
+    start = _let(F.concat(edge, _bytes(word, q), edge), lambda t: F.struct(t.alias("t"), none.alias("a"), _neighbours(t).alias("k"), none.alias("z")))
 
     def merge(acc: Column, _: Column) -> Column:
         def with_ranks(ranks_: Column) -> Column:
@@ -109,42 +125,267 @@ def fold(word: Column, r: Ranks) -> Column:
 
             return _let(F.array_min(ranks_), with_best)
 
-        return _let(F.concat(acc["a"], ranked(acc["k"]), acc["z"]), with_ranks)
+        return _let(F.concat(acc["a"], _ranked(acc["k"], q), acc["z"]), with_ranks)
 
     done = F.aggregate(F.array_repeat(F.lit(0), F.octet_length(word) - 1), start, merge)["t"]
     return F.filter(done, lambda i: i != F.lit(_EDGE))
 
 
-def split_words(text: Column, pattern: str) -> Column:
-    """All matches of pattern, whose classes are Unicode's."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+def _fold_blocks(word: Column, q: Column) -> Column:
+    """The same for long words: tokens lie in blocks, and a merge makes anew one block, or three at a block's edge, and the list of blocks.
+
+    A block has tokens t, of each the rank r of its pair with the next, and the least of these, m.
+    """
+    edge = F.lit(_EDGE).cast("bigint")
+    room = F.ceil(F.sqrt(F.octet_length(word)) * F.lit(BLOCK)).cast("int")
+
+    def block(t: Column, r: Column, at: Column, n: Column) -> Column:
+        return _let(F.slice(r, at, n), lambda own: F.struct(F.slice(t, at, n).alias("t"), own.alias("r"), F.array_min(own).alias("m")))
+
+    def dealt(t: Column, r: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(t) / size).cast("int") - 1), lambda k: block(t, r, k * size + 1, size))
+
+    start = _let(_bytes(word, q), lambda t: _let(_ranked(_neighbours(F.concat(t, F.array(edge))), q), lambda r: dealt(t, r, room)))
+
+    def merge(acc: Column, _: Column) -> Column:
+        def with_least(least: Column) -> Column:
+            def with_best(best: Column) -> Column:
+                def in_block(j: Column) -> Column:
+                    own = F.get(acc, j - 1)["r"]
+                    return _let(F.array_position(own, best).cast("int"), lambda i: _let(F.when((i > 1) & (i < F.size(own)), F.struct(j.alias("low"), j.alias("high"))).otherwise(F.struct(F.greatest(j - 1, F.lit(1)).alias("low"), F.least(j + 1, F.size(acc)).alias("high"))), among))
+
+                def among(reach: Column) -> Column:
+                    low, high = reach["low"], reach["high"]
+                    near, after = F.slice(acc, low, high - low + 1), F.coalesce(F.get(F.get(acc, high)["t"], F.lit(0)), edge)
+
+                    def with_near(x: Column) -> Column:
+                        t, r = x["t"], x["r"]
 
+                        def at(i: Column) -> Column:
+                            before = F.when(i > 1, F.get(t, i - 2)).otherwise(edge)
+                            then = F.coalesce(F.get(t, i + 1), after)
 
-def _line(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), " ")
+                            def with_pair(pair: Column) -> Column:
+                                r_left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.slice(pair, 1, 1))).otherwise(F.array().cast("array<bigint>"))
+                                merged = F.struct(F.concat(F.slice(t, F.lit(1), i - 1), F.array(best), F.slice(t, i + 2, F.size(t))).alias("t"), F.concat(r_left, F.slice(pair, 2, 1), F.slice(r, i + 2, F.size(r))).alias("r"))
+                                return _let(merged, lambda y: dealt(y["t"], y["r"], F.ceil(F.size(y["t"]) / F.ceil(F.size(y["t"]) / room)).cast("int")))
 
+                            return _let(_ranked(F.array(before * F.lit(65536) + best, best * F.lit(65536) + then), q), with_pair)
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, table_bits: int = TABLE_BITS) -> DataFrame:
+                        return _let(F.array_position(r, best).cast("int"), at)
+
+                    new = _let(F.struct(F.flatten(F.transform(near, lambda b: b["t"])).alias("t"), F.flatten(F.transform(near, lambda b: b["r"])).alias("r")), with_near)
+                    return F.concat(F.slice(acc, F.lit(1), low - 1), new, F.slice(acc, high + 1, F.size(acc)))
+
+                return F.when(best >= _NONE, acc).otherwise(_let(F.array_position(least, best).cast("int"), in_block))
+
+            return _let(F.array_min(least), with_best)
+
+        return _let(F.transform(acc, lambda b: b["m"]), with_least)
+
+    return F.flatten(F.transform(F.aggregate(F.array_repeat(F.lit(0), F.octet_length(word) - 1), start, merge), lambda b: b["t"]))
+
+
+@lru_cache(maxsize=2)
+def _matcher(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def occurrences(texts: list[str | None], pattern: str):
+    """Runs of texts, long ones in parts: (text of each part, code of each word, where each part's begin, the distinct words).
+
+    The distinct words are compared letter by letter. Words are all matches of pattern; for the
+    public pattern without a search, unless a text has code points that this Python does not know.
+    """
+    import public_tokenizers
+
+    quick = pattern == public_tokenizers.PATTERN
+
+    def searched(k: int, text: str):
+        code, words = pd.factorize(np.array(_matcher(pattern).findall(text), object)) if text else (np.zeros(0, np.int64), [])
+        return [k], code, np.array([0, len(code)]), list(words)
+
+    def split(held: list[tuple[int, str]]):
+        code, bounds, words = spelled([t for _, t in held], "byte")
+        return [k for k, _ in held], code, bounds, words
+
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        if not text:
+            continue
+        if not quick or not text.isascii() and (classes()[points(text)] >= UNKNOWN).any():
+            yield searched(k, text)
+            continue
+        for part in cuts(text) if len(text) > CHUNK else (text,):
+            if held and size + len(part) > CHUNK:
+                yield split(held)
+                held, size = [], 0
+            held.append((k, part))
+            size += len(part) + 1
+    if held:
+        yield split(held)
+
+
+class Table:
+    """Folded words: a list of ids each, and a mark for every other word."""
+
+    def __init__(self, table: pa.Table):
+        """table: w (string) and ids (list of whole numbers)."""
+        self.place = dict(zip(table.column("w").to_pylist(), range(table.num_rows), strict=True))
+        ids = [c.flatten().to_numpy() for c in table.column("ids").chunks]
+        self.ids = np.concatenate([*ids, [_EDGE]]).astype(np.uint16)
+        self.n = np.append(pa.compute.list_value_length(table.column("ids")).to_numpy().astype(np.int64), 1)
+        self.at = np.cumsum(self.n) - self.n
+
+    def coded(self, texts: list[str | None], pattern: str, ids_too: bool = True) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """Of each text: ids with a mark in place of each word that is not here (none unless ids_too), which word that is, and these words."""
+        out: list[list] = [[] for _ in texts]
+        for who, code, bounds, words in occurrences(texts, pattern):
+            here = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+            at = here[code] if len(code) else np.zeros(0, np.int64)
+            n = self.n[at] if ids_too else np.zeros(len(at), np.int64)
+            total = np.concatenate(([0], np.cumsum(n)))
+            ids = self.ids[np.repeat(self.at[at] - total[:-1], n) + np.arange(total[-1])]
+            gap = np.flatnonzero(at < 0)
+            owner = np.searchsorted(bounds, gap, side="right") - 1
+            which, pairs = pd.factorize(owner * np.int64(len(words) + 1) + code[gap])
+            pair_owner, pair_word = pairs // (len(words) + 1), pairs % (len(words) + 1)
+            first, last = np.searchsorted(pair_owner, np.arange(len(who))), np.searchsorted(pair_owner, np.arange(len(who)), side="right")
+            cut = np.searchsorted(owner, np.arange(len(who) + 1))
+            for p, k in enumerate(who):
+                out[k].append((ids[total[bounds[p]] : total[bounds[p + 1]]], which[cut[p] : cut[p + 1]] - first[p], [words[w] for w in pair_word[first[p] : last[p]]]))
+        return [_joined(x) for x in out]
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, list[str]]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    if not parts:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64), []
+    if len(parts) == 1:
+        return parts[0]
+    seen: dict[str, int] = {}
+    gaps = [np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)[which] for _, which, words in parts]
+    return np.concatenate([p[0] for p in parts]), np.concatenate(gaps), list(seen)
+
+
+def _frequent(texts: DataFrame, pattern: str, most: int) -> DataFrame:
+    """Words of the texts, with the greatest counts, at most so many: w. Only a histogram of counts goes to the driver."""
+
+    def count(batches):
+        counts: dict[str, int] = {}
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for _, code, _, words in occurrences(batch.column(0).slice(at, 512).to_pylist(), pattern):
+                    for w, n in zip(words, np.bincount(code, minlength=len(words)).tolist(), strict=True):
+                        counts[w] = counts.get(w, 0) + n
+                if len(counts) > HELD:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    counted = storage.settle(texts.select("t").mapInArrow(count, "w string, n long").where(F.octet_length("w") <= TABLE_BYTES).groupBy("w").agg(F.sum("n").alias("n")))
+    left, least = most, None
+    step = F.floor(F.log2("n") * 8)
+    for k, n in sorted(counted.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = k
+    return counted.where(step >= least if least is not None else F.lit(False)).select("w")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, ids (decimal ids joined by one space) of every row of docs.
 
     Null and empty texts have no ids (an empty string). Null ids and repeated rows are rows like
-    any other; an empty table gives no rows; other columns are not read. The time grows with the square of a word's length.
-    The table of frequent words comes from at most sample_docs documents and has at most
-    2^table_bits places; these bound what goes to the driver and into the plan.
+    any other; an empty table gives no rows; other columns are not read. Long texts are split in
+    parts, long words folded in blocks, in time that grows little more than linearly.
+
+    The table of frequent words comes from about sample_docs rows and has at most table_words of
+    at most TABLE_BYTES bytes; these bound what goes to the driver and to every task, and change
+    nothing but the time. Words outside it are rare, so no join key of a word is hot. Rows meet the
+    words of their texts by a digest of the text: equal texts look them up once, and adaptive
+    execution splits the rows of a very common text; rows without such words are spread.
     """
-    r, size, spark = ranks(path), 1 << table_bits, docs.sparkSession
+    r, spark = ranks(path), docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    words = texts.select("doc_id", split_words(F.col("t"), pattern).alias("w"))
-    some = texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample_docs).distinct()
-    counted = words.join(F.broadcast(some), "doc_id", "left_semi").select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(~F.contains("w", F.lit(_SEP)) & (F.octet_length("w") <= 64))
-    places = counted.withColumn("at", F.pmod(F.xxhash64("w"), F.lit(size))).groupBy("at").agg(F.max_by("w", F.struct("n", "w")).alias("w"))
-    known, lines = [""] * size, [""] * size
-    for at, w, line in places.repartition(spark.sparkContext.defaultParallelism, "at").select("at", "w", _line(fold(F.col("w"), r)).alias("line")).collect():
-        known[at], lines[at] = w, line
-    k, v = _strings(known), _strings(lines)
-    at = F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    each = F.zip_with("w", at, lambda w, i: F.when(F.get(k, i) == w, F.get(v, i)).otherwise(_line(fold(w, r))))
-    return words.select("doc_id", F.array_join(each, " ").alias("ids"))
+    rows = texts.count()
+    known = _frequent(texts.sample(min(1.0, sample_docs / rows), 5) if rows > sample_docs else texts, pattern, table_words) if rows else texts.select(F.col("t").alias("w")).limit(0)
+    folded = known.select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")).repartition(spark.sparkContext.defaultParallelism).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, folded.schema) as out:
+        out.write_table(folded)
+    del folded, out
+    shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del sink
+    name = uuid.uuid4().hex
+    keyed = texts.select(F.unhex(F.md5(F.col("t").cast("binary"))).alias("key"), "doc_id", "t")
+
+    def coded(batches, ids_too):
+        table = _table(name, shared)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                got = batch.slice(at, 512)
+                yield got, table.coded(got.column(2).to_pylist(), pattern, ids_too)
+
+    def rare(batches):
+        for got, rows in coded(batches, False):
+            some = [i for i, x in enumerate(rows) if x[2]]
+            yield pa.RecordBatch.from_arrays([got.column(0).take(pa.array(some, pa.int32())), pa.array([rows[i][2] for i in some], pa.list_(pa.string()))], names=["key", "words"])
+
+    def partial(batches):
+        import zstandard
+        from pyspark import TaskContext
+
+        zip_, part, n = zstandard.ZstdCompressor(3), TaskContext.get().partitionId(), 0
+        for got, rows in coded(batches, True):
+            keys = [k if x[2] else b"no other words: %d, %d" % (part, n + i) for i, (k, x) in enumerate(zip(got.column(0).to_pylist(), rows, strict=True))]
+            n += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), got.column(1), pa.array([zip_.compress(x[0].astype("<u2").tobytes()) for x in rows], pa.binary()), pa.array([zip_.compress(x[1].astype("<u4").tobytes()) for x in rows], pa.binary())], names=["key", "doc_id", "ids", "gaps"])
+
+    def assembled(batches):
+        import zstandard
+
+        unzip, names = zstandard.ZstdDecompressor(), list(map(str, range(_EDGE)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                got, lines = batch.slice(at, 256), []
+                for ids, gaps, found in zip(*(got.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    ids, gaps = np.frombuffer(unzip.decompress(ids), "<u2"), np.frombuffer(unzip.decompress(gaps), "<u4")
+                    if len(gaps):
+                        n = np.fromiter(map(len, found), np.int64, len(found))
+                        flat, first = np.fromiter((i for x in found for i in x), np.uint16, int(n.sum())), np.cumsum(n) - n
+                        size, begin, source = np.ones(len(ids), np.int64), np.arange(len(ids)), np.concatenate((ids, flat))
+                        hole = np.flatnonzero(ids == _EDGE)
+                        size[hole], begin[hole] = n[gaps], len(ids) + first[gaps]
+                        total = np.cumsum(size)
+                        ids = source[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]))]
+                    lines.append(" ".join(map(names.__getitem__, ids.tolist())))
+                yield pa.RecordBatch.from_arrays([got.column(0), pa.array(lines, pa.string())], names=["doc_id", "ids"])
+
+    needed = storage.settle(keyed.mapInArrow(rare, "key binary, words array<string>").groupBy("key").agg(F.any_value("words").alias("words")))
+    placed = needed.select("key", F.posexplode("words").alias("i", "w"))
+    lines = storage.settle(needed.select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
+    found = storage.settle(placed.join(lines, "w").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"]).alias("found")))
+    storage.forget(needed, lines)
+    marked = keyed.mapInArrow(partial, "key binary, doc_id long, ids binary, gaps binary")
+    return marked.join(found, "key", "left").select("doc_id", "ids", "gaps", "found").mapInArrow(assembled, "doc_id long, ids string")
+
+
+_held: tuple[str, Table] | None = None
+
+
+def _table(name: str, shared) -> Table:
+    """One for each worker, while it works on one table."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = (name, Table(pa.ipc.open_stream(shared.value).read_all()))
+    return _held[1]
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,6 +54,51 @@ def test_queries_of_tokens_equal_the_unmodified_library(spark, tmp_path):
         assert {r["doc_id"]: r["ids_crc32"] for r in query(spark, str(tmp_path)).collect()} == want
 
 
+def twins(n=1024):
+    """Two words of n letters that a polynomial modulo 2^64 cannot tell apart, whatever its odd base."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("path, style", [(WORD, "word"), (BYTE, "byte")])
+def test_words_that_polynomials_mix_up(path, style):
+    lib = Tokenizer.from_file(path)
+    texts = [w for n in (512, 1024, 2048, 4096) for w in twins(n)] + [" ".join(twins()), "x"]
+    assert [g.tolist() for g in Encoder(path, style).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("path, style", [(WORD, "word"), (BYTE, "byte")])
+def test_words_are_compared_and_not_only_their_hashes(path, style, monkeypatch):
+    from lodestone.llm import words
+
+    plain = words._spelled
+
+    def weak(*a):  # only 16 hashes
+        h, chars, first = plain(*a)
+        return h % np.uint64(16), chars, first
+
+    monkeypatch.setattr(words, "_spelled", weak)
+    lib, enc = Tokenizer.from_file(path), Encoder(path, style)
+    for texts in (["one", "two"], ["three four five six seven eight nine ten", "one", "", "a b c d e f g h i j k l m n o p q r s t"], ["one", "two 7 ''"]):
+        assert [g.tolist() for g in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_memory_of_words():
+    from lodestone.llm.words import Memory
+
+    m, rng, known = Memory(), np.random.default_rng(1), {}
+    for _ in range(40):
+        h = np.setdiff1d(rng.integers(0, 1 << 14, 300).astype(np.uint64) << np.uint64(8), np.array(list(known), np.uint64))
+        n = rng.integers(1, 9, len(h))
+        m.add(h, np.repeat(h, n).astype(np.uint32), n, np.repeat(h, n).astype(np.uint32), n)
+        known |= dict(zip(h.tolist(), n.tolist(), strict=True))
+    h = np.array([*known, 1, 2, 3], np.uint64)
+    at = m.find(h)
+    assert (at[-3:] == -1).all() and (m.keys[at[:-3]] == h[:-3]).all()
+    ids, n = m.gather(at[:-3])
+    assert n.tolist() == list(known.values()) and (ids == np.repeat(h[:-3], n).astype(np.uint32)).all()
+
+
 def test_long_texts_are_cut_where_no_token_can_be():
     text = "ab  cd e\n f " * 3000
     parts = list(cuts(text, 1000))
@@ -159,15 +205,66 @@ def test_token_files(spark, odd, nothing):
             at += r["n_tokens"]
 
 
-def test_pair_encoding(spark, odd, nothing):
+def test_token_files_of_repeated_ids_and_like_words(spark):
+    a, b = twins()
+    rows = [(5, "x y"), (5, "x"), (5, "x y z"), (3, a), (4, b), (None, "n"), (None, "m m"), *[(6, "same")] * 50]
+    lib, want = Tokenizer.from_file(BYTE), None
+    for parts in (1, 7):
+        path = storage.new_path(spark)
+        rans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), path, BYTE)
+        got = sorted(map(tuple, rans.read_tokens(spark, path, keep_ids=False).collect()), key=lambda r: r[1])
+        assert want is None or got == want
+        want = got
+    crc = lambda t: zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((str(r[0]), r[3]) for r in got) == sorted((str(d), crc(t)) for d, t in rows)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+
+
+def pair_library():
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANK, "rb"))}
-    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    docs = odd.where("doc_id is null or doc_id <> 10")
-    for sample in (4, 0):  # words from the table, and all of them folded in place
-        coded = bpe.encode(docs.where("n = 0"), RANK, P.PATTERN, sample_docs=sample, table_bits=8)
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_pair_encoding(spark, odd, nothing):
+    lib = pair_library()
+    a, b = twins()
+    rng = random.Random(12)
+    more = spark.createDataFrame([(20, a), (21, b), (22, "other words here " * 40_000 + "and a last one"), (24, "".join(rng.choice("abcdefghij") for _ in range(3000))), (25, "\U0003fff0 's \U0010ffff q"), *[(26, "many equal texts")] * 300], "doc_id long, text string")
+    docs = odd.where("n = 0").select("doc_id", "text").unionByName(more)
+    want = sorted((str(r["doc_id"]), (ids := lib.encode_ordinary(r["text"] or "")) and " ".join(map(str, ids)) or "", len(ids), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
+    for sample, table in ((1 << 16, 1 << 16), (30, 50)):  # words from the table, or few of them
+        coded = bpe.encode(docs, RANK, P.PATTERN, sample_docs=sample, table_words=table)
         got = coded.select("doc_id", "ids", bpe.count(F.col("ids")).alias("n"), F.sha2(bpe.decode(F.col("ids"), RANK), 256).alias("d")).collect()
-        want = sorted((str(r["doc_id"]), (ids := lib.encode_ordinary(r["text"] or "")) and " ".join(map(str, ids)) or "", len(ids), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
         assert sorted((str(r["doc_id"]), r["ids"], r["n"], r["d"]) for r in got) == want
-    assert bpe.encode(nothing, RANK, P.PATTERN, table_bits=4).count() == 0
+    assert bpe.encode(nothing, RANK, P.PATTERN).count() == 0
+    assert bpe.encode(docs.where("text is null or text = ''"), RANK, P.PATTERN).where("ids <> ''").count() == 0
+
+
+def test_a_very_long_word(spark):
+    word = "x" * 12_000 + "".join(random.Random(3).choice("abcdefghij") for _ in range(8_000))
+    got = bpe.encode(spark.createDataFrame([(1, word)], "doc_id long, text string"), RANK, P.PATTERN).first()["ids"]
+    assert got == " ".join(map(str, pair_library().encode_ordinary(word)))
+
+
+def test_folds_of_words(spark, monkeypatch):
+    lib, rng = pair_library(), random.Random(4)
+    words = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet in ("abc", "etaoinshr ", "é日Ж1") for n in (*range(1, 30), 100, 300)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for long, block in ((1024, 0.5), (3, 0.1), (3, 0.5), (3, 2), (3, 30)):
+        monkeypatch.setattr(bpe, "LONG", long)
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        got = {r["w"]: r["ids"] for r in df.select("w", bpe.fold(F.col("w"), bpe.ranks(RANK)).alias("ids")).collect()}
+        assert got == {w: lib._encode_single_piece(w.encode()) for w in words}
+
+
+def test_texts_in_parts_keep_their_other_words(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 40)
+    monkeypatch.setattr("lodestone.llm.words.CHUNK", 40)
+    table = bpe.Table(pa.table({"w": [" b", "a"], "ids": [[7, 8], [9]]}))
+    texts = ["a b c b d", None, " b" * 60 + " x", " x y" * 30 + " b z x", ""]
+    ids, gaps, words = map(list, zip(*table.coded(texts, P.PATTERN), strict=True))
+    assert words[0] == [" c", " d"] and words[2] == [" x"] and words[3] == [" x", " y", " z"] and words[4] == []
+    assert gaps[3].tolist() == [0, 1] * 30 + [2, 0] and ids[0].tolist() == [9, 7, 8, 65535, 7, 8, 65535]
+    assert ids[2].tolist() == [7, 8] * 60 + [65535]
