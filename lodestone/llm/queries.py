@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, licences, minhash, mpeg, packing, pii, quality, rans, sharding, storage, vectors
+from lodestone.llm import bpe, divergence, licences, minhash, mpeg, packing, pii, quality, rans, search, sharding, storage, transducer, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.alone(spark, lambda: minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op3_byte_level_bpe, op4_rans_tokens, op5_random_indexing_quality, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op9_licence_dice, op10_minhash_near_dedup)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.alone(spark, lambda: divergence.divergence(_table(spark, sf_dir, "documents")))
+
+
+def op12_impact_ordered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.alone(spark, lambda: search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return transducer.digests(transducer.encode(_table(spark, sf_dir, "documents"), path), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_projection_near_dedup, op3_byte_level_bpe, op4_rans_tokens, op5_random_indexing_quality, op6_candidate_boosting_pii, op7_mpeg_audio, op8_hilbert_sharding, op9_licence_dice, op10_minhash_near_dedup, op11_source_divergence, op12_impact_ordered_search, op13_streaming_bpe)}
 
 _COMPONENTS = """links(a, b) AS ({links}),
 reach(id, root) AS (SELECT {id}, {id} FROM {rows} UNION SELECT b, root FROM reach JOIN links ON a = id),
@@ -84,4 +97,4 @@ shared AS (SELECT p.doc_id AS a, q.doc_id AS b, p.n + q.n AS total, count(*) AS
 {_COMPONENTS.format(links="SELECT a, b FROM shared WHERE 100 * c >= 80 * (total - c)", id="doc_id", rows="documents")}
 SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON id = doc_id"""
 
-ORACLES: dict[str, str] = {"op2_projection_near_dedup": _VECTORS, "op9_licence_dice": licences.oracle(), "op10_minhash_near_dedup": _SHINGLES}
+ORACLES: dict[str, str] = {"op2_projection_near_dedup": _VECTORS, "op9_licence_dice": licences.oracle(), "op10_minhash_near_dedup": _SHINGLES, "op11_source_divergence": divergence.ORACLE, "op12_impact_ordered_search": search.ORACLE}

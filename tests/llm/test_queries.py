@@ -136,7 +136,7 @@ def test_op8(spark, texts):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want, df = db.sql(queries.ORACLES[name]), queries.QUERIES[name](spark, SF)
     assert sorted(want.columns) == sorted(df.columns)
