@@ -1,15 +1,18 @@
-"""Ranked lexical search over an index whose postings lie by descending impact.
-
-A posting's impact is the exact whole number that it adds to a document's score. Postings of one
-term and one impact are a group; groups lie in the order of their impact, best first. An item is
-scored a level of impacts after another, from the highest down: it is settled as soon as the bounds
-of what remains prove that no document outside those met can be among its best, and that few of
-those met can; these get their complete scores from their own rows. Otherwise the item goes on to
-lower impacts. Nothing is skipped without that proof, so results equal those of a full evaluation.
+"""Ranked lexical search, score at a time, over postings that lie by descending impact.
+
+A posting's impact is the exact whole number that it adds to a document's score. Documents lie in
+shards; in a shard each term's postings are grouped by equal impact, groups from the greatest
+down. An item takes the groups of all its terms in descending order, a turn of them after another,
+until the bounds of what remains prove that no document without a posting so far can be among the k
+best, and that few of the others can: these get their complete scores from their own rows. A task
+carries each item's best scores from shard to shard, so that the proof comes sooner and sooner.
+Nothing is skipped without it, so results equal those of a full evaluation; scores never move
+between machines but those of each task's best.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +20,10 @@ from pyspark.sql import functions as F
 from lodestone.llm import storage
 
 K1000, HALF = 1_000_000_000, 50
-PAIRS = 1 << 18  #: (item, term) pairs that are searched at once; more items are searched in slices
-BLOCK = 4096  #: documents of a group that lie in one row
-FIRST, FACTOR = 1 << 14, 8  #: postings of an item that are met at first; and how many times as many in the next turn
-FEW = 64  #: an item is settled with at most so many candidates for each place; else it goes on
+PAIRS = 1 << 16  #: (item, term) pairs that are searched at once; more items are searched in slices
+SHARD = 1 << 20  #: postings that a shard's documents have, but for one document's
+STEP = 2  #: each turn goes on to impacts that are so many times smaller
+FEW = 8  #: completing a score counts as so many postings for each of a document's terms
 PART = 1 << 20  #: bytes of a text that are split at once
 
 # What is no ASCII letter or digit separates terms; A-Z are lower-cased.
@@ -56,7 +59,7 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _counted(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """row (a number of its own), doc_id, n (terms with repeats), terms (places in the vocabulary), tf: one row for each document."""
+    """doc_id, n (terms with repeats), terms (places in the vocabulary), tf: one row for each document."""
 
     def run(batches):
         known = vocabulary.value
@@ -75,121 +78,150 @@ def _counted(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int64()))], names=["doc_id", "n", "terms", "tf"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, terms array<int>, tf array<long>").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "doc_id long, n long, terms array<int>, tf array<long>")
 
 
-def _grouped(batches):
-    """Rows level, term, impact, row, in that order -> one row for each group of equal impacts, at most BLOCK documents each."""
+def _sums(docs: np.ndarray, values: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """Exact sums for each of n documents; doubles hold those of 2^17 terms."""
+    if terms <= 1 << 17:
+        return np.bincount(docs, values, n).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    np.add.at(out, docs, values)
+    return out
+
+
+class Shard:
+    """Some documents' postings: by term from the greatest impact down, and by document."""
+
+    def __init__(self, m: np.ndarray, first: np.ndarray, terms: np.ndarray, tf: np.ndarray, weights: np.ndarray):
+        """m of each document, where its terms begin (and the last ends), terms and tf of all of them."""
+        self.n, self.first, self.terms = len(m), first, terms
+        doc = np.repeat(np.arange(len(m)), np.diff(first))
+        self.own = weights[terms] * ((K1000 * tf) // (1000 * tf + 20 * m[doc]))
+        order = np.lexsort((-self.own, terms))
+        self.impact, self.doc = self.own[order], doc[order]
+        self.falling, self.begin = -self.impact, np.searchsorted(terms[order], np.arange(len(weights) + 1))
+        self.asked = np.zeros(len(weights), bool)
+
+    def best(self, terms: np.ndarray, k: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of the shard that can be among the k best, and their scores (above 0); held: k or fewer scores of other documents."""
+        begin, end = self.begin[terms], self.begin[terms + 1]
+        some = end > begin
+        begin, end, n_terms = begin[some], end[some], len(terms)
+        if not len(begin):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low, at, level = np.zeros(self.n, np.int64), begin, int(self.impact[begin].max())
+        while True:
+            level //= STEP
+            to = np.array([a + np.searchsorted(self.falling[a:e], -level, side="right") for a, e in zip(at, end, strict=True)])
+            spans = [slice(a, e) for a, e in zip(at.tolist(), to.tolist(), strict=True) if e > a]
+            if spans:
+                low += _sums(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.impact[s] for s in spans]), self.n, n_terms)
+            at = to
+            left = np.where(at < end, self.impact[np.minimum(at, end - 1)], 0)
+            rest, pool = int(left.sum()), np.concatenate((low, held))
+            kth = max(1, int(-np.partition(-pool, k - 1)[k - 1]) if len(pool) >= k else 1)
+            if not rest:
+                found = np.flatnonzero(low >= kth)
+                return found, low[found]
+            if kth > rest:
+                # At most: what a document has, and the greatest impact left of each term that it was not met with.
+                met = _sums(np.concatenate([self.doc[a:e] for a, e in zip(begin, at, strict=True)]), np.repeat(left, at - begin), self.n, n_terms)
+                found = np.flatnonzero(low + rest - met >= kth)
+                if FEW * int((self.first[found + 1] - self.first[found]).sum()) <= int((end - at).sum()):
+                    scores = self._complete(found, terms)
+                    good = scores >= kth
+                    return found[good], scores[good]
+
+    def _complete(self, docs: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        n = self.first[docs + 1] - self.first[docs]
+        place = np.repeat(self.first[docs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.asked[terms] = True
+        mine = self.asked[self.terms[place]]
+        self.asked[terms] = False
+        return _sums(np.repeat(np.arange(len(docs)), n)[mine], self.own[place[mine]], len(docs), len(terms))
+
+
+class Best:
+    """An item's k best so far: scores descending, then ids, null ones first."""
+
+    def __init__(self, k: int):
+        self.k, self.scores, self.known, self.ids = k, np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def add(self, scores: np.ndarray, known: np.ndarray, ids: np.ndarray) -> None:
+        scores, known, ids = np.append(self.scores, scores), np.append(self.known, known), np.append(self.ids, ids)
+        order = np.lexsort((ids, known, -scores))[: self.k]
+        self.scores, self.known, self.ids = scores[order], known[order], ids[order]
+
+
+def _searched(batches, asks: list[np.ndarray], weights: np.ndarray, n_docs: int, n_terms: int, k: int, most: int):
+    """Batches doc_id, n, terms, tf -> q, doc_id, score: the k best of all of them for each of asks."""
+    best = [Best(k) for _ in asks]
     for batch in batches:
-        level, term, impact, row = (batch.column(i) for i in range(4))
-        a, b = term.to_numpy(), impact.to_numpy()
-        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        edges = [0, *(new.nonzero()[0] + 1).tolist(), len(a)] if len(a) else [0]
-        starts = [s for x, y in zip(edges, edges[1:], strict=False) for s in range(x, y, BLOCK)]
-        if starts:
-            at = pa.array(starts, pa.int64())
-            held = pa.ListArray.from_arrays(pa.array([*starts, len(a)], pa.int32()), row)
-            yield pa.RecordBatch.from_arrays([level.take(at), term.take(at), impact.take(at), held], names=["level", "term", "impact", "rows"])
-
-
-def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pairs_at_once: int = PAIRS, first: int = FIRST, few: int = FEW) -> DataFrame:
+        known, ids = np.asarray(batch.column(0).is_valid()), batch.column(0).fill_null(0).to_numpy()
+        m = HALF + (HALF * batch.column(1).to_numpy() * n_docs) // n_terms
+        sizes = batch.column(2).value_lengths().to_numpy().astype(np.int64)
+        terms, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        a = 0
+        while a < len(m):
+            e = max(a + 1, int(np.searchsorted(first, first[a] + most, side="right")) - 1)
+            shard = Shard(m[a:e], first[a : e + 1] - first[a], terms[first[a] : first[e]], tf[first[a] : first[e]], weights)
+            for own, mine in zip(best, asks, strict=True):
+                docs, scores = shard.best(mine, k, own.scores)
+                if len(docs):
+                    own.add(scores, known[a:e][docs], ids[a:e][docs])
+            a = e
+    for q, own in enumerate(best):
+        if len(own.scores):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own.scores), q, np.int32)), pa.array(own.ids, mask=~own.known), pa.array(own.scores)], names=["q", "doc_id", "score"])
+
+
+def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pairs_at_once: int = PAIRS, shard: int = SHARD) -> DataFrame:
     """item_id, rank, doc_id, score: each item's k best documents with a score above 0, equal scores by doc_id.
 
     Null and empty texts have no terms. Every row of docs is a document, repeated ids too (their
     order among equal scores and ids is any); null ids come first among equals, as in any sort.
     Rows of one item id, null among them, are one item with all their terms. Items without terms,
     or whose terms no document holds, have no rows; empty tables give none. Other columns are not
-    read. Long texts are split in parts; only distinct terms of the items are kept.
+    read. Long texts are split in parts; only the items' terms of a document are kept.
 
     Only the items' terms go to all tasks: at most pairs_at_once in a slice of the items (but never
-    less than one item's), and a slice is searched after another. first and few change nothing but the work.
+    less than one item's), and a slice is searched after another. A task holds a shard, of at most
+    that many postings or one document, and k scores of each item of the slice.
 
     Settles tables: call it in a scope.
     """
     pairs = storage.settle(_items(items, item_col, item_text_col))
     slices = max(1, -(-pairs.count() // pairs_at_once))
     place = F.pmod(F.xxhash64("item_id"), F.lit(slices))
-    found = [_search(docs, storage.settle(pairs.where(place == s)) if slices > 1 else pairs, k, id_col, text_col, first, few) for s in range(slices)]
+    found = [_search(docs, pairs.where(place == s) if slices > 1 else pairs, k, id_col, text_col, shard) for s in range(slices)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _search(docs: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str, first: int, few: int) -> DataFrame:
-    spark = docs.sparkSession
-    terms = [r[0] for r in pairs.select("term").distinct().toLocalIterator()]
-    known = {bytes(t): i for i, t in enumerate(terms)}
+def _search(docs: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str, shard: int) -> DataFrame:
+    spark, asked, known = docs.sparkSession, {}, {}
+    for item, term in pairs.toLocalIterator():
+        asked.setdefault(item, []).append(known.setdefault(bytes(term), len(known)))
     shared = spark.sparkContext.broadcast(known)
     rows = storage.settle(_counted(docs, shared, id_col, text_col))
     shared.destroy()
-    total = rows.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_docs, n_terms = int(total[0]), max(1, int(total[1]))
-
-    # Names and weights of the slice's terms, and who asks for them: tables of a proven bound.
-    names = spark.createDataFrame([(t, i) for t, i in known.items()], "term binary, t int")
-    postings = rows.select("row", "n", F.explode(F.arrays_zip("terms", "tf")).alias("p")).select("row", "n", F.col("p.terms").alias("t"), F.col("p.tf").alias("tf"))
+    total = rows.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
+    n_docs, n_terms = int(total[0]), max(1, int(total[1] or 0))
+    weight = F.floor(F.lit(1000.0) * F.log((F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * F.col("df") + 1))).cast("long")
     frequency = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    weights = storage.settle(frequency.select("t", F.floor(F.lit(1000.0) * F.log((F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * F.col("df") + 1))).cast("long").alias("w")))
-    order = storage.settle(pairs.join(F.broadcast(names), "term").select("item_id", "t").join(F.broadcast(weights), "t").where("w > 0"))
-    asked = storage.settle(order.select("item_id").distinct().select("item_id", F.monotonically_increasing_id().alias("q")))
-    asks = storage.settle(order.join(F.broadcast(asked), order.item_id.eqNullSafe(asked.item_id)).select("q", "t", "w"))
-
-    m = F.expr(f"{HALF} + ({HALF}L * n * {n_docs}L) div {n_terms}L")
-    impact = F.expr(f"w * (({K1000}L * tf) div (1000 * tf + 20 * m))")
-    scored = postings.join(F.broadcast(weights.where("w > 0")), "t").withColumn("m", m).select("row", "t", impact.alias("impact")).where("impact > 0")
-    level = F.floor(F.log2("impact") * 8).cast("int").alias("level")
-    lying = scored.select(level, F.col("t").alias("term"), "impact", "row")
-    deal = [F.desc("level"), F.asc("term"), F.desc("impact"), F.asc("h")]
-    dealt = lying.withColumn("h", F.xxhash64("row")).repartitionByRange(*deal).sortWithinPartitions(*deal[:3])
-    index = storage.settle(dealt.select("level", "term", "impact", "row").mapInArrow(_grouped, "level int, term int, impact long, rows array<long>"))
-    steps = storage.settle(index.groupBy("level", F.col("term").alias("t")).agg(F.sum(F.size("rows")).alias("n"), F.max("impact").alias("most")))
-
-    open_, budget, exact, candidates = asks, first, [], []
-    best = Window.partitionBy("q").orderBy(F.desc("low"))
-    while not open_.isEmpty():
-        # How far down each item goes now, and the greatest impact that is left of each of its terms.
-        mine = steps.join(F.broadcast(open_), "t").select("q", "t", "level", "n", "most")
-        down = mine.groupBy("q", "level").agg(F.sum("n").alias("n")).withColumn("met", F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("level"))))
-        cuts = storage.settle(down.groupBy("q").agg(F.coalesce(F.max(F.when(F.col("met") >= budget, F.col("level"))), F.min("level")).alias("cut")))
-        left = mine.join(F.broadcast(cuts), "q").where("level < cut").groupBy("q", "t").agg(F.max("most").alias("next"))
-        plan = storage.settle(open_.join(F.broadcast(cuts), "q").join(left, ["q", "t"], "left").select("q", "t", "cut", F.coalesce("next", F.lit(0).cast("long")).alias("next")))
-        lowest = plan.agg(F.min("cut")).first()[0]
-        if lowest is None:
-            break  # none of the terms has a posting
-        rest = storage.settle(plan.groupBy("q").agg(F.sum("next").alias("rest")))
-        met = index.where(F.col("level") >= lowest).withColumnRenamed("term", "t").join(F.broadcast(plan), "t").where("level >= cut")
-        met = met.select("q", "impact", "next", F.explode("rows").alias("row")).groupBy("q", "row").agg(F.sum("impact").alias("low"), F.sum(F.col("impact") - F.col("next")).alias("seen"))
-        met = storage.settle(met)
-        kth = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("q").agg(F.min("low").alias("kth"), F.count("*").alias("held"))
-        kth = kth.join(rest, "q").select("q", "rest", F.when(F.col("held") == k, F.col("kth")).otherwise(F.lit(0)).alias("kth"))
-        kth = storage.settle(kth)
-        # What a document may have at most: what it has, and of each of its unseen terms the greatest impact left.
-        able = met.join(F.broadcast(kth), "q").where(F.col("seen") + F.col("rest") >= F.col("kth"))
-        state = able.groupBy("q").agg(F.count("*").alias("able"), F.first("rest").alias("rest"), F.first("kth").alias("kth"))
-        state = storage.settle(state.select("q", "kth", (F.col("rest") == 0).alias("whole"), ((F.col("kth") > F.col("rest")) & (F.col("able") <= few * k)).alias("proven")))
-        exact.append(met.join(F.broadcast(state.where("whole")), "q").where(F.col("low") >= F.col("kth")).select("q", "row", F.col("low").alias("score")))
-        candidates.append(able.join(F.broadcast(state.where("proven and not whole").select("q")), "q").select("q", "row"))
-        open_ = storage.settle(open_.join(F.broadcast(state.where("not whole and not proven").select("q")), "q", "left_semi"))
-        budget *= FACTOR
-
-    if not exact:
-        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    chosen = candidates[0]
-    for more in candidates[1:]:
-        chosen = chosen.unionByName(more)
-    # Complete scores of the candidates, from their documents' own rows.
-    chosen = storage.settle(chosen)
-    needed = storage.settle(rows.join(chosen.select("row").distinct(), "row", "left_semi"))
-    spread = chosen.join(needed, "row").select("q", "row", "n", F.explode(F.arrays_zip("terms", "tf")).alias("p")).select("q", "row", "n", F.col("p.terms").alias("t"), F.col("p.tf").alias("tf"))
-    full = spread.join(F.broadcast(asks), ["q", "t"]).withColumn("m", m).groupBy("q", "row").agg(F.sum(impact).alias("score"))
-    for more in exact:
-        full = full.unionByName(more)
-    full = storage.settle(full)
-    last = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("doc_id"))
-    ids = rows.select("row", "doc_id").join(full.select("row").distinct(), "row", "left_semi")
-    ranked = full.where("score > 0").join(ids, "row").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-    return ranked.join(F.broadcast(asked), "q").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    weights = np.zeros(max(1, len(known)), np.int64)
+    for t, w in frequency.select("t", weight).toLocalIterator():
+        weights[t] = w
+    asks = spark.sparkContext.broadcast([np.array(sorted(t for t in terms if weights[t] > 0), np.int64) for terms in asked.values()])
+    best = rows.select("doc_id", "n", "terms", "tf").mapInArrow(lambda batches: _searched(batches, asks.value, weights, n_docs, n_terms, k, shard), "q int, doc_id long, score long")
+    last = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
+    ranked = storage.settle(best).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    names = spark.createDataFrame(list(enumerate(asked)), "q int, item_id long")
+    return ranked.join(F.broadcast(names), "q").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 ORACLE = """WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),

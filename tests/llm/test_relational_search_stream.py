@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -81,9 +82,9 @@ def plain_search(docs, items, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("first, few, pairs", [(1 << 14, 64, 1 << 18), (4, 1, 1 << 18), (4, 1000, 40)])
-def test_search_equals_brute_force(spark, first, few, pairs):
-    """However soon items are settled, and in however many slices they are searched; with very common words, copies, ties."""
+@pytest.mark.parametrize("shard, pairs", [(1 << 20, 1 << 16), (300, 1 << 16), (1, 40)])
+def test_search_equals_brute_force(spark, shard, pairs):
+    """However documents lie in shards, and in however many slices items are searched; with very common words, copies, ties."""
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(60)]
     weights = [1 / (i + 1) for i in range(60)]
@@ -92,10 +93,29 @@ def test_search_equals_brute_force(spark, first, few, pairs):
     items = [(i, " ".join(rng.choices(vocabulary, k=6))) for i in range(12)] + [(50, None), (51, "nowhere"), (52, "w1"), (52, "w2 w3"), (None, "w4 w5"), (53, "w0 w0")]
     d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, score long, rank int").repartition(4)
     q = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id long")
-    got = [tuple(r) for r in search.search(d, q, k=10, first=first, few=few, pairs_at_once=pairs).collect()]
+    got = [tuple(r) for r in search.search(d, q, k=10, shard=shard, pairs_at_once=pairs).collect()]
     assert sorted(got, key=repr) == plain_search(docs, items, 10)
 
 
+def test_bounds_stop_before_all_postings_are_met():
+    """Far from all postings are met when the best are few and clear; results are those of all."""
+    rng = np.random.default_rng(2)
+    n, weights = 4000, np.array([9000, 8000, 7000, 300, 200, 100], np.int64)
+    rows = [sorted({3, 4, 5} | ({0, 1, 2} if i % 97 == 0 else set()) - ({4} if i % 3 else set())) for i in range(n)]
+    first, terms = np.cumsum([0, *map(len, rows)]), np.array([t for r in rows for t in r])
+    shard = search.Shard(rng.integers(60, 140, n), first, terms, rng.integers(1, 4, len(terms)), weights)
+    asked, met, sums = np.arange(6), [], search._sums
+    full = sums(np.repeat(np.arange(n), np.diff(first)), shard.own, n, 6)
+    try:
+        search._sums = lambda docs, *rest: (met.append(len(docs)), sums(docs, *rest))[1]
+        docs, scores = shard.best(asked, 10, np.zeros(0, np.int64))
+    finally:
+        search._sums = sums
+    assert sum(met) < len(terms) / 4
+    want = np.lexsort((np.arange(n), -full))[:10]
+    assert [(full[i], i) for i in want] == sorted(zip(scores.tolist(), docs.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:10]
+
+
 def test_search_of_nothing(spark, odd, nothing):
     q = spark.createDataFrame([(1, "word")], "item_id long, text string")
     assert search.search(nothing, q).count() == 0 and search.search(odd, q.limit(0)).count() == 0
