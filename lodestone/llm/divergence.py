@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import storage
 
-#: Fixed value: ASCII letters and all that is not ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: ASCII letters, lower-cased before, and all that is not ASCII.
+TERM = r"[a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
+_TWO_LEVELS = "spark.sql.codegen.aggregate.map.twolevel.enabled"  #: a small map before the large one, which so many terms only pass through
 SPREAD = 10_000  #: rows of a language that one task meets with another's
 
 
@@ -58,7 +59,8 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, text_col: s
     # Each text's terms twice: as often as they occur, and once each.
     both = F.explode(F.array(F.struct(F.col("terms"), F.lit(1).alias("n"), F.lit(0).alias("docs")), F.struct(F.array_distinct("terms").alias("terms"), F.lit(0).alias("n"), F.lit(1).alias("docs"))))
     matches = terms.select("lang", "source", both.alias("b")).select("lang", "source", F.explode("b.terms").alias("term"), "b.n", "b.docs")
-    counted = storage.settle(matches.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    with storage.setting(docs.sparkSession, _TWO_LEVELS, "false"):
+        counted = storage.settle(matches.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
     vocabulary = counted.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     vocabulary = storage.settle(vocabulary.select(F.monotonically_increasing_id().alias("t"), "lang", "term", "in_lang"))

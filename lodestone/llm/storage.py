@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.storage import alone, exists, forget, new_path, scope, settle, shared_dir, stored_bytes
@@ -42,6 +45,17 @@ def ranked(df: DataFrame, *keys: str, name: str = "rank") -> tuple[DataFrame, in
     return fixed.withColumn(name, at).drop(pos), total
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session, for what runs in the block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 HOT = 1000  #: a key is hot if it holds more than one in so many rows; hence there are fewer hot keys than that
 
 
@@ -66,4 +80,4 @@ def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], how: st
     return stay.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
 
 
-__all__ = ["alone", "exists", "forget", "free_name", "join_unique", "long_array", "new_path", "ranked", "scope", "settle", "shared_dir"]
+__all__ = ["alone", "exists", "forget", "free_name", "join_unique", "long_array", "new_path", "ranked", "scope", "setting", "settle", "shared_dir"]

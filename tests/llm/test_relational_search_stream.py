@@ -18,7 +18,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def plain_divergence(rows, least=10, top=10):
-    docs = [((r["lang"] or ""), (r["source"] or ""), re.findall(divergence.TERM, (r["text"] or "").translate(LOWER))) for r in rows]
+    docs = [((r["lang"] or ""), (r["source"] or ""), re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r["text"] or "").translate(LOWER))) for r in rows]
     df, n, groups = collections.Counter(), collections.Counter(), {(lang, src) for lang, src, _ in docs}
     for lang, src, terms in docs:
         df.update((lang, t) for t in set(terms))
