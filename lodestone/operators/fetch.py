@@ -17,8 +17,11 @@ from email.utils import parsedate_to_datetime
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import output_path
 from lodestone.operators.select import limit_files, with_defaults
@@ -69,11 +72,16 @@ class Connections:
         raise AssertionError
 
 
+def mounted(place: str) -> bool:
+    """Whether place is a folder of a mounted file system, as far as its name tells."""
+    return ":" not in place.removeprefix("file:").split("/")[0]
+
+
 def local_folder(place: str) -> str:
-    """The path of a folder that all executors mount; contents go to files, so other stores are refused."""
+    """The path of a folder that all executors mount, for contents as files; other stores take them as a table."""
     local = place.removeprefix("file:")
-    if ":" in local.split("/")[0]:
-        raise ValueError(f"contents need a mounted folder, not {place}")
+    if not mounted(place):
+        raise ValueError(f"files need a mounted folder, not {place}")
     return "/" + local.lstrip("/") if local.startswith("/") else local
 
 
@@ -92,7 +100,7 @@ class Limiter:
                 if len(self.taken) < self.per_hour:
                     self.taken.append(now)
                     return
-            self.sleep(max(3600.0 / self.per_hour, 0.01))
+            self.sleep(limiter_pause(self.per_hour))
 
 
 class RateInfo:
@@ -114,6 +122,20 @@ class RateInfo:
         return kind
 
 
+class OutOfBudget(Exception):
+    """No request may be made before budgets are dealt anew."""
+
+
+def pause(kind: str, attempt: int) -> float:
+    """Seconds before the next try; attempts count from 0. The same law as functions.text.backoff."""
+    return float(2 ** (attempt + 1)) if kind == "429" else 2.0**attempt
+
+
+def limiter_pause(per_hour: int) -> float:
+    """Seconds before a blocked request asks again. The same law as functions.text.limiter_wait."""
+    return max(3600.0 / per_hour, 0.01)
+
+
 def retry_after(value: str | None, attempt: int, now: float) -> float:
     """Seconds to wait after 429: the header's number or date, else 2^(attempt+1)."""
     if value:
@@ -124,7 +146,7 @@ def retry_after(value: str | None, attempt: int, now: float) -> float:
                 return max(0.0, parsedate_to_datetime(value).timestamp() - now)
             except (TypeError, ValueError):
                 pass
-    return float(2 ** (attempt + 1))
+    return pause("429", attempt)
 
 
 class Fetcher:
@@ -135,45 +157,64 @@ class Fetcher:
         self.limiter, self.rate = Limiter(per_hour or config.hourly, clock, sleep), RateInfo()
         self.slots = threading.Semaphore(max(1, config.max_concurrent))
 
+    def request(self, sha1_git: str) -> tuple[str, bytes | None, str | None]:
+        """Status, content and message of one file, after as many tries as allowed."""
+        url = f"{self.config.base_url}/content/sha1_git:{sha1_git}/raw/"
+        for attempt in range(self.config.max_retries):
+            last = attempt == self.config.max_retries - 1
+            self.limiter.acquire()
+            with self.slots:
+                try:
+                    status, headers, body = self.transport(url, self.config.headers, self.config.timeout)
+                except TimeoutError:
+                    if last:
+                        return "timeout", None, "Timeout"
+                    self.sleep(pause("timeout", attempt))
+                    continue
+                except NetworkError as e:
+                    if last:
+                        return "network_error", None, str(e)
+                    self.sleep(pause("network", attempt))
+                    continue
+                self.rate.update(headers)
+                if 200 <= status < 300:
+                    return "success", body, None
+                if status == NOT_FOUND:
+                    return "not_found", None, "Not found"
+                if status == TOO_MANY:
+                    self.sleep(retry_after(headers.get("retry-after"), attempt, self.clock()))
+                elif not last:
+                    self.sleep(pause("server", attempt))
+        return "max_retries_exceeded", None, "Max retries exceeded"
+
     def fetch(self, sha1_git: str, target: str, skip_existing: bool = True) -> tuple:
-        failed = lambda status, message: (sha1_git, None, False, 0, status, message)
+        """The outcome (as DOWNLOAD_STATS) of one file, whose content then lies at target."""
         try:
             path = Path(target)
             if skip_existing and path.exists():
                 return sha1_git, target, True, path.stat().st_size, "skipped_already_exists", "File already exists"
-            url = f"{self.config.base_url}/content/sha1_git:{sha1_git}/raw/"
-            for attempt in range(self.config.max_retries):
-                last = attempt == self.config.max_retries - 1
-                self.limiter.acquire()
-                with self.slots:
-                    try:
-                        status, headers, body = self.transport(url, self.config.headers, self.config.timeout)
-                    except TimeoutError:
-                        if last:
-                            return failed("timeout", "Timeout")
-                        self.sleep(2.0**attempt)
-                        continue
-                    except NetworkError as e:
-                        if last:
-                            return failed("network_error", str(e))
-                        self.sleep(2.0**attempt)
-                        continue
-                    self.rate.update(headers)
-                    if 200 <= status < 300:
-                        path.parent.mkdir(parents=True, exist_ok=True)
-                        part = path.with_name(f".{path.name[:100]}.{uuid.uuid4().hex}")
-                        part.write_bytes(body)
-                        os.replace(part, path)
-                        return sha1_git, target, True, len(body), "success", None
-                    if status == NOT_FOUND:
-                        return failed("not_found", "Not found")
-                    if status == TOO_MANY:
-                        self.sleep(retry_after(headers.get("retry-after"), attempt, self.clock()))
-                    elif not last:
-                        self.sleep(2.0**attempt)
-            return failed("max_retries_exceeded", "Max retries exceeded")
+            status, body, message = self.request(sha1_git)
+            if body is None:
+                return sha1_git, None, False, 0, status, message
+            path.parent.mkdir(parents=True, exist_ok=True)
+            part = path.with_name(f".{path.name[:100]}.{uuid.uuid4().hex}")
+            part.write_bytes(body)
+            os.replace(part, path)
+            return sha1_git, target, True, len(body), "success", None
+        except OutOfBudget:
+            raise
         except Exception as e:  # one file's trouble is its outcome, not the batch's
-            return failed("unknown_error", str(e))
+            return sha1_git, None, False, 0, "unknown_error", str(e)
+
+    def content(self, sha1_git: str) -> tuple:
+        """The outcome and content (as CONTENTS) of one hash."""
+        try:
+            status, body, message = self.request(sha1_git)
+        except OutOfBudget:
+            raise
+        except Exception as e:
+            status, body, message = "unknown_error", None, str(e)
+        return sha1_git, body is not None, len(body or b""), status, message, body
 
 
 def safe_target(base: str, target: str) -> bool:
@@ -182,46 +223,159 @@ def safe_target(base: str, target: str) -> bool:
     return posixpath.normpath(target).startswith(root.rstrip("/") + "/")
 
 
-def fetch_files(files: DataFrame, output_dir: str, config: ApiConfig, max_files: int | None = None, skip_existing: bool = True, tasks: int = 1, fetcher: Callable[[ApiConfig, int], Fetcher] = Fetcher) -> DataFrame:
-    """An outcome (schema DOWNLOAD_STATS) for each row of files: sha1_git (hex), repo_url, path.
+class Share:
+    """A limiter with so many acquisitions until it gets more."""
+
+    def __init__(self):
+        self.left, self.lock = 0, threading.Lock()
+
+    def grant(self, n: int) -> None:
+        self.left = n
+
+    def acquire(self) -> None:
+        with self.lock:
+            if self.left < 1:
+                raise OutOfBudget
+            self.left -= 1
+
+
+def shares(budget: int, wanted: list[int]) -> list[int]:
+    """budget dealt to tasks by what each wants: nobody gets more, and nothing is left while somebody wants; equal in every task."""
+    if sum(wanted) <= budget:
+        return list(wanted)
+    out = [budget * w // sum(wanted) for w in wanted]
+    for i in sorted(range(len(wanted)), key=lambda i: (-(budget * wanted[i] % sum(wanted)), i))[: budget - sum(out)]:
+        out[i] += 1
+    return out
+
 
-    output_dir must be a folder that all executors share. Rows are dealt by their output path, so
-    rows of one path meet in one task: the first is fetched, and the others find its file. The
-    hourly limit is split among tasks; one is enough for limits of this size. The result has side
-    effects: write it once and read that (and leave speculation off). Paths that leave the output
-    folder are not fetched. A retried task finds the files of its first try.
+def _in_turns(worker: Fetcher, groups: list, one: Callable, config: ApiConfig, context) -> list:
+    """one(group) for every group. All tasks together make at most the hourly requests: each hour they tell each
+    other how many groups they have left, and deal the hour's budget by that.
+
+    A group whose budget runs out starts anew in the next hour. Requests that wait for a server's
+    pause may end after their hour; the next one begins when its budget is dealt.
+    """
+    worker.limiter, left, done = Share(), list(range(len(groups))), {}
+
+    def attempt(i: int) -> bool:
+        try:
+            done[i] = one(groups[i])
+        except OutOfBudget:
+            return False
+        return True
+
+    with ThreadPoolExecutor(max(1, config.max_concurrent)) as pool:
+        while any(wanted := [int(n) for n in context.allGather(str(len(left) * max(1, config.max_retries)))]):
+            began = worker.clock()
+            worker.limiter.grant(shares(config.hourly, wanted)[context.partitionId()])
+            left = [i for i, ok in zip(left, pool.map(attempt, left), strict=True) if not ok]
+            if any(int(n) for n in context.allGather(str(len(left)))) and (rest := began + 3600.0 - worker.clock()) > 0:
+                worker.sleep(rest)
+    return [done[i] for i in range(len(groups))]
+
+
+def targets(files: DataFrame, output_dir: str, max_files: int | None = None) -> DataFrame:
+    """sha1_git, repo_url, path, target of the files to have: the first max_files, with where each one's content goes."""
+    return limit_files(with_defaults(files), max_files).withColumn("target", output_path(output_dir, F.col("repo_url"), F.col("path")))
+
+
+def fetch_targets(rows: DataFrame, output_dir: str, config: ApiConfig, skip_existing: bool = True, tasks: int = 1, fetcher: Callable[[ApiConfig, int], Fetcher] = Fetcher) -> DataFrame:
+    """target and outcome (schema DOWNLOAD_STATS) for each row sha1_git, target; contents go to files below output_dir.
+
+    output_dir must be a folder that all executors share. Rows are dealt by their target, so rows of
+    one meet in one task: the first is fetched, and the others find its file. Several tasks run as
+    one barrier stage and share the hourly limit by what each has left; a task holds its rows, so
+    give it a wave of bounded size. The result has side effects: write it once and read that (and
+    leave speculation off). Targets that leave the output folder are not fetched. A retried task
+    finds the files of its first try.
     """
-    rows = limit_files(with_defaults(files), max_files).withColumn("target", output_path(output_dir, F.col("repo_url"), F.col("path")))
-    hourly = max(1, config.hourly // max(1, tasks))
 
     def run(batches):
-        worker = fetcher(config, hourly)
+        worker = fetcher(config, config.hourly)
 
         def one_path(group: list) -> list:
             out = []
             for sha1, target in group:
                 if target is None or not safe_target(output_dir, target):
-                    out.append((sha1, None, False, 0, "unknown_error", f"path leaves the output folder: {target}"))
+                    out.append((target, sha1, None, False, 0, "unknown_error", f"path leaves the output folder: {target}"))
                 else:
-                    out.append(worker.fetch(sha1, target, skip_existing))
+                    out.append((target, *worker.fetch(sha1, target, skip_existing)))
             return out
 
-        with ThreadPoolExecutor(max(1, config.max_concurrent)) as pool:
-            for pdf in batches:
-                groups: dict = {}
+        def grouped(pdfs) -> list:
+            groups: dict = {}
+            for pdf in pdfs:
                 for sha1, target in zip(pdf["sha1_git"], pdf["target"], strict=True):
                     groups.setdefault(target, []).append((sha1, target))
-                done = [row for group in pool.map(one_path, groups.values()) for row in group]
-                yield pd.DataFrame(done, columns=schemas.DOWNLOAD_STATS.names)
+            return list(groups.values())
 
-    dealt = rows.repartition(tasks, "target").sortWithinPartitions("target", "sha1_git").select("sha1_git", "target")
-    return dealt.mapInPandas(run, schemas.DOWNLOAD_STATS)
+        def table(done: list) -> pd.DataFrame:
+            return pd.DataFrame([row for group in done for row in group], columns=["target", *schemas.DOWNLOAD_STATS.names])
 
+        if tasks > 1:
+            yield table(_in_turns(worker, grouped(batches), one_path, config, BarrierTaskContext.get()))
+        else:
+            for pdf in batches:
+                yield table(_limited(worker, grouped([pdf]), one_path, config))
 
-def summary(stats: DataFrame) -> DataFrame:
-    return stats.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if(F.col("status") == "skipped_already_exists").alias("skipped"), F.count_if(~F.col("success")).alias("failed"))
+    dealt = rows.select("sha1_git", "target").repartition(tasks, "target").sortWithinPartitions("target", "sha1_git")
+    return dealt.mapInPandas(run, T.StructType([T.StructField("target", T.StringType()), *schemas.DOWNLOAD_STATS.fields]), barrier=tasks > 1)
+
+
+def _limited(worker: Fetcher, groups: list, one: Callable, config: ApiConfig) -> list:
+    """one(group) for every group, under the worker's own limiter."""
+    with ThreadPoolExecutor(max(1, config.max_concurrent)) as pool:
+        return list(pool.map(one, groups))
+
+
+def fetch_files(files: DataFrame, output_dir: str, config: ApiConfig, max_files: int | None = None, skip_existing: bool = True, tasks: int = 1, fetcher: Callable[[ApiConfig, int], Fetcher] = Fetcher) -> DataFrame:
+    """An outcome (schema DOWNLOAD_STATS) for each row of files: sha1_git (hex), repo_url, path; see fetch_targets."""
+    return fetch_targets(targets(files, output_dir, max_files), output_dir, config, skip_existing, tasks, fetcher).drop("target")
 
 
-def not_yet_fetched(files: DataFrame, stats: DataFrame) -> DataFrame:
-    """Files whose content no earlier run has fetched."""
-    return files.join(stats.where("success").select("sha1_git").distinct(), "sha1_git", "left_anti")
+CONTENTS_AT_ONCE = 32 << 20  #: bytes of contents that a task hands on together
+
+
+def fetch_contents(hashes: DataFrame, config: ApiConfig, tasks: int = 1, fetcher: Callable[[ApiConfig, int], Fetcher] = Fetcher) -> DataFrame:
+    """Outcome and content (schema CONTENTS) of each row sha1_git; each hash once, please. No side effect but the requests.
+
+    Whatever Spark writes it to gets whole contents or none, in any store that it knows.
+    """
+
+    def run(batches):
+        worker = fetcher(config, config.hourly)
+        hashes_ = [h for batch in batches for h in batch.column(0).to_pylist()]
+        size = max(1, config.max_concurrent) * 8
+        rows = _in_turns(worker, hashes_, worker.content, config, BarrierTaskContext.get()) if tasks > 1 else (row for at in range(0, len(hashes_), size) for row in _limited(worker, hashes_[at : at + size], worker.content, config))
+        held, weight = [], 0
+        for row in rows:
+            held.append(row)
+            weight += row[2]
+            if weight > CONTENTS_AT_ONCE:
+                yield _contents_batch(held)
+                held, weight = [], 0
+        if held:
+            yield _contents_batch(held)
+
+    return hashes.select("sha1_git").repartition(tasks, "sha1_git").mapInArrow(run, schemas.CONTENTS, barrier=tasks > 1)
+
+
+def _contents_batch(rows: list) -> pa.RecordBatch:
+    types = (pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schemas.CONTENTS.names)
+
+
+def still_there(known: DataFrame) -> DataFrame:
+    """known's rows whose file (target) lies in the folder that all executors mount."""
+
+    def run(batches):
+        for batch in batches:
+            there = pa.array([t is not None and os.path.exists(t) for t in batch.column(batch.schema.get_field_index("target")).to_pylist()], pa.bool_())
+            yield batch.filter(there)
+
+    return known.mapInArrow(run, known.schema)
+
+
+def summary(stats: DataFrame) -> DataFrame:
+    return stats.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if(F.col("status") == "skipped_already_exists").alias("skipped"), F.count_if(~F.col("success")).alias("failed"))

@@ -52,6 +52,14 @@ class ApiConfig:
     max_retries: int = 3
     bearer_token: str | None = field(default_factory=lambda: environment(TOKEN_VARIABLE))
     max_files: int | None = None
+    store: str = "auto"  #: contents as "files" in a mounted folder, as a "table" in any store, or "auto": files where they can be
+    wave: int = 10_000  #: files that are asked for before their outcomes are kept for good
+
+    def __post_init__(self):
+        if self.store not in ("auto", "files", "table"):
+            raise ValueError(f"store: {self.store!r} is none of auto, files, table")
+        if self.wave < 1:
+            raise ValueError("wave is less than 1")
 
     @property
     def headers(self) -> dict[str, str]:
@@ -79,7 +87,8 @@ class Layout:
     tables: str  #: the archive's tables, a folder each
     metadata: str  #: what parse writes
     outcomes: str  #: what download writes
-    contents: str  #: fetched files
+    contents: str  #: fetched files, or the table of contents
+    history: str  #: every run's outcomes
     logs: Path  #: always on this machine
 
     @classmethod
@@ -87,7 +96,7 @@ class Layout:
         remote = "://" in root and not root.startswith("file:")
         home = root.rstrip("/") if "://" in root else str((PROJECT_ROOT / root).resolve())
         logs = PROJECT_ROOT / "logs" if remote else Path(home.removeprefix("file://")) / "logs"
-        return cls(f"{home}/raw/{dataset}", f"{home}/processed/file_metadata.parquet", f"{home}/processed/download_stats.parquet", f"{home}/content", logs)
+        return cls(f"{home}/raw/{dataset}", f"{home}/processed/file_metadata.parquet", f"{home}/processed/download_stats.parquet", f"{home}/content", f"{home}/processed/download_history", logs)
 
 
 @dataclass

@@ -18,3 +18,4 @@ STATUSES = ("success", "skipped_already_exists", "not_found", "rate_limited", "t
 
 FILE_METADATA = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("sha1_git", T.BinaryType()), T.StructField("repo_url", T.StringType())])
 DOWNLOAD_STATS = T.StructType([T.StructField("sha1_git", T.StringType()), T.StructField("local_path", T.StringType()), T.StructField("success", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("status", T.StringType()), T.StructField("error_message", T.StringType())])
+CONTENTS = T.StructType([T.StructField("sha1_git", T.StringType()), T.StructField("success", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("status", T.StringType()), T.StructField("error_message", T.StringType()), T.StructField("content", T.BinaryType())])

@@ -104,6 +104,48 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(at, True).close()
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it is there already."""
+    fs, at = _hadoop(spark, path)
+    if fs.exists(at):
+        return False
+    try:
+        fs.create(at, False).close()
+    except Exception as e:
+        if "AlreadyExists" in str(e) or fs.exists(at):
+            return False
+        raise
+    return True
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    fs, at = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file at path."""
+    fs, at = _hadoop(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    if not exists(spark, path):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession)

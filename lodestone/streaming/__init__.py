@@ -1 +1 @@
-"""Nothing streams here: repeated runs skip what is there (see operators.fetch.not_yet_fetched)."""
+"""Nothing streams here: repeated runs skip what earlier ones have fetched (see operators.outcomes)."""
