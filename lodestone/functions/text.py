@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.dialect import BadPattern, to_java
+
 
 def hex_lower(c: Column) -> Column:
     return F.lower(F.hex(c))
@@ -51,69 +51,9 @@ def limiter_wait(per_hour: Column) -> Column:
     return F.greatest(F.lit(3600.0) / per_hour, F.lit(0.01))
 
 
-class BadPattern(ValueError):
-    """A pattern that the source dialect does not allow."""
-
-
-# POSIX classes and Java's names for them.
-_POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "xdigit": "XDigit", "graph": "Graph", "print": "Print", "blank": "Blank", "cntrl": "Cntrl", "ascii": "ASCII"}
-
-
 def java_regex(pattern: str, spark: SparkSession | None = None) -> str:
-    r"""A finite-automaton pattern (Unicode classes, no look-around, no back-references) as Java reads it.
-
-    Unicode classes and case, "." stops at \n alone, $ is the text's end only, (?P<n>..) and
-    [[:alpha:]] are rewritten; what would mean something else in Java is refused. With a session
-    the result is compiled at once, so that a bad pattern fails on the driver.
-    """
-    out, i, depth, multiline = [], 0, 0, False
-    while i < len(pattern):
-        c, rest = pattern[i], pattern[i:]
-        if c == "\\":
-            if i + 1 == len(pattern):
-                raise BadPattern("a trailing backslash")
-            n = pattern[i + 1]
-            if n.isdigit() and n != "0" or n == "k":
-                raise BadPattern("back-references are not supported")
-            out.append({"z": r"\z", "A": r"\A"}.get(n, rest[:2]))
-            i += 2
-        elif depth:
-            posix = re.match(r"\[:(\^?)(\w+):\]", rest)
-            if posix:
-                if posix[2] not in _POSIX:
-                    raise BadPattern(f"unknown class {posix[2]}")
-                out.append(rf"\{'P' if posix[1] else 'p'}{{{_POSIX[posix[2]]}}}")
-                i += posix.end()
-                continue
-            depth += (c == "[") - (c == "]")
-            out.append(c)
-            i += 1
-        elif c == "[":
-            lead = re.match(r"\[\^?\]?", rest)[0]
-            out.append(lead.replace("]", r"\]"))
-            depth, i = 1, i + len(lead)
-        elif rest.startswith(("(?=", "(?!", "(?<=", "(?<!", "(?>")):
-            raise BadPattern("look-around is not supported")
-        elif rest.startswith("(?P<"):
-            out.append("(?<")
-            i += 4
-        elif flags := re.match(r"\(\?([a-zA-Z]*)(-[a-zA-Z]+)?[:)]", rest):
-            if "U" in flags[0]:
-                raise BadPattern("swapped greediness is not supported")
-            multiline |= "m" in flags[1]
-            out.append(flags[0])
-            i += flags.end()
-        elif c == "$" and not multiline:
-            out.append(r"\z")
-            i += 1
-        elif c in "*+?}" and rest[1:2] == "+":
-            raise BadPattern("possessive quantifiers are not supported")
-        else:
-            out.append(c)
-            i += 1
-    if depth:
-        raise BadPattern("an open class")
-    done = "(?dU)" + "".join(out)
+    """A finite-automaton pattern as Java reads it (see dialect). With a session it is compiled at once, so that a bad one fails on the driver."""
+    done = to_java(pattern)
     if spark is not None:
         try:
             spark.sparkContext._jvm.java.util.regex.Pattern.compile(done)
