@@ -46,11 +46,21 @@ def one_url(chain: DataFrame) -> DataFrame:
 
 
 def add_repo_urls(heads: DataFrame, snapshot_branches: DataFrame, origin_visit: DataFrame, origin: DataFrame) -> DataFrame:
-    """one_url(url_chain(..)), but each snapshot's visits are reduced to the one that can win before heads meet them."""
+    """one_url(url_chain(..)), but only what heads ask for meets anything.
+
+    Branch rows are reduced to the heads', visits to those of their snapshots, origins to those
+    visited, all by semi-joins (Spark broadcasts a small side, or filters scans by Bloom filters of
+    it); then each snapshot's visits are reduced to the one that can win before heads meet them.
+    heads is read twice: settle it if it is dear.
+    """
     order = [x for c in ("url", "origin", "type") for x in (F.col(c).isNull(), F.col(c))]
-    visited = origin_visit.select("origin", "snapshot_id").join(origin.select(F.col("id").alias("origin"), "url", "type"), "origin", "left")
-    best = visited.groupBy("snapshot_id").agg(F.min_by(F.struct("origin", "url", "type"), F.struct(*order)).alias("v")).select(F.col("snapshot_id").alias("actual_snapshot_id"), F.col("v.origin").alias("origin_id"), F.col("v.url").alias("repo_url"), F.col("v.type").alias("origin_type"))
-    to_snapshot = snapshot_branches.select(F.col("branch_id").alias("snapshot_id"), F.col("snapshot_id").alias("actual_snapshot_id"))
+    asked = heads.select("snapshot_id").distinct()
+    to_snapshot = snapshot_branches.select(F.col("branch_id").alias("snapshot_id"), F.col("snapshot_id").alias("actual_snapshot_id")).join(asked, "snapshot_id", "left_semi")
+    wanted = to_snapshot.select(F.col("actual_snapshot_id").alias("snapshot_id")).distinct()
+    visits = origin_visit.select("origin", "snapshot_id").join(wanted, "snapshot_id", "left_semi").distinct()
+    origins = origin.select(F.col("id").alias("origin"), "url", "type").join(visits.select("origin").distinct(), "origin", "left_semi")
+    best = visits.join(origins, "origin", "left").groupBy("snapshot_id").agg(F.min_by(F.struct("origin", "url", "type"), F.struct(*order)).alias("v"))
+    best = best.select(F.col("snapshot_id").alias("actual_snapshot_id"), F.col("v.origin").alias("origin_id"), F.col("v.url").alias("repo_url"), F.col("v.type").alias("origin_type"))
     return one_url(heads.join(to_snapshot, "snapshot_id", "left").join(best, "actual_snapshot_id", "left"))
 
 

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import path_join, utf8_replace
-from lodestone.sources.storage import forget, settle
+from lodestone.sources.storage import bucketed, forget, settle, stored_bytes
 
 MAX_DEPTH = 256
+HOT, SMALL = 1000, 1 << 25  #: a directory is hot if more than one in so many ways lead to it; bytes that one task can hold
 
 
 class TooDeep(RuntimeError):
-    """Directories nest deeper than allowed, or contain themselves."""
+    """Directories nest deeper than allowed."""
+
+
+class Cycle(TooDeep):
+    """A directory contains itself."""
 
 
 def decoded(df: DataFrame, name: str = "name") -> Column:
@@ -45,23 +50,55 @@ def dir_edges(directory: DataFrame, entry_dir: DataFrame) -> DataFrame:
     return _edges(directory, entry_dir, "dir_entries")
 
 
+def edges_table(edges: DataFrame, buckets: int | None = None) -> DataFrame:
+    """directory, step, next: edges dealt by their directory once, so that levels of a walk don't move them again."""
+    return bucketed(edges.select("directory", F.col("name").alias("step"), F.col("target").alias("next")), "directory", buckets)
+
+
+def _down(level: DataFrame, edges: DataFrame) -> DataFrame:
+    """The next level's ways; looped: where a way comes back to a directory that it has been to."""
+    looped = F.array_contains("trail", F.col("next"))
+    return level.join(edges, "directory").select("root", F.col("next").alias("directory"), path_join(F.col("prefix"), F.col("step")).alias("prefix"), F.when(looped, F.concat(F.slice("trail", F.array_position("trail", F.col("next")).cast("int"), F.size("trail")), F.array("next"))).alias("looped"), F.concat("trail", F.array("next")).alias("trail"))
+
+
+def step_down(level: DataFrame, edges: DataFrame) -> DataFrame:
+    """_down, settled: only ways move, not edges; ways to a hot directory stay, and meet its edges where they are (if these are small)."""
+    size = stored_bytes(level)
+    if size is not None and size >= SMALL:
+        total = level.count()
+        hot = settle(level.groupBy("directory").agg(F.count("*").alias("ways")).where(F.col("ways") * HOT > total).select("directory"))
+        few = settle(edges.join(F.broadcast(hot), "directory", "left_semi"))  # at most HOT directories
+        if (stored_bytes(few) or 0) < SMALL:
+            hot = F.broadcast(hot)
+            stay, rest = level.join(hot, "directory", "left_semi"), level.join(hot, "directory", "left_anti")
+            return settle(_down(stay, F.broadcast(few)).unionByName(_down(rest, edges)))
+    return settle(_down(level, edges))
+
+
 def walk(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """root, directory, prefix: every way from each distinct root down to every directory below it.
 
-    One join a level; the frontier is settled each level, to see whether it is empty, and the
-    edges once. A directory that several ways reach has a row for each.
+    One join a level. Edges are a bucketed table, dealt once; the frontier is settled each level,
+    to see whether it is empty. A directory that several ways reach has a row for each. A way
+    carries the directories that it has been to, so a cycle ends the walk in as many levels as it
+    is long, whatever max_depth allows, with its directories in the error. Tables are settled: call it in a scope.
     """
-    edges = settle(edges.select("directory", F.col("name").alias("step"), F.col("target").alias("next")))
-    level = settle(roots.select(F.col("root_directory_id").alias("root")).where("root is not null").distinct().select("root", F.col("root").alias("directory"), F.lit("").alias("prefix")))
-    levels = [level]
-    while not level.isEmpty():
+    spark, kind = roots.sparkSession, edges.schema["directory"].dataType
+    shown = (lambda c: F.lower(F.hex(c))) if isinstance(kind, T.BinaryType) else (lambda c: c.cast("string"))
+    edges = edges_table(edges)
+    first = roots.select(F.col("root_directory_id").alias("root")).where("root is not null").distinct()
+    level = settle(first.select("root", F.col("root").alias("directory"), F.lit("").alias("prefix"), F.lit(None).cast(T.ArrayType(kind)).alias("looped"), F.array("root").alias("trail")))
+    levels, ways = [level], level.count()
+    while ways:
         if len(levels) > max_depth:
             raise TooDeep(f"directories nest deeper than {max_depth}")
-        level = settle(level.join(edges, "directory").select("root", F.col("next").alias("directory"), path_join(F.col("prefix"), F.col("step")).alias("prefix")))
+        level = step_down(level, edges)
         levels.append(level)
+        ways, loop = level.agg(F.count("*"), F.min(F.concat_ws(" > ", F.transform("looped", shown)))).first()
+        if loop:
+            raise Cycle(f"directories that contain each other: {loop}")
     forget(edges)
-    spark = roots.sparkSession
-    return spark.read.schema(level.schema).parquet(*[x._settled_at for x in levels])
+    return spark.read.schema(level.schema).parquet(*[x._settled_at for x in levels]).select("root", "directory", "prefix")
 
 
 def files_below(roots: DataFrame, directory: DataFrame, entry_file: DataFrame, entry_dir: DataFrame, content: DataFrame | None = None, recursive: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:

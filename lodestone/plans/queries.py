@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
 from lodestone.operators import fetch, heads, select, tree
+from lodestone.operators.outcomes import OutcomeLog
 from lodestone.plans.adapter import archive
 from lodestone.plans.config import ApiConfig
 from lodestone.plans.prepare import write_metadata
@@ -15,9 +16,11 @@ from lodestone.sources import storage
 QUERIES, ORACLES = {}, {}
 
 
-def _query(oracle: str | None = None):
+def _query(oracle: str | None = None, settles: bool = False):
+    """Register a query and its SQL. settles: tables that it settles go when its own rows are written."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = (lambda spark, sf_dir: storage.alone(spark, lambda: f(spark, sf_dir))) if settles else f
         if oracle:
             ORACLES[f.__name__] = oracle
         return f
@@ -112,7 +115,7 @@ def directory_files_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS d, n_name AS name, 'n' || n_nationkey AS t FROM nation UNION ALL SELECT 'n' || c_nationkey, c_name, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'o' || o_orderkey FROM orders),
 w(root, d, prefix) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, '' FROM region UNION ALL SELECT root, e.t, CASE WHEN prefix = '' THEN e.name ELSE prefix || '/' || e.name END FROM w JOIN e ON w.d = e.d)
-SELECT root, prefix || '/' || {_NAME} AS path, {_NAME} AS name, 'p' || l_partkey AS sha1_git FROM w JOIN lineitem ON w.d = 'o' || l_orderkey""")
+SELECT root, prefix || '/' || {_NAME} AS path, {_NAME} AS name, 'p' || l_partkey AS sha1_git FROM w JOIN lineitem ON w.d = 'o' || l_orderkey""", settles=True)
 def directory_files_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = archive(spark, sf_dir)
     roots = c["directory"].select(F.col("id").alias("root_directory_id")).where(F.col("root_directory_id").cast("string").startswith("r"))
@@ -125,12 +128,12 @@ def files_left_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.file_edges(tree.unique_directories(c["directory"]), c["directory_entry_file"], c["content"]).select(_s("directory"), "name", _s("target"))
 
 
-@_query(_REPO_FILES)
+@_query(_REPO_FILES, settles=True)
 def repo_file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repo_files(archive(spark, sf_dir)).select("path", "name", _s("sha1_git"), "repo_url")
 
 
-@_query(f"SELECT repo_url, count(*) AS n_files FROM ({_REPO_FILES}) WHERE name LIKE '%.py' GROUP BY repo_url")
+@_query(f"SELECT repo_url, count(*) AS n_files FROM ({_REPO_FILES}) WHERE name LIKE '%.py' GROUP BY repo_url", settles=True)
 def python_files_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.select_files(_repo_files(archive(spark, sf_dir)), [".py"]).groupBy("repo_url").agg(F.count("*").alias("n_files"))
 
@@ -206,6 +209,54 @@ def utf8_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", fn.utf8_replace(broken).alias("name"))
 
 
+@_query(f"SELECT * FROM ({_NAMES}) WHERE regexp_matches(name, '^l[0-3]\\.[a-ik-z]{{2}}$')")
+def filter_class_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.select_files(_names(archive(spark, sf_dir)), [], [r"^l[\d--[4-9]]\.[a-z--j]{2}$"])
+
+
+@_query(f"SELECT * FROM ({_NAMES}) WHERE regexp_matches(name, '^(l1|L2)\\.(py|md)$')")
+def filter_flag_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.select_files(_names(archive(spark, sf_dir)), [], [r"(?m:^l)1(?-i)\.(?i:PY|MD)$|\AL2\.(?:py|md)\z"])
+
+
+_FILES = "SELECT l_returnflag AS repo_url, 'l' || l_linenumber AS path, 'o' || l_orderkey AS sha1_git FROM lineitem"
+
+
+@_query(f"SELECT * FROM ({_FILES}) ORDER BY repo_url, path, sha1_git LIMIT 25000", settles=True)
+def limit_files_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many files as no one task should choose."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("repo_url"), F.concat(F.lit("l"), "l_linenumber").alias("path"), F.concat(F.lit("o"), "l_orderkey").alias("sha1_git"))
+    return select.limit_files(rows, 25_000, top=0)
+
+
+# Orders as outcomes of three runs: of a customer's file each.
+_RUNS = "SELECT 'c' || o_custkey AS target, o_orderkey % 3 + 1 AS version, 'o' || o_orderkey AS sha1_git, o_orderstatus = 'F' AS success, o_orderkey * 7 AS size FROM orders"
+
+
+def _history(spark: SparkSession, sf_dir: str) -> OutcomeLog:
+    log = OutcomeLog(spark, storage.new_path(spark))
+    target, done = F.concat(F.lit("c"), "o_custkey"), F.col("o_orderstatus") == "F"
+    size = F.col("o_orderkey") * 7
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", target.alias("target"), F.concat(F.lit("o"), "o_orderkey").alias("sha1_git"), target.alias("local_path"), done.alias("success"), size.alias("size"), F.when(done, "success").otherwise("timeout").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    for run in range(3):
+        log.append(rows.where(F.col("o_orderkey") % 3 == run))
+        if run == 1:
+            log.compact()
+    return log
+
+
+@_query(f"SELECT target, version, sha1_git, success, size FROM ({_RUNS}) QUALIFY row_number() OVER (PARTITION BY target ORDER BY version DESC, success DESC, sha1_git DESC) = 1", settles=True)
+def outcome_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).latest().select("target", "version", "sha1_git", "success", "size")
+
+
+@_query(f"SELECT c_custkey, 'c' || c_custkey AS target FROM customer WHERE 'c' || c_custkey NOT IN (SELECT target FROM ({_RUNS}) WHERE success)", settles=True)
+def not_yet_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an incremental run asks for: files that no run has fetched."""
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("c"), "c_custkey").alias("target"))
+    return wanted.join(_history(spark, sf_dir).fetched().select("target"), "target", "left_anti").select("c_custkey", "target")
+
+
 class _Simulated:
     """Answers by the hash's last digit, without a network or a clock."""
 
@@ -235,7 +286,7 @@ def simulated(config: ApiConfig, hourly: int) -> fetch.Fetcher:
 _ANSWERS = "CASE p_partkey % 10 WHEN 1 THEN 'timeout' WHEN 2 THEN 'network_error' WHEN 3 THEN 'not_found' WHEN 4 THEN 'max_retries_exceeded' WHEN 5 THEN 'max_retries_exceeded' ELSE 'success' END"
 
 
-@_query(f"SELECT status, count(*) AS n, CAST(sum(CASE status WHEN 'success' THEN length('{ApiConfig.base_url}/content/sha1_git:' || lower(hex('p' || p_partkey)) || '/raw/') ELSE 0 END) AS BIGINT) AS bytes FROM (SELECT p_partkey, {_ANSWERS} AS status FROM part) GROUP BY status")
+@_query(f"SELECT status, count(*) AS n, CAST(sum(CASE status WHEN 'success' THEN length('{ApiConfig.base_url}/content/sha1_git:' || lower(hex('p' || p_partkey)) || '/raw/') ELSE 0 END) AS BIGINT) AS bytes FROM (SELECT p_partkey, {_ANSWERS} AS status FROM part) GROUP BY status", settles=True)
 def fetch_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fetch.local_folder(storage.new_path(spark))
     files = hex_encode(spark, sf_dir).select("sha1_git", F.lit("https://host.example/r").alias("repo_url"), F.concat(F.lit("d/"), "p_partkey", F.lit(".py")).alias("path"))
@@ -243,7 +294,7 @@ def fetch_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.settle(stats).groupBy("status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@_query(_REPO_FILES)
+@_query(_REPO_FILES, settles=True)
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.plans import schemas
 

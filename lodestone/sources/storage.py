@@ -60,8 +60,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _open.reset(token)
         for path in held:
-            fs, at = _hadoop(spark, path)
-            fs.delete(at, True)
+            _drop(spark, path)
 
 
 def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
@@ -162,9 +161,28 @@ def stored_bytes(df: DataFrame) -> int | None:
     return fs.getContentSummary(at).getLength()
 
 
+def _bucket_name(path: str) -> str:
+    """The catalog's name of the bucketed table at path."""
+    return path.rsplit("/", 1)[-1].replace("-", "_")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {_bucket_name(path)}")
+    delete(spark, path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """Settle df as a table of the session's catalog, its rows dealt and sorted by key: joins on key move only the other side."""
+    spark = df.sparkSession
+    path, n = new_path(spark), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(_bucket_name(path))
+    out = spark.table(_bucket_name(path))
+    out._settled_at = path
+    return out
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete settled tables that nothing will read again."""
     for df in tables:
         if path := getattr(df, "_settled_at", None):
-            fs, at = _hadoop(df.sparkSession, path)
-            fs.delete(at, True)
+            _drop(df.sparkSession, path)
