@@ -85,8 +85,8 @@ least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
 
 # All pairs, which only small tables allow.
 _VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-good AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-{_COMPONENTS.format(links="SELECT p.vec_id, q.vec_id FROM good p JOIN good q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_inner_product(p.e, q.e) / (p.n * q.n) >= 0.9", id="vec_id", rows="v")}
+good AS (SELECT vec_id, e, list_sum(list_transform(e, lambda x: x * x)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+{_COMPONENTS.format(links="SELECT p.vec_id, q.vec_id FROM good p JOIN good q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_inner_product(p.e, q.e) / sqrt(p.n * q.n) >= 0.9", id="vec_id", rows="v")}
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON id = vec_id"""
 
 # Every pair of documents with a common shingle.

@@ -54,20 +54,20 @@ def _planes(k: int, dim: int) -> np.ndarray:
 
 
 def _classify(batches):
-    """Rows id, dim, cid (names the vector; null: it links with nothing), vec (its doubles, scaled by its largest)."""
+    """Rows id, dim, name (128 bits of the vector's hash; null: it links with nothing), vec (its doubles, scaled by a power of two, which is exact)."""
     for batch in batches:
-        dims, cids, vecs = [], [], []
+        dims, names, vecs = [], [], []
         for v in batch.column(1).to_pylist():
             x = None
             if v and None not in v:
                 x = np.array(v, np.float64)
                 top = np.abs(x).max()
-                x = x / top if np.isfinite(top) and top > 0 else None
+                x = np.ldexp(x, -int(np.frexp(top)[1])) if np.isfinite(top) and top > 0 else None
             data = None if x is None else (x + 0.0).tobytes()
             dims.append(0 if x is None else len(x))
-            cids.append(None if x is None else int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True))
+            names.append(None if x is None else hashlib.blake2b(data, digest_size=16).digest())
             vecs.append(data)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(cids, pa.int64()), pa.array(vecs, pa.binary())], names=["id", "dim", "cid", "vec"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(names, pa.binary()), pa.array(vecs, pa.binary())], names=["id", "dim", "name", "vec"])
 
 
 def _joined(mask: np.ndarray) -> np.ndarray:
@@ -138,11 +138,32 @@ def _windows(threshold: float, window: int):
     return compare
 
 
+NEAR = 1e-9  #: cosines so near to the threshold are computed anew, each sum rounded once
+
+
+def _doubles(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """The cosine that decides: sums of products, each rounded once, so it is the same whatever else is compared, and exact where it can be."""
+    return math.fsum(x * y) / math.sqrt(math.fsum(x * x) * math.fsum(y * y))
+
+
+def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each row of x and each of y have a cosine of at least threshold."""
+    out = (x @ y.T) / np.sqrt(np.outer((x * x).sum(axis=1), (y * y).sum(axis=1)))
+    good = out >= threshold
+    for i, j in zip(*np.nonzero(np.abs(out - threshold) <= NEAR), strict=True):
+        good[i, j] = cosine(x[i], y[j]) >= threshold
+    return good
+
+
 def _verified(threshold: float):
     def compare(batches):
         for batch in batches:
             x, y = ([np.frombuffer(v, np.float64) for v in batch.column(i).to_pylist()] for i in (2, 3))
-            good = [float(a @ b) / (float(np.linalg.norm(a)) * float(np.linalg.norm(b))) >= threshold for a, b in zip(x, y, strict=True)]
+            good = [cosine(a, b) >= threshold for a, b in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return compare
@@ -154,13 +175,14 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, id_col: str =
     n_links: other rows whose vector has a cosine (in doubles) of at least threshold with this one;
     component_id: the smallest id reachable by links; kept: whether it is the row's own. A vector
     that is null, empty, zero, or has null or non-finite parts links with nothing; vectors of
-    different lengths are never linked. Equal vectors, rows of one id among them, are linked. A
+    different lengths are never linked. A cosine of exactly the threshold links, as cosine() rounds it. Equal vectors, rows of one id among them, are linked. A
     row without id counts for others' links, and is kept only if nothing in its component has an
     id. Empty tables give no rows; other columns are not read.
     """
     parts = T.ArrayType(T.DoubleType())
-    rows = storage.settle(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(parts).alias("v")).mapInArrow(_classify, "id long, dim int, cid long, vec binary"))
-    classes = storage.settle(rows.where("cid is not null").groupBy("cid", "dim").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.any_value("vec").alias("vec")))
+    rows = storage.settle(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(parts).alias("v")).mapInArrow(_classify, "id long, dim int, name binary, vec binary"))
+    classes = rows.where("name is not null").groupBy("name", "dim").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.any_value("vec").alias("vec"))
+    classes = storage.settle(classes.withColumn("cid", F.monotonically_increasing_id()))
     total = classes.count()
     turns = passes_for(total, threshold, window, miss)
 
@@ -203,22 +225,22 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, id_col: str =
 
     def count(group: pa.Table) -> pa.Table:
         mine, i, j = (group.column(c).to_numpy() for c in ("mine", "i", "j"))
-        x, copies, cid = _unit(group.column("vec").to_pylist()), group.column("copies").to_numpy(), group.column("cid").to_numpy()
+        x, copies, cid = _doubles(group.column("vec").to_pylist()), group.column("copies").to_numpy(), group.column("cid").to_numpy()
         if i[0] == j[0]:
-            n = (x @ x.T >= threshold) & ~np.eye(len(x), dtype=bool)
+            n = alike(x, x, threshold) & ~np.eye(len(x), dtype=bool)
             links = n @ copies
         else:
             one = mine == i[0]
-            n = x[one] @ x[~one].T >= threshold
+            n = alike(x[one], x[~one], threshold)
             links = np.zeros(len(x), np.int64)
             links[one], links[~one] = n @ copies[~one], n.T @ copies[one]
         return pa.table({"cid": cid, "links": links})
 
     links = dealt.groupBy("root", "i", "j").applyInArrow(count, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
     least = members.select("root", "cid").join(classes.select("cid", "least"), "cid").groupBy("root").agg(F.min("least").alias("component"))
-    named = classes.select("cid", "least", "copies").join(links, "cid", "left").join(members.select("cid", "root").join(least, "root"), "cid", "left")
-    named = named.select("cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "least").alias("component"))
-    linked = storage.join_unique(rows.where("cid is not null").select("id", "cid"), storage.settle(named), "cid", least=1).select("id", "n", "component")
-    alone = rows.where("cid is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    named = classes.select("cid", "name", "least", "copies").join(links, "cid", "left").join(members.select("cid", "root").join(least, "root"), "cid", "left")
+    named = named.select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "least").alias("component"))
+    linked = storage.join_unique(rows.where("name is not null").select("id", "name"), storage.settle(named), "name", least=1).select("id", "n", "component")
+    alone = rows.where("name is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
     out = linked.unionByName(alone).select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -181,3 +181,36 @@ def test_lone_pairs_in_a_dense_cone_are_found(spark):
     got = {r["vec_id"]: r for r in vectors.near_duplicate_vectors(rows, window=16).collect()}
     root = union(np.argwhere(np.triu(near, 1)).tolist(), range(len(x)))
     assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == [(want[i], root[i]) for i in range(len(x))]
+
+
+def test_ties_at_the_threshold_link_everywhere(spark):
+    """Pairs of small whole numbers whose cosine is exactly 0.9: counts, components and the SQL agree."""
+    import duckdb
+
+    from lodestone.llm import queries
+
+    rng, pairs = random.Random(5), []
+    for k in range(60):  # 9 / (1 * 10), and 9 / (2 * 5), at odd scales
+        a, b = rng.choice([([1, 0, 0, 0, 0, 0], [9, *rng.sample([3, -3, 1], 3), 0, 0]), ([1, 1, 1, 1, 0, 0], [*rng.sample([4, 2, 2, 1], 4), 0, 0])])
+        pairs.append(([(2 * k + 1) * x for x in a], b))
+    rows = []
+    for k, (a, b) in enumerate(pairs):  # each pair in a place of its own, so that it meets no other
+        wide = lambda v, k=k: [0.0] * (6 * k) + [float(x) for x in v] + [0.0] * (6 * (59 - k))
+        rows += [(2 * k, wide(a)), (2 * k + 1, wide([3 * x for x in b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicate_vectors(df).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(120)}
+    db = duckdb.connect()
+    table = df.toArrow()
+    db.register("embeddings", table)
+    assert {r[0]: (r[1], r[2]) for r in db.sql(f"SELECT vec_id, n_links, component_id FROM ({queries.ORACLES['op2_projection_near_dedup']})").fetchall()} == got
+
+
+def test_one_formula_decides():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(-9, 10, (80, 6)).astype(float), rng.integers(-9, 10, (80, 6)).astype(float)
+    x[(x == 0).all(axis=1)] = y[(y == 0).all(axis=1)] = 1
+    for threshold in (0.9, 0.5, 0.0):
+        whole = vectors.alike(x, y, threshold)
+        assert (whole == [[vectors.cosine(a, b) >= threshold for b in y] for a in x]).all()
+        assert (vectors.alike(y, x, threshold) == whole.T).all() and (vectors.alike(x[:1], y, threshold) == whole[:1]).all()
