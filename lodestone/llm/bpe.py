@@ -25,15 +25,16 @@ from lodestone.llm import storage
 from lodestone.llm.words import CHUNK, UNKNOWN, classes, cuts, points, spelled
 
 SAMPLE_DOCS, TABLE_WORDS, TABLE_BYTES = 1 << 16, 1 << 18, 64
+HOT_WORDS = 1 << 14  #: longer words, up to LONG bytes, are in the table if they are more than one in so many of the sample's words
 HELD = 1 << 17  #: words that a task counts before it hands their counts on
 LONG, BLOCK = 1024, 0.5  #: words of more bytes are folded in blocks of BLOCK * sqrt(bytes) tokens
 _EDGE, _NONE = 65535, 65536
 _P, _S, _C, _D = 65521, 196613, 668265261, 40503  # sizes and factors of the perfect hash
-_SEP = "\x01"
+_SEP = "\u0100"  #: no byte's character
 
 
 class Ranks:
-    """The vocabulary's literals: byte ids, the pair table, and pieces as hex."""
+    """The vocabulary's literals: byte ids, the pair table, and pieces, a character for each byte."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -46,7 +47,7 @@ class Ranks:
         self.shift, self.table = perfect_hash(pairs)
         self.pieces = [""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
-            self.pieces[r] = t.hex()
+            self.pieces[r] = t.decode("latin-1")
 
 
 def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
@@ -204,8 +205,9 @@ def occurrences(texts: list[str | None], pattern: str):
     quick = pattern == public_tokenizers.PATTERN
 
     def searched(k: int, text: str):
-        code, words = pd.factorize(np.array(_matcher(pattern).findall(text), object)) if text else (np.zeros(0, np.int64), [])
-        return [k], code, np.array([0, len(code)]), list(words)
+        numbers: dict[str, int] = {}  # pandas would compare strings up to their first NUL
+        code = np.array([numbers.setdefault(w, len(numbers)) for w in _matcher(pattern).findall(text)], np.int64)
+        return [k], code, np.array([0, len(code)]), list(numbers)
 
     def split(held: list[tuple[int, str]]):
         code, bounds, words = spelled([t for _, t in held], "byte")
@@ -288,7 +290,10 @@ def _frequent(texts: DataFrame, pattern: str, most: int) -> DataFrame:
                     counts.clear()
         yield rows()
 
-    counted = storage.settle(texts.select("t").mapInArrow(count, "w string, n long").where(F.octet_length("w") <= TABLE_BYTES).groupBy("w").agg(F.sum("n").alias("n")))
+    every = storage.settle(texts.select("t").mapInArrow(count, "w string, n long").where(F.octet_length("w") <= LONG).groupBy("w").agg(F.sum("n").alias("n")))
+    hot = F.col("n") * HOT_WORDS > (every.agg(F.sum("n")).first()[0] or 0)  # fewer than HOT_WORDS
+    long_ = F.octet_length("w") > TABLE_BYTES
+    counted = every.where(~long_)
     left, least = most, None
     step = F.floor(F.log2("n") * 8)
     for k, n in sorted(counted.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
@@ -296,7 +301,7 @@ def _frequent(texts: DataFrame, pattern: str, most: int) -> DataFrame:
         if left < 0:
             break
         least = k
-    return counted.where(step >= least if least is not None else F.lit(False)).select("w")
+    return counted.where(step >= least if least is not None else F.lit(False)).select("w").unionByName(every.where(long_ & hot).select("w"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -307,8 +312,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     parts, long words folded in blocks, in time that grows little more than linearly.
 
     The table of frequent words comes from about sample_docs rows and has at most table_words of
-    at most TABLE_BYTES bytes; these bound what goes to the driver and to every task, and change
-    nothing but the time. Words outside it are rare, so no join key of a word is hot. Rows meet the
+    at most TABLE_BYTES bytes, and fewer than HOT_WORDS longer ones; these bound what goes to the
+    driver and to every task, and change nothing but the time. Words outside it are rare or very long. Rows meet the
     words of their texts by a digest of the text: equal texts look them up once, and adaptive
     execution splits the rows of a very common text; rows without such words are spread.
     """
@@ -389,9 +394,9 @@ def _table(name: str, shared) -> Table:
 
 
 def decode(ids: Column, path: str) -> Column:
-    """The bytes of a line of decimal ids."""
+    """The bytes of a line of decimal ids: its tokens' pieces, one after another."""
     pieces = _strings(ranks(path).pieces)
-    return F.when(ids == "", F.lit(b"")).otherwise(F.unhex(F.array_join(F.transform(F.split(ids, " ").cast("array<int>"), lambda i: F.get(pieces, i)), "")))
+    return F.when(ids == "", F.lit(b"")).otherwise(F.encode(F.array_join(F.transform(F.split(ids, " ").cast("array<int>"), lambda i: F.get(pieces, i)), ""), "ISO-8859-1"))
 
 
 def count(ids: Column) -> Column:

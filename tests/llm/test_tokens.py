@@ -268,3 +268,19 @@ def test_texts_in_parts_keep_their_other_words(monkeypatch):
     assert words[0] == [" c", " d"] and words[2] == [" x"] and words[3] == [" x", " y", " z"] and words[4] == []
     assert gaps[3].tolist() == [0, 1] * 30 + [2, 0] and ids[0].tolist() == [9, 7, 8, 65535, 7, 8, 65535]
     assert ids[2].tolist() == [7, 8] * 60 + [65535]
+
+
+def test_pair_encoding_of_odd_texts_equals_the_library(spark):
+    """NUL beside code points that this Python does not know, long words that are common, and all kinds of characters."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANK, "rb"))}
+    lib, rng = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), random.Random(8)
+    letters = " '\nasltrevdmé12.!\t ΣİǄ́\x00͸\U0010ffff🙂日\x01Ā\xff"
+    texts = ["͸ a.\x00 b. c.", "\U0010ffff\x00\x00 x\x00", "Ā\x01ÿ\x00"] + ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(600)]
+    texts += ["=" * 80 + " " + "-" * 100] * 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    coded = bpe.encode(df, RANK, P.PATTERN)
+    got = {r["doc_id"]: (r["ids"], bytes(r["bytes"])) for r in coded.select("doc_id", "ids", bpe.decode(F.col("ids"), RANK).alias("bytes")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (" ".join(map(str, lib.encode_ordinary(t))), t.encode()), repr(t)
