@@ -95,16 +95,19 @@ _LOOSE = [
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\])[0-9]{1,3}){3}(?![0-9])"), _DIGIT),
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::|:?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])"), re.compile(":[0-9A-Fa-f]{0,4}:")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{2,6}){2,4}(?![0-9])"), _DIGIT),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.])(?:\(?[0-9]{2,4}\)?[ ./-])[0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])"), _DIGIT),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.+])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,8}){1,5}(?![0-9])"), _DIGIT),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{4,}+){1,5}"), _DIGIT),
     ("secret", re.compile(r"(?<![A-Za-z0-9_])(?:[A-Za-z_]{2,20} ?[=:] ?)?[\"']?[A-Za-z0-9+/_-]{16,}+=*[\"']?"), _DIGIT),
     ("secret", re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key)[\"']? ?[=:] ?[\"']?[^\s\"',;]{4,}+[\"']?"), re.compile("[=:]")),
-    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----"), re.compile("-----BEGIN")),
+    # A key with its end, whatever lies between; or one that breaks off: its headers, and lines as keys have them.
+    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,24}PRIVATE KEY-----"), re.compile("-----BEGIN")),
+    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:\s+[A-Za-z0-9-]{1,32}: ?[^\n]*+)*+(?:\s+[A-Za-z0-9+/]{16,}+={0,2})*+(?:\s+[A-Za-z0-9+/]{1,15}={1,2})?+"), re.compile("-----BEGIN")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _DIGIT),
 ]
 _CONTEXT = re.compile(r"\w+")
 _NAMED = re.compile(r"(?i)[\"']?(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key)[\"']? ?[=:]")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][01][0-9][-./][0-3][0-9].*")
-FEATURES = 24
+FEATURES = 34
 
 # Words that tend to stand before each kind.
 CUES = {
@@ -154,6 +157,7 @@ def features(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
             float(kind == "card" and 13 <= len(digits) <= 19 and all(c.isascii() for c in digits) and luhn("".join(digits))), float("@" in body), float("=" in body or ":" in body), float(bool(words & CUES[kind])), float(before[-1:].isalnum()), float(after.isalnum()),
             sum("a" <= c <= "f" for c in body.lower()) / max(1, letters), float(any(r > 3 for r in runs)), float(len(runs) == 4 and all(int(r) <= 255 for r in re.findall(r"[0-9]{1,3}", body)[:4])),
             float(kind == "iban" and iban_valid(body)), float(body.startswith("-----BEGIN")), float(bool(_NAMED.match(body))), body.count(":"), float(bool(_DATE.fullmatch(body))),
+            *(runs + [0] * 4)[:4], *(body.count(c) for c in ".- /("), float(body.lstrip("(")[:1] == "0"),
         ])
     return np.array(rows, np.float64).reshape(-1, FEATURES)
 
@@ -255,6 +259,20 @@ def drawn(n: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         body = pick("3456") + num(14)
         return body + next(c for c in "0123456789" if luhn(body + c))
 
+    def other_digits(k: int) -> str:
+        """Digits that are no card's."""
+        return next(d for d in iter(lambda: num(k), None) if not luhn(d))
+
+    def split(text: str, *sizes: int, by: str) -> str:
+        at = np.cumsum([0, *sizes])
+        return by.join(text[i:j] for i, j in zip(at, at[1:], strict=False))
+
+    def national() -> str:
+        """A number as people write it at home: it begins with 0."""
+        area, by = "0" + pick("123456789") + num(int(rng.integers(1, 4))), pick([" ", "/", "-", " / "])
+        rest = num(int(rng.integers(6, 9)))
+        return area + by + pick([rest, split(rest, 3, len(rest) - 3, by=" "), split(rest, len(rest) - 4, 4, by=pick(" -")), split(rest, 2, 2, len(rest) - 4, by=" ")])
+
     hexa = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
     mixed = lambda k: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"), k))
     shout = lambda k: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), k))
@@ -266,17 +284,17 @@ def drawn(n: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     yes = {
         "email": [lambda: f"{word()}.{word()}{pick(['@', '(at)', ' [at] ', ' (at) '])}{word()}{pick(['.', ' (dot) ', '[dot]'])}{pick(['com', 'org', 'net', 'example'])}"],
         "ip": [lambda: ".".join(str(int(v)) for v in rng.integers(1, 256, 4)), lambda: "[.]".join(str(int(v)) for v in rng.integers(1, 256, 4)), lambda: ":".join(hexa(4) for _ in range(8)), lambda: f"{hexa(4)}:{hexa(3)}::{hexa(int(rng.integers(1, 5)))}", lambda: f"fe80::{hexa(4)}:{hexa(4)}:{hexa(3)}"],
-        "card": [card, lambda: " ".join((c := card())[i : i + 4] for i in range(0, 16, 4)), lambda: ".".join((c := card())[i : i + 4] for i in range(0, 16, 4))],
-        "phone": [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{pick('23456789')}{num(2)}-{num(3)}-{num(4)}"],
-        "secret": [lambda: f'{pick(["token", "key", "secret", "password", "api_key"])} = "{hexa(int(pick([32, 40, 64])))}"', lambda: f"{pick(['token', 'key'])}: {mixed(int(rng.integers(24, 48)))}", lambda: mixed(int(rng.integers(32, 64))), lambda: f"AKIA{num(2)}{shout(14)}", lambda: f'{pick(["token", "key", "secret"])} = "{hexa(12)}{num(int(rng.integers(4, 20)))}{hexa(12)}"', lambda: f'{pick(["password", "passwd", "pwd", "secret"])}{pick([" = ", "=", ": "])}{pick(["", chr(34)])}{word()}{num(int(rng.integers(1, 5)))}{pick(["", "!", "#"])}', lambda: f"{pick(['token', 'api_key'])}: {mixed(int(rng.integers(8, 400)))}", lambda: f"-----BEGIN {pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{mixed(64)}\n{mixed(40)}=\n-----END PRIVATE KEY-----"],
+        "card": [lambda: split(card(), 4, 4, 4, 4, by=pick("./"))],
+        "phone": [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{pick('23456789')}{num(2)}{(by := pick('-.'))}{num(3)}{by}{num(4)}", national, national, lambda: f"00{pick('123456789')}{num(1)} {pick('123456789')}{num(2)} {num(3)} {num(4)}"],
+        "secret": [lambda: f'{pick(["token", "key", "secret", "password", "api_key"])} = "{hexa(int(pick([32, 40, 64])))}"', lambda: f"{pick(['token', 'key'])}: {mixed(int(rng.integers(24, 48)))}", lambda: mixed(int(rng.integers(32, 64))), lambda: f"AKIA{num(2)}{shout(14)}", lambda: f'{pick(["token", "key", "secret"])} = "{hexa(12)}{num(int(rng.integers(4, 20)))}{hexa(12)}"', lambda: f'{pick(["password", "passwd", "pwd", "secret"])}{pick([" = ", "=", ": "])}{pick(["", chr(34)])}{word()}{num(int(rng.integers(1, 5)))}{pick(["", "!", "#"])}', lambda: f"{pick(['token', 'api_key'])}: {mixed(int(rng.integers(8, 400)))}", lambda: f"-----BEGIN {pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{pick(['', 'Proc-Type: 4,ENCRYPTED' + chr(10) + 'DEK-Info: AES-128-CBC,' + shout(16) + chr(10) * 2])}{mixed(64)}\n{mixed(40)}={pick(['', chr(10) + '-----END PRIVATE KEY-----'])}", lambda: ".".join(("ey" if i < 2 else "") + mixed(int(rng.integers(18, 60))) for i in range(3))],
         "iban": [iban, lambda: (c := iban()) and " ".join(c[i : i + 4] for i in range(0, len(c), 4))],
     }
     no = {
         "email": [lambda: f"{word()} @ {word()} {word()}", lambda: f"{word()} @ {word()}. {word().title()}", lambda: f"{word()}@{word()} . {word()}", lambda: f"{word()}@{num(2)}.{word()}"],
         "ip": [lambda: f"{num(3)}.{pick('3456789')}{num(2)}.{num(3)}.{pick('456789')}{num(2)}", lambda: f"version {pick('123')}.{num(1)}.{num(1)}.{num(1)}", lambda: f"{pick('012')}{num(1)}:{pick('012345')}{num(1)}:{pick('012345')}{num(1)}", lambda: f"{num(1)}:{num(2)}:{num(2)}"],
-        "card": [lambda: num(16), lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"19{num(2)} 20{num(2)} 20{num(2)}"],
-        "phone": [lambda: f"{num(2)}.{num(3)}.{num(3)}", lambda: f"{num(4)} {num(3)} {num(3)}"],
-        "secret": [lambda: f"{word()}{word()}{word()}{num(1)}", lambda: f"{word()}_{word()}_{word()}_{num(2)}", lambda: num(20), lambda: f"{word()}/{word()}/{word()}{num(2)}/{word()}", lambda: f"{pick(['password', 'secret', 'token', 'passwd'])}: {word()}", lambda: f"{pick(['Password', 'token', 'secret'])} = {word()}", lambda: f"20{num(2)}-0{num(1)}-1{num(1)}T{num(2)}-{num(2)}-{num(2)}", lambda: f"{word()}-{word()}-20{num(2)}-0{num(1)}", lambda: f"{word()}_{num(4)}_{word()}_{word()}"],
+        "card": [lambda: other_digits(16), lambda: split(other_digits(16), 4, 4, 4, 4, by=pick(" ./-")), lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"19{num(2)} 20{num(2)} 20{num(2)}"],
+        "phone": [lambda: f"{pick('123456789')}{num(1)}.{num(3)}.{num(3)}", lambda: f"{pick('123456789')}{num(3)} {num(3)} {num(3)}", lambda: f"{pick('12')}{num(3)}-{pick('12')}{num(3)}", lambda: f"{pick(['19', '20'])}{num(2)}{(by := pick('-./'))}{pick('01')}{num(1)}{by}{pick('0123')}{num(1)}", lambda: f"{pick('0123')}{num(1)}{(by := pick('-./'))}{pick('01')}{num(1)}{by}{pick(['19', '20'])}{num(2)}", lambda: f"{pick('123456789')}{num(1)} {num(3)}", lambda: f"{pick('123456789')}{num(2)}/{num(2)}", lambda: " ".join(pick("123456789") + num(2) for _ in range(4)), lambda: split(other_digits(16), 4, 4, 4, 4, by=" ")],
+        "secret": [lambda: f"{word()}{num(1)}.{word()}.{pick(['com', 'html', 'json'])}", lambda: f"{word()}{word()}{word()}.{word()}{num(2)}.{word()}", lambda: f"{word()}{word()}{word()}{num(1)}", lambda: f"{word()}_{word()}_{word()}_{num(2)}", lambda: num(20), lambda: f"{word()}/{word()}/{word()}{num(2)}/{word()}", lambda: f"{pick(['password', 'secret', 'token', 'passwd'])}: {word()}", lambda: f"{pick(['Password', 'token', 'secret'])} = {word()}", lambda: f"20{num(2)}-0{num(1)}-1{num(1)}T{num(2)}-{num(2)}-{num(2)}", lambda: f"{word()}-{word()}-20{num(2)}-0{num(1)}", lambda: f"{word()}_{num(4)}_{word()}_{word()}"],
         "iban": [lambda: f"{shout(2)}{num(2)} {num(4)} {num(4)}", lambda: f"{shout(2)}{num(12)}", lambda: f"{shout(2)}{num(2)}{shout(12)}"],
     }
     x, y = [], []
@@ -285,9 +303,9 @@ def drawn(n: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         body = pick((yes if label else no)[kind])()
         cue = pick(sorted(CUES[kind])) if rng.random() < (0.5 if label else 0.1) else word()
         text = f"{word()} {word()} {cue} {body} {word()} {word()}"
-        at = text.index(body)
+        at, base = text.index(body), _Kept(base_spans(text))
         for c in candidates(text):
-            if c[1] >= at and c[2] <= at + len(body):
+            if c[1] >= at and c[2] <= at + len(body) and not base.takes(c):  # a base span needs no judgement
                 x.append(features(text, [c])[0])
                 y.append(float(label and c[0] == kind))
     return np.array(x), np.array(y)
@@ -337,7 +355,7 @@ def spans(text: str | None, trees: Trees | None = None) -> tuple[list[tuple[str,
         trees = trees or model()
         x = features(text, free)
         good, score = trees.selected(x), trees.score(x)
-        for i in np.lexsort((np.arange(len(free)), -score)):
+        for i in np.lexsort((np.arange(len(free)), -score, [s - e for _, s, e in free])):  # the longest first: they leave least behind
             if good[i] and not kept.takes(free[i]):
                 kept.add(free[i])
                 added.append(free[i])
