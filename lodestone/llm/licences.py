@@ -4,6 +4,9 @@ DataFrame expressions only. Two exact bounds prune: a template whose set has m b
 the least coefficient t only with sets of m t / (2 - t) to m (2 - t) / t bigrams; and it must share
 at least m t / (2 - t) of its own, so a passage without any of the template's anchors (words that
 more than the other m - m t / (2 - t) bigrams hold) is never compared.
+
+A passage that as a whole is close to no template is looked into: windows as long as a template, laid
+so that one of its anchors stands in the passage where it stands in the template.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+INSIDE = 4  #: words of the shortest templates that are looked for inside longer passages: three common words are no licence there
 
 # The paragraphs that the BSD licences share, and the third clause.
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -65,8 +69,12 @@ TEMPLATES = [
 ]
 
 
+def template_words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    words = template_words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
@@ -90,41 +98,81 @@ def anchors(grams: list[str], least: float, liked: tuple[str, ...] = LIKED) -> l
     return chosen
 
 
+def signs(templates: list[tuple[str, str]], least: float) -> list[list[str]]:
+    """Each template's anchors; those of earlier ones are liked."""
+    out: list[list[str]] = []
+    for _, text in templates:
+        out.append(anchors(template_bigrams(text), least, (*LIKED, *(w for held in out for w in held))))
+    return out
+
+
+def places(templates: list[tuple[str, str]], least: float) -> list[tuple[int, str, int]]:
+    """(template, anchor, place): where anchors stand in the templates that are looked for inside passages."""
+    return [(k, w, at) for k, ((_, text), held) in enumerate(zip(templates, signs(templates, least), strict=True)) for words in [template_words(text)] if len(words) >= INSIDE for at, w in enumerate(words) if w in held]
+
+
 def _words(passage: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " ")), " ")
 
 
 def _pairs(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.flatten(F.transform(F.array(value), use))
 
 
 def found(text: Column, templates=None, least: float = LEAST) -> Column:
     """array<struct<licence, dice>>: each passage's closest templates, where their coefficient is at least least.
 
-    Passages are the text's lines, and what stands between blank lines.
+    Passages are the text's lines, and what stands between blank lines. Of one without a close
+    template the closest windows count.
     """
-    templates = [(n, template_bigrams(t)) for n, t in templates or TEMPLATES]
-    signs: list[str] = []
-    for _, g in templates:
-        signs += [a for a in anchors(g, least, (*LIKED, *signs)) if a not in signs]
-    held = F.from_json(F.lit(json.dumps(signs)), "array<string>")
+    templates = list(templates or TEMPLATES)
+    every_sign = list(dict.fromkeys(w for held in signs(templates, least) for w in held))
+    known = [{"licence": n, "lo": lo, "hi": hi, "words": len(template_words(t)), "grams": g} for n, t in templates for g in [template_bigrams(t)] for lo, hi in [bounds(len(g), least)]]
+    laid: dict[str, list] = {}
+    for k, w, at in places(templates, least):
+        laid.setdefault(w, []).append({"k": k + 1, "at": at})
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    held = literal(every_sign, "array<string>")
+    known = literal(known, "array<struct<licence:string,lo:int,hi:int,words:int,grams:array<string>>>")
+    laid = literal(laid, "map<string,array<struct<k:int,at:int>>>")
     # The array of one makes lower() run once for each string, not once for each sign.
     hit = lambda c: F.exists(F.array(F.lower(c)), lambda low: F.exists(held, lambda a: F.contains(low, a)))
     lines = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n")))
-    sets = F.transform(F.transform(F.filter(lines, hit), _words), _pairs)
-    known = [{"licence": n, "lo": lo, "hi": hi, "grams": g} for n, g in templates for lo, hi in [bounds(len(g), least)]]
-    known = F.from_json(F.lit(json.dumps(known)), "array<struct<licence:string,lo:int,hi:int,grams:array<string>>>")
 
-    def against(s: Column) -> Column:
-        fit = F.filter(known, lambda t: (F.size(s) >= t["lo"]) & (F.size(s) <= t["hi"]))
-        return F.transform(fit, lambda t: F.struct(t["licence"].alias("licence"), (F.size(F.array_intersect(s, t["grams"])) * F.lit(2.0) / (F.size(s) + F.size(t["grams"]))).alias("dice")))
+    def dice(s: Column, t: Column) -> Column:
+        return F.struct(t["licence"].alias("licence"), (F.size(F.array_intersect(s, t["grams"])) * F.lit(2.0) / (F.size(s) + F.size(t["grams"]))).alias("dice"))
+
+    def whole(s: Column) -> Column:
+        return F.transform(F.filter(known, lambda t: (F.size(s) >= t["lo"]) & (F.size(s) <= t["hi"])), lambda t: dice(s, t))
+
+    def windows(words: Column, grams: Column) -> Column:
+        # A window is one number, template and start, so that repeats are found by hashing.
+        laid_at = F.transform(words, lambda w, i: F.transform(F.filter(F.element_at(laid, w), lambda a: a["at"] <= i), lambda a: F.shiftleft(a["k"].cast("long"), 32) + (i - a["at"])))
+        at = lambda x: x.bitwiseAND((1 << 32) - 1).cast("int")
+        template = lambda x: F.element_at(known, F.shiftright(x, 32).cast("int"))
+        fit = F.filter(F.array_distinct(F.flatten(F.filter(laid_at, lambda x: x.isNotNull()))), lambda x: at(x) + template(x)["words"] <= F.size(words))
+        return F.flatten(F.transform(fit, lambda x: F.transform(F.array(template(x)), lambda t: dice(F.array_distinct(F.slice(grams, at(x) + 1, t["words"] - 1)), t))))
 
     def closest(near: Column) -> Column:
-        return F.filter(near, lambda x: (x["dice"] >= least) & (x["dice"] == F.array_max(F.transform(near, lambda y: y["dice"]))))
+        def named(x: Column) -> Column:
+            best = F.array_max(F.transform(x, lambda y: y["dice"]))
+            return _with(best, lambda most: F.transform(F.array_distinct(F.transform(F.filter(x, lambda y: (y["dice"] >= least) & (y["dice"] == most)), lambda y: y["licence"])), lambda n: F.struct(n.alias("licence"), most.alias("dice"))))
+
+        return _with(near, named)
+
+    def passage(x: Column) -> Column:
+        inside = lambda: closest(windows(x["w"], x["g"]))
+        return _with(closest(_with(F.array_distinct(x["g"]), whole)), lambda good: F.when(F.size(good) > 0, good).otherwise(inside()))
 
-    every = F.flatten(F.transform(F.transform(sets, against), closest))
-    return F.when(hit(text), every).otherwise(F.array().cast("array<struct<licence:string,dice:double>>"))
+    split = F.transform(F.filter(lines, hit), _words)
+    both = F.transform(split, lambda w: F.struct(w.alias("w"), _pairs(w).alias("g")))
+    return F.when(hit(text), F.flatten(F.transform(both, passage))).otherwise(F.array().cast("array<struct<licence:string,dice:double>>"))
 
 
 def scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,18 +188,26 @@ def scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col
 
 
 def oracle(least: float = LEAST) -> str:
-    """The same in SQL, without pruning."""
+    """The same in SQL, without pruning by size or anchor; windows are laid at the same places."""
     rows = ", ".join(f"({k}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for k, (n, t) in enumerate(TEMPLATES))
+    laid = ", ".join(f"({k}, '{w}', {at})" for k, w, at in places(TEMPLATES, least))
     norm = lambda c: f"string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ')"
-    grams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    grams = lambda w, a="1", n="len(w) - 1": f"list_distinct(list_transform(range({a}, {a} + {n}), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    dice = "2.0 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g))"
     return f"""
-WITH t AS (SELECT k, licence, {grams('w')} AS g FROM (SELECT k, licence, {norm('txt')} AS w FROM (VALUES {rows}) v(k, licence, txt))),
+WITH t AS (SELECT k, licence, len(w) AS n, {grams('w')} AS g FROM (SELECT k, licence, {norm('txt')} AS w FROM (VALUES {rows}) v(k, licence, txt))),
+laid(k, word, place) AS (VALUES {laid}),
 p AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)) || regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS p FROM documents),
-s AS (SELECT doc_id, p, {grams('w')} AS g FROM (SELECT doc_id, p, {norm('p')} AS w FROM p)),
-c AS (SELECT doc_id, p, licence, max(2.0 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g))) AS dice
+w AS (SELECT doc_id, p, {norm('p')} AS w FROM p),
+s AS (SELECT doc_id, p, {grams('w')} AS g FROM w),
+c AS (SELECT doc_id, p, licence, max({dice}) AS dice
       FROM s, t WHERE 2.0 * least(len(s.g), len(t.g)) / (len(s.g) + len(t.g)) >= {least} AND list_has_any(s.g, t.g)
-        AND 2.0 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) >= {least} GROUP BY ALL),
-d AS (SELECT doc_id, licence, max(dice) AS dice FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, p) AS most FROM c) WHERE dice = most GROUP BY ALL),
+        AND {dice} >= {least} GROUP BY ALL),
+i AS (SELECT doc_id, p, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w ANTI JOIN c USING (doc_id, p)),
+x AS (SELECT DISTINCT doc_id, p, k, n, i - place AS a, w FROM i JOIN laid USING (word) JOIN t USING (k) WHERE i - place >= 1 AND i - place + n - 1 <= len(w)),
+y AS (SELECT doc_id, p, k, {grams('w', 'a', 'n - 1')} AS g FROM x),
+c2 AS (SELECT * FROM c UNION ALL SELECT doc_id, p, licence, max({dice}) FROM y s JOIN t USING (k) WHERE {dice} >= {least} GROUP BY ALL),
+d AS (SELECT doc_id, licence, max(dice) AS dice FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, p) AS most FROM c2) WHERE dice = most GROUP BY ALL),
 a AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences, count(*) AS n_licences, round(max(dice), 6) AS dice FROM d GROUP BY doc_id)
 SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_licences, 0) AS n_licences, coalesce(dice, 0.0) AS dice
 FROM documents LEFT JOIN a USING (doc_id)"""

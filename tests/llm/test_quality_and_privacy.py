@@ -213,6 +213,35 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
     assert got == {1: "BSD-2-Clause,BSD-3-Clause", 2: "BSD-2-Clause,BSD-3-Clause", 3: "Apache-2.0", 4: "Apache-2.0", 5: "GPL-3.0-or-later"}
 
 
+def test_licences_inside_longer_passages(spark):
+    pad = "several other words that say nothing at all about it and go on for a while "
+    mit = next(t for n, t in licences.TEMPLATES if t.startswith("Permission is hereby"))
+    changed = mit.replace("to any person obtaining a copy", "to everyone who gets a copy")
+    rows = [
+        (1, f"{pad}{pad}Released under the MIT License. {pad}{pad}", "MIT"),
+        (2, f"{pad}\n{pad}{mit}\n{pad}{pad}{pad}", "MIT"),
+        (3, f"{pad * 20}{changed} {pad * 20}", "MIT"),
+        (4, f"{pad}Licensed under CC BY-SA 4.0. {pad}Licensed under the Apache License, Version 2.0. {pad}", "Apache-2.0,CC-BY-SA-4.0"),
+        (5, f"{pad}This work is licensed under the GNU Affero General Public License, version 3. {pad}", "AGPL-3.0"),
+        (6, f"{pad}Copyright 2020 Somebody. All rights reserved. {pad}", ""),
+        (7, f"{pad}a license to permit the licensed software a copyright of gnu permission {pad}" * 50, ""),
+        (8, f"{pad}# SPDX-License-Identifier: Apache-2.0 {pad}", "Apache-2.0"),
+        (9, f"{pad}Released under the", ""),
+        (10, "License " * 20000, ""),
+    ]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {k: want for k, _, want in rows}
+
+
+def test_each_template_is_found_inside_a_line(spark):
+    pad = "nothing to see here " * 30
+    rows = [(k, f"{pad}{t} {pad}") for k, (_, t) in enumerate(licences.TEMPLATES)]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, text) in enumerate(licences.TEMPLATES):
+        if len(licences.template_words(text)) >= licences.INSIDE:
+            assert name in got[k]["licences"].split(",") and got[k]["dice"] == 1.0
+
+
 def test_licence_bounds_are_exact():
     rng = random.Random(2)
     for _, t in licences.TEMPLATES:
