@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from lodestone.llm.words import CHUNK, LETTER, classes, cuts, points, pretokens,
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 15, 48, 4, 2
 SAMPLE = 6000  #: labelled rows that the network is fitted on, at most
-SLICES = 16  #: parts of the table of sums, each added up by one task
+SLICES = 16  #: parts of the table of sums, each added up on its own
+FAN, LEVELS = 64, 3  #: tables that one task adds up, and how often before the last addition
 SHAPES = 5  #: lower, title, upper, mixed, no letters: a word's shape has a vector too
 EXTRA = 3
 
@@ -195,40 +197,61 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from labelled rows that are not held out.
+def word_sums(texts: DataFrame, fan: int = FAN, levels: int = LEVELS) -> np.ndarray:
+    """The sums of contexts() over all rows of texts (one column), null ones included as empty.
 
-    Word vectors are summed over every row of docs, labelled or not; the network is fitted on at
-    most sample labelled rows, those whose hashed ids come first. Labels that are null, or whose
-    document is missing, are skipped; an id with several labels has the least of them. Words share
-    BUCKETS places by their hashes, so a large corpus has several words in one. Sums and pooled
-    rows are made on executors: each task has one table of sums, which is cut into SLICES and added
-    up there; the driver gets one table and a row of numbers for each sampled document.
+    Each task makes one table, cut into SLICES. Tables are added up in a tree: at every level a
+    task gets one slice of fan neighbours' tables, so that no task gets those of all. Sums are whole
+    numbers: the order of additions changes nothing.
     """
-    chosen = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    known = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    rows = storage.settle(known.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).repartition(8))
+    schema = "slice int, part long, used binary, sums binary"
+
+    def out(k: int, part: int, own: np.ndarray) -> pa.RecordBatch:
+        used = np.flatnonzero(own.any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int64()), pa.array([used.astype("<i4").tobytes()]), pa.array([own[used].astype("<i8").tobytes()])], names=["slice", "part", "used", "sums"])
 
     def gather(batches):
         into = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
         for batch in batches:
             contexts(batch.column(0).to_pylist(), into)
-        for k in range(SLICES):
-            own = into[k::SLICES]
-            used = np.flatnonzero(own.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([used.astype("<i4").tobytes()]), pa.array([own[used].astype("<i8").tobytes()])], names=["slice", "used", "sums"])
+        if into.any():
+            part = TaskContext.get().partitionId()
+            for k in range(SLICES):
+                yield out(k, part, into[k::SLICES])
 
     def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((len(range(int(key[0].as_py()), BUCKETS + SHAPES, SLICES)), DIM), np.int64)
+        k, part = (int(x.as_py()) for x in key)
+        own = np.zeros((len(range(k, BUCKETS + SHAPES, SLICES)), DIM), np.int64)
         for batch in tables:
-            for used, sums in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for used, sums in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own[np.frombuffer(used, "<i4")] += np.frombuffer(sums, "<i8").reshape(-1, DIM)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([own.astype("<i8").tobytes()])], names=["slice", "sums"])
+        yield out(k, part, own)
 
+    parts = texts.mapInArrow(gather, schema)
+    for level in range(levels + 1):
+        group = F.floor(F.col("part") / fan) if level < levels else F.lit(0).cast("long")
+        parts = parts.withColumn("part", group).groupBy("slice", "part").applyInArrow(add, schema)
     total = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
-    parts = known.select("t").mapInArrow(gather, "slice int, used binary, sums binary")
-    for k, sums in parts.groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
-        total[k::SLICES] = np.frombuffer(bytes(sums), "<i8").reshape(-1, DIM)
+    for k, _, used, sums in parts.collect():
+        total[k::SLICES][np.frombuffer(bytes(used), "<i4")] = np.frombuffer(bytes(sums), "<i8").reshape(-1, DIM)
+    return total
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """A model from labelled rows that are not held out.
+
+    Word vectors are summed over every row of docs, labelled or not; the network is fitted on at
+    most sample labelled rows, those whose hashed ids come first. Labels that are null, or whose
+    document is missing, are skipped; an id with several labels has the least of them. Words share
+    BUCKETS places by their hashes, so a large corpus has several words in one. Sums and pooled
+    rows are made on executors (see word_sums); the driver gets one table and a row of numbers for
+    each sampled document.
+    """
+    chosen = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
+    known = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    rows = storage.settle(known.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).repartition(8))
+
+    total = word_sums(known.select("t"))
     vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)).astype(np.float32)
 
     def pool(batches):
@@ -243,4 +266,4 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return Model(vectors, train(x[order], np.array([r[1] for r in got], np.float64)[order]))
 
 
-__all__ = ["Model", "Network", "contexts", "fit", "held_out", "pooled", "train", "words"]
+__all__ = ["Model", "Network", "contexts", "fit", "held_out", "pooled", "train", "word_sums", "words"]

@@ -141,6 +141,17 @@ def test_pii_frames(odd, nothing):
     assert pii.redacted(odd).columns == odd.columns and pii.redacted(odd).where("text is null").count() == 1
 
 
+def test_word_sums_add_up_in_a_tree(spark):
+    """Any fan and number of partitions, one text, nulls and none give the plain sum."""
+    texts = [f"common word number {i % 7} and {i} more" for i in range(90)] + [None, ""]
+    want = np.zeros((quality.BUCKETS + quality.SHAPES, quality.DIM), np.int64)
+    quality.contexts(texts, want)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for parts, fan in ((1, 64), (12, 2), (12, 3)):
+        assert (quality.word_sums(df.repartition(parts), fan) == want).all()
+    assert not quality.word_sums(df.limit(0)).any()
+
+
 def test_word_vectors_come_from_all_documents(spark):
     docs = [(i, f"good word number {i % 7}" if i % 2 else f"bad thing item {i % 5}") for i in range(60)] + [(1000 + i, "unlabelled zebra beside the river") for i in range(20)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
