@@ -14,9 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added=True)
-    digests = storage.settle(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return packing.pack(digests, ties=("doc_id", "piece"))
+    def packed() -> DataFrame:
+        pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added=True)
+        digests = storage.settle(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+        return packing.pack(digests, ties=("doc_id", "piece"))
+
+    return storage.alone(spark, packed)
 
 
 def op2_projection_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +28,18 @@ def op2_projection_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     ids = F.col("ids")
-    return coded.select("doc_id", bpe.count(ids).alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids, path), 256).alias("decoded_sha256"))
+    digests = (bpe.count(ids).alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids, path), 256).alias("decoded_sha256"))
+    return storage.alone(spark, lambda: bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select("doc_id", *digests))
 
 
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = storage.new_path(spark)
-    rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
-    return rans.read_tokens(spark, path, keep_ids=False)
+    def written() -> DataFrame:
+        path = storage.new_path(spark)
+        rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
+        return rans.read_tokens(spark, path, keep_ids=False)
+
+    return storage.alone(spark, written)
 
 
 def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    out = storage.alone(spark, lambda: sharding.shard_documents(_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

@@ -13,7 +13,8 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm import mpeg, pii, queries
+from lodestone.llm import mpeg, pii, queries, storage
+from lodestone.sources.storage import names as stored
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -133,6 +134,14 @@ def test_op8(spark, texts):
     assert all(c <= min(r["curve"] for r in rows if r["shard"] == k + 1) for k, c in enumerate(curves))
 
 
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_only_the_result_stays_settled(spark, name):
+    root = storage.shared_dir(spark)
+    before = set(stored(spark, root))
+    rows = queries.QUERIES[name](spark, SF)
+    assert len(set(stored(spark, root)) - before) <= 1 and rows.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     db = duckdb.connect()
