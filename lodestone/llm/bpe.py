@@ -241,13 +241,13 @@ class Table:
         self.n = np.append(pa.compute.list_value_length(table.column("ids")).to_numpy().astype(np.int64), 1)
         self.at = np.cumsum(self.n) - self.n
 
-    def coded(self, texts: list[str | None], pattern: str, ids_too: bool = True) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
-        """Of each text: ids with a mark in place of each word that is not here (none unless ids_too), which word that is, and these words."""
+    def coded(self, texts: list[str | None], pattern: str) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """Of each text: ids with a mark in place of each word that is not here, which word that is, and these words."""
         out: list[list] = [[] for _ in texts]
         for who, code, bounds, words in occurrences(texts, pattern):
             here = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
             at = here[code] if len(code) else np.zeros(0, np.int64)
-            n = self.n[at] if ids_too else np.zeros(len(at), np.int64)
+            n = self.n[at]
             total = np.concatenate(([0], np.cumsum(n)))
             ids = self.ids[np.repeat(self.at[at] - total[:-1], n) + np.arange(total[-1])]
             gap = np.flatnonzero(at < 0)
@@ -313,9 +313,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     The table of frequent words comes from about sample_docs rows and has at most table_words of
     at most TABLE_BYTES bytes, and fewer than HOT_WORDS longer ones; these bound what goes to the
-    driver and to every task, and change nothing but the time. Words outside it are rare or very long. Rows meet the
+    driver and to every task, and change nothing but the time. Words outside it are rare or very long. Texts are read
+    once after that: what they give, ids with gaps and the words of the gaps, is settled. Rows with gaps meet the
     words of their texts by a digest of the text: equal texts look them up once, and adaptive
-    execution splits the rows of a very common text; rows without such words are spread.
+    execution splits the rows of a very common text; rows without gaps stay where they are.
     """
     r, spark = ranks(path), docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -331,27 +332,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     name = uuid.uuid4().hex
     keyed = texts.select(F.unhex(F.md5(F.col("t").cast("binary"))).alias("key"), "doc_id", "t")
 
-    def coded(batches, ids_too):
-        table = _table(name, shared)
+    def coded(batches):
+        import zstandard
+
+        zip_, table = zstandard.ZstdCompressor(3), _table(name, shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 got = batch.slice(at, 512)
-                yield got, table.coded(got.column(2).to_pylist(), pattern, ids_too)
-
-    def rare(batches):
-        for got, rows in coded(batches, False):
-            some = [i for i, x in enumerate(rows) if x[2]]
-            yield pa.RecordBatch.from_arrays([got.column(0).take(pa.array(some, pa.int32())), pa.array([rows[i][2] for i in some], pa.list_(pa.string()))], names=["key", "words"])
-
-    def partial(batches):
-        import zstandard
-        from pyspark import TaskContext
-
-        zip_, part, n = zstandard.ZstdCompressor(3), TaskContext.get().partitionId(), 0
-        for got, rows in coded(batches, True):
-            keys = [k if x[2] else b"no other words: %d, %d" % (part, n + i) for i, (k, x) in enumerate(zip(got.column(0).to_pylist(), rows, strict=True))]
-            n += len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), got.column(1), pa.array([zip_.compress(x[0].astype("<u2").tobytes()) for x in rows], pa.binary()), pa.array([zip_.compress(x[1].astype("<u4").tobytes()) for x in rows], pa.binary())], names=["key", "doc_id", "ids", "gaps"])
+                rows = table.coded(got.column(2).to_pylist(), pattern)
+                ids, gaps = ([zip_.compress(x[i].astype(kind).tobytes()) for x in rows] for i, kind in ((0, "<u2"), (1, "<u4")))
+                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(ids, pa.binary()), pa.array(gaps, pa.binary()), pa.array([x[2] for x in rows], pa.list_(pa.string()))], names=["key", "doc_id", "ids", "gaps", "words"])
 
     def assembled(batches):
         import zstandard
@@ -373,13 +363,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     lines.append(" ".join(map(names.__getitem__, ids.tolist())))
                 yield pa.RecordBatch.from_arrays([got.column(0), pa.array(lines, pa.string())], names=["doc_id", "ids"])
 
-    needed = storage.settle(keyed.mapInArrow(rare, "key binary, words array<string>").groupBy("key").agg(F.any_value("words").alias("words")))
-    placed = needed.select("key", F.posexplode("words").alias("i", "w"))
-    lines = storage.settle(needed.select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
+    once = storage.settle(keyed.mapInArrow(coded, "key binary, doc_id long, ids binary, gaps binary, words array<string>"))
+    open_ = F.size("words") > 0
+    placed = once.where(open_).groupBy("key").agg(F.any_value("words").alias("words")).select("key", F.posexplode("words").alias("i", "w"))
+    lines = storage.settle(once.where(open_).select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
     found = storage.settle(placed.join(lines, "w").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"]).alias("found")))
-    storage.forget(needed, lines)
-    marked = keyed.mapInArrow(partial, "key binary, doc_id long, ids binary, gaps binary")
-    return marked.join(found, "key", "left").select("doc_id", "ids", "gaps", "found").mapInArrow(assembled, "doc_id long, ids string")
+    storage.forget(lines)
+    marked = once.where(open_).select("key", "doc_id", "ids", "gaps").join(found, "key").select("doc_id", "ids", "gaps", "found")
+    whole = once.where(~open_).select("doc_id", "ids", "gaps", F.lit(None).cast("array<array<int>>").alias("found"))
+    return marked.unionByName(whole).mapInArrow(assembled, "doc_id long, ids string")
 
 
 _held: tuple[str, Table] | None = None
