@@ -171,11 +171,14 @@ def _drop(spark: SparkSession, path: str) -> None:
     delete(spark, path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """Settle df as a table of the session's catalog, its rows dealt and sorted by key: joins on key move only the other side."""
+def bucketed(df: DataFrame, key: str, buckets: int | None = None, deal: bool = True) -> DataFrame:
+    """Settle df as a table of the session's catalog, its rows dealt and sorted by key: joins on key move only the other side.
+
+    deal=False: each task writes its own rows to their buckets and nothing moves, for keys of which a task has few.
+    """
     spark = df.sparkSession
     path, n = new_path(spark), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(_bucket_name(path))
+    (df.repartition(n, key) if deal else df).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(_bucket_name(path))
     out = spark.table(_bucket_name(path))
     out._settled_at = path
     return out
