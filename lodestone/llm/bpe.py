@@ -4,7 +4,7 @@ A word's bytes are a list of token ids; a higher-order fold replaces, merge afte
 with the lowest rank, until no pair has one. Ranks come from a literal map: a perfect hash over
 the pairs of tokens whose bytes together are a token. Each distinct word is folded once. A bounded
 table of folded words that are frequent in a sample goes to all tasks; what other words a text has
-is joined to it by the word, so only few words travel, and the texts' ids only once. Decoding joins
+is joined to it by the word, so only few words travel, and the texts' ids never. Decoding joins
 the tokens' pieces.
 """
 
@@ -26,6 +26,7 @@ from lodestone.llm.words import CHUNK, UNKNOWN, classes, cuts, points, spelled
 
 SAMPLE_DOCS, TABLE_WORDS, TABLE_BYTES = 1 << 16, 1 << 18, 64
 HOT_WORDS = 1 << 14  #: longer words, up to LONG bytes, are in the table if they are more than one in so many of the sample's words
+CHUNK_ROWS = 512  #: rows whose ids lie together
 HELD = 1 << 17  #: words that a task counts before it hands their counts on
 LONG, BLOCK = 1024, 0.5  #: words of more bytes are folded in blocks of BLOCK * sqrt(bytes) tokens
 _EDGE, _NONE = 65535, 65536
@@ -314,9 +315,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     The table of frequent words comes from about sample_docs rows and has at most table_words of
     at most TABLE_BYTES bytes, and fewer than HOT_WORDS longer ones; these bound what goes to the
     driver and to every task, and change nothing but the time. Words outside it are rare or very long. Texts are read
-    once after that: what they give, ids with gaps and the words of the gaps, is settled. Rows with gaps meet the
-    words of their texts by a digest of the text: equal texts look them up once, and adaptive
-    execution splits the rows of a very common text; rows without gaps stay where they are.
+    once after that: what they give, ids with gaps and the words of the gaps, is settled, in chunks of CHUNK_ROWS rows
+    that lie in buckets and never move; the ids of missing words come to them. Words are looked up by a digest of
+    the text: equal texts look them up once, and adaptive execution splits the rows of a very common text.
     """
     r, spark = ranks(path), docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -334,44 +335,52 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def coded(batches):
         import zstandard
+        from pyspark import TaskContext
 
-        zip_, table = zstandard.ZstdCompressor(3), _table(name, shared)
+        zip_, table, chunk = zstandard.ZstdCompressor(3), _table(name, shared), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                got = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                got = batch.slice(at, CHUNK_ROWS)
                 rows = table.coded(got.column(2).to_pylist(), pattern)
-                ids, gaps = ([zip_.compress(x[i].astype(kind).tobytes()) for x in rows] for i, kind in ((0, "<u2"), (1, "<u4")))
-                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(ids, pa.binary()), pa.array(gaps, pa.binary()), pa.array([x[2] for x in rows], pa.list_(pa.string()))], names=["key", "doc_id", "ids", "gaps", "words"])
+                ids, gaps = (zip_.compress(np.concatenate([x[i] for x in rows]).astype(kind).tobytes()) for i, kind in ((0, "<u2"), (1, "<u4")))
+                open_ = [{"i": i, "key": k, "words": x[2]} for i, (k, x) in enumerate(zip(got.column(0).to_pylist(), rows, strict=True)) if x[2]]
+                sizes = ([[len(x[i]) for x in rows]] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([got.column(1).to_pylist()], pa.list_(pa.int64())), *(pa.array(n, pa.list_(pa.int64())) for n in sizes), pa.array([ids], pa.binary()), pa.array([gaps], pa.binary()), pa.array([open_], wanted)], names=["chunk", "doc_id", "n_ids", "n_gaps", "ids", "gaps", "open"])
+                chunk += 1
+
+    def filled(ids, gaps, found):
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat, first = np.fromiter((i for x in found for i in x), np.uint16, int(n.sum())), np.cumsum(n) - n
+        size, begin, source = np.ones(len(ids), np.int64), np.arange(len(ids)), np.concatenate((ids, flat))
+        hole = np.flatnonzero(ids == _EDGE)
+        size[hole], begin[hole] = n[gaps], len(ids) + first[gaps]
+        total = np.cumsum(size)
+        return source[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]))]
 
     def assembled(batches):
         import zstandard
 
         unzip, names = zstandard.ZstdDecompressor(), list(map(str, range(_EDGE)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                got, lines = batch.slice(at, 256), []
-                for ids, gaps, found in zip(*(got.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    ids, gaps = np.frombuffer(unzip.decompress(ids), "<u2"), np.frombuffer(unzip.decompress(gaps), "<u4")
-                    if len(gaps):
-                        n = np.fromiter(map(len, found), np.int64, len(found))
-                        flat, first = np.fromiter((i for x in found for i in x), np.uint16, int(n.sum())), np.cumsum(n) - n
-                        size, begin, source = np.ones(len(ids), np.int64), np.arange(len(ids)), np.concatenate((ids, flat))
-                        hole = np.flatnonzero(ids == _EDGE)
-                        size[hole], begin[hole] = n[gaps], len(ids) + first[gaps]
-                        total = np.cumsum(size)
-                        ids = source[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]))]
-                    lines.append(" ".join(map(names.__getitem__, ids.tolist())))
-                yield pa.RecordBatch.from_arrays([got.column(0), pa.array(lines, pa.string())], names=["doc_id", "ids"])
-
-    once = storage.settle(keyed.mapInArrow(coded, "key binary, doc_id long, ids binary, gaps binary, words array<string>"))
-    open_ = F.size("words") > 0
-    placed = once.where(open_).groupBy("key").agg(F.any_value("words").alias("words")).select("key", F.posexplode("words").alias("i", "w"))
-    lines = storage.settle(once.where(open_).select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
-    found = storage.settle(placed.join(lines, "w").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"]).alias("found")))
-    storage.forget(lines)
-    marked = once.where(open_).select("key", "doc_id", "ids", "gaps").join(found, "key").select("doc_id", "ids", "gaps", "found")
-    whole = once.where(~open_).select("doc_id", "ids", "gaps", F.lit(None).cast("array<array<int>>").alias("found"))
-    return marked.unionByName(whole).mapInArrow(assembled, "doc_id long, ids string")
+            for at in range(batch.num_rows):
+                doc_id, n_ids, n_gaps, ids, gaps, found = (c[at].as_py() for c in batch.columns)
+                ids, gaps = np.frombuffer(unzip.decompress(ids), "<u2"), np.frombuffer(unzip.decompress(gaps), "<u4")
+                found, lines = {x["i"]: x["found"] for x in found or ()}, []
+                for i, (own, holes) in enumerate(zip(np.split(ids, np.cumsum(n_ids)[:-1]), np.split(gaps, np.cumsum(n_gaps)[:-1]), strict=True)):
+                    lines.append(" ".join(map(names.__getitem__, (filled(own, holes, found[i]) if len(holes) else own).tolist())))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(lines, pa.string())], names=["doc_id", "ids"])
+
+    wanted = pa.list_(pa.struct([("i", pa.int32()), ("key", pa.binary()), ("words", pa.list_(pa.string()))]))
+    chunks = "chunk long, doc_id array<long>, n_ids array<long>, n_gaps array<long>, ids binary, gaps binary, open array<struct<i: int, key: binary, words: array<string>>>"
+    once = storage.bucketed(keyed.mapInArrow(coded, chunks), "chunk", deal=False)
+    open_ = once.select("chunk", F.explode("open").alias("o")).select("chunk", "o.i", "o.key", "o.words")
+    needed = storage.settle(open_.groupBy("key").agg(F.any_value("words").alias("words")))
+    lines = storage.settle(needed.select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
+    found = storage.settle(needed.select("key", F.posexplode("words").alias("at", "w")).join(lines, "w").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("found")))
+    storage.forget(needed, lines)
+    met = storage.settle(open_.select("chunk", "i", "key").join(found, "key").groupBy("chunk").agg(F.collect_list(F.struct("i", "found")).alias("found")))
+    storage.forget(found)
+    return once.drop("open").join(met, "chunk", "left").select("doc_id", "n_ids", "n_gaps", "ids", "gaps", "found").mapInArrow(assembled, "doc_id long, ids string")
 
 
 _held: tuple[str, Table] | None = None

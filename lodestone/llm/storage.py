@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.storage import alone, exists, forget, new_path, scope, settle, shared_dir, stored_bytes
+from lodestone.sources.storage import alone, bucketed, exists, forget, new_path, scope, settle, shared_dir, stored_bytes
 
 _LOW = (1 << 33) - 1
 
@@ -80,4 +80,4 @@ def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], how: st
     return stay.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
 
 
-__all__ = ["alone", "exists", "forget", "free_name", "join_unique", "long_array", "new_path", "ranked", "scope", "setting", "settle", "shared_dir"]
+__all__ = ["alone", "bucketed", "exists", "forget", "free_name", "join_unique", "long_array", "new_path", "ranked", "scope", "setting", "settle", "shared_dir"]
