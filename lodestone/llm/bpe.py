@@ -322,8 +322,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     r, spark = ranks(path), docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = texts.count()
-    known = _frequent(texts.sample(min(1.0, sample_docs / rows), 5) if rows > sample_docs else texts, pattern, table_words) if rows else texts.select(F.col("t").alias("w")).limit(0)
-    folded = known.select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")).repartition(spark.sparkContext.defaultParallelism).toArrow()
+    with storage.scope(spark):
+        known = _frequent(texts.sample(min(1.0, sample_docs / rows), 5) if rows > sample_docs else texts, pattern, table_words) if rows else texts.select(F.col("t").alias("w")).limit(0)
+        folded = known.select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")).repartition(spark.sparkContext.defaultParallelism).toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, folded.schema) as out:
         out.write_table(folded)
@@ -374,9 +375,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     chunks = "chunk long, doc_id array<long>, n_ids array<long>, n_gaps array<long>, ids binary, gaps binary, open array<struct<i: int, key: binary, words: array<string>>>"
     once = storage.bucketed(keyed.mapInArrow(coded, chunks), "chunk", deal=False)
     open_ = once.select("chunk", F.explode("open").alias("o")).select("chunk", "o.i", "o.key", "o.words")
-    needed = storage.settle(open_.groupBy("key").agg(F.any_value("words").alias("words")))
+    needed = storage.settle(open_.groupBy("key").agg(F.any_value("words").alias("words")).withColumn("n", F.monotonically_increasing_id()))
     lines = storage.settle(needed.select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
-    found = storage.settle(needed.select("key", F.posexplode("words").alias("at", "w")).join(lines, "w").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("found")))
+    pieces = needed.select("n", F.posexplode("words").alias("at", "w")).join(lines, "w").groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("found"))
+    found = storage.settle(pieces.join(needed.select("n", "key"), "n").select("key", "found"))
     storage.forget(needed, lines)
     met = storage.settle(open_.select("chunk", "i", "key").join(found, "key").groupBy("chunk").agg(F.collect_list(F.struct("i", "found")).alias("found")))
     storage.forget(found)
