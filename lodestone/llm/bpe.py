@@ -377,9 +377,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     open_ = once.select("chunk", F.explode("open").alias("o")).select("chunk", "o.i", "o.key", "o.words")
     needed = storage.settle(open_.groupBy("key").agg(F.any_value("words").alias("words")).withColumn("n", F.monotonically_increasing_id()))
     lines = storage.settle(needed.select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
-    pieces = needed.select("n", F.posexplode("words").alias("at", "w")).join(lines, "w").groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("found"))
-    found = storage.settle(pieces.join(needed.select("n", "key"), "n").select("key", "found"))
-    storage.forget(needed, lines)
+    pieces = storage.settle(needed.select("n", F.posexplode("words").alias("at", "w")).join(lines, "w").select("n", "at", "ids"))  # the words' shuffle files go
+    storage.forget(lines)
+    in_order = pieces.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("found"))
+    found = storage.settle(in_order.join(needed.select("n", "key"), "n").select("key", "found"))
+    storage.forget(needed, pieces)
     met = storage.settle(open_.select("chunk", "i", "key").join(found, "key").groupBy("chunk").agg(F.collect_list(F.struct("i", "found")).alias("found")))
     storage.forget(found)
     return once.drop("open").join(met, "chunk", "left").select("doc_id", "n_ids", "n_gaps", "ids", "gaps", "found").mapInArrow(assembled, "doc_id long, ids string")
