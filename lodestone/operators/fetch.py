@@ -11,9 +11,10 @@ import time
 import urllib.parse
 import uuid
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from email.utils import parsedate_to_datetime
+from itertools import chain
 from pathlib import Path
 
 import pandas as pd
@@ -249,30 +250,45 @@ def shares(budget: int, wanted: list[int]) -> list[int]:
     return out
 
 
-def _in_turns(worker: Fetcher, groups: list, one: Callable, config: ApiConfig, context) -> list:
-    """one(group) for every group. All tasks together make at most the hourly requests: each hour they tell each
-    other how many groups they have left, and deal the hour's budget by that.
+def _in_turns(worker: Fetcher, blocks: Iterable[list], one: Callable, config: ApiConfig, context) -> Iterator[list]:
+    """one(group) for every group, a list for each block. All tasks together make at most the hourly requests: each hour they
+    tell each other what they want, and deal the hour's budget by that; what then is left of it they deal again.
 
-    A group whose budget runs out starts anew in the next hour. Requests that wait for a server's
-    pause may end after their hour; the next one begins when its budget is dealt.
+    A task holds two blocks, whatever it has to do: with a last block at hand it wants what that may take, before
+    that as much as there is. A group whose budget runs out starts anew when budget is dealt. Requests that wait for a
+    server's pause may end after their hour; the next one begins when its budget is dealt.
     """
-    worker.limiter, left, done = Share(), list(range(len(groups))), {}
+    worker.limiter, tries = Share(), max(1, config.max_retries)
+    blocks = iter(blocks)
+    block, after = next(blocks, None), next(blocks, None)
+    left, done, budget, began = list(range(len(block or ()))), {}, 0, 0.0
 
     def attempt(i: int) -> bool:
         try:
-            done[i] = one(groups[i])
+            done[i] = one(block[i])
         except OutOfBudget:
             return False
         return True
 
     with ThreadPoolExecutor(max(1, config.max_concurrent)) as pool:
-        while any(wanted := [int(n) for n in context.allGather(str(len(left) * max(1, config.max_retries)))]):
-            began = worker.clock()
-            worker.limiter.grant(shares(config.hourly, wanted)[context.partitionId()])
-            left = [i for i, ok in zip(left, pool.map(attempt, left), strict=True) if not ok]
-            if any(int(n) for n in context.allGather(str(len(left)))) and (rest := began + 3600.0 - worker.clock()) > 0:
+        while any(wanted := [int(n) for n in context.allGather(str(len(left) * tries + (config.hourly if after is not None else 0)))]):
+            if budget < 1:
+                began, budget = worker.clock(), config.hourly
+            worker.limiter.grant(granted := shares(budget, wanted)[context.partitionId()])
+            while block is not None:
+                left = [i for i, ok in zip(left, pool.map(attempt, left), strict=True) if not ok]
+                if left:
+                    break
+                yield [done[i] for i in range(len(block))]
+                block, after, done = after, next(blocks, None), {}
+                left = list(range(len(block or ())))
+            told = [tuple(map(int, x.split())) for x in context.allGather(f"{len(left)} {granted - worker.limiter.left}")]
+            budget -= sum(used for _, used in told)
+            if budget < 1 and any(n for n, _ in told) and (rest := began + 3600.0 - worker.clock()) > 0:
                 worker.sleep(rest)
-    return [done[i] for i in range(len(groups))]
+
+
+BLOCK = 1 << 12  #: rows that a task fetches, and whose outcomes it holds, together
 
 
 def targets(files: DataFrame, output_dir: str, max_files: int | None = None) -> DataFrame:
@@ -285,8 +301,8 @@ def fetch_targets(rows: DataFrame, output_dir: str, config: ApiConfig, skip_exis
 
     output_dir must be a folder that all executors share. Rows are dealt by their target, so rows of
     one meet in one task: the first is fetched, and the others find its file. Several tasks run as
-    one barrier stage and share the hourly limit by what each has left; a task holds its rows, so
-    give it a wave of bounded size. The result has side effects: write it once and read that (and
+    one barrier stage and share the hourly limit by what each has left; a task holds blocks of BLOCK rows
+    and hands on each one's outcomes before the next. The result has side effects: write it once and read that (and
     leave speculation off). Targets that leave the output folder are not fetched. A retried task
     finds the files of its first try.
     """
@@ -303,21 +319,18 @@ def fetch_targets(rows: DataFrame, output_dir: str, config: ApiConfig, skip_exis
                     out.append((target, *worker.fetch(sha1, target, skip_existing)))
             return out
 
-        def grouped(pdfs) -> list:
+        def grouped(pdf) -> list:
             groups: dict = {}
-            for pdf in pdfs:
-                for sha1, target in zip(pdf["sha1_git"], pdf["target"], strict=True):
-                    groups.setdefault(target, []).append((sha1, target))
+            for sha1, target in zip(pdf["sha1_git"], pdf["target"], strict=True):
+                groups.setdefault(target, []).append((sha1, target))
             return list(groups.values())
 
         def table(done: list) -> pd.DataFrame:
             return pd.DataFrame([row for group in done for row in group], columns=["target", *schemas.DOWNLOAD_STATS.names])
 
-        if tasks > 1:
-            yield table(_in_turns(worker, grouped(batches), one_path, config, BarrierTaskContext.get()))
-        else:
-            for pdf in batches:
-                yield table(_limited(worker, grouped([pdf]), one_path, config))
+        blocks = (grouped(pdf.iloc[at : at + BLOCK]) for pdf in batches for at in range(0, len(pdf), BLOCK))
+        for done in _in_turns(worker, blocks, one_path, config, BarrierTaskContext.get()) if tasks > 1 else (_limited(worker, block, one_path, config) for block in blocks):
+            yield table(done)
 
     dealt = rows.select("sha1_git", "target").repartition(tasks, "target").sortWithinPartitions("target", "sha1_git")
     return dealt.mapInPandas(run, T.StructType([T.StructField("target", T.StringType()), *schemas.DOWNLOAD_STATS.fields]), barrier=tasks > 1)
@@ -345,9 +358,9 @@ def fetch_contents(hashes: DataFrame, config: ApiConfig, tasks: int = 1, fetcher
 
     def run(batches):
         worker = fetcher(config, config.hourly)
-        hashes_ = [h for batch in batches for h in batch.column(0).to_pylist()]
         size = max(1, config.max_concurrent) * 8
-        rows = _in_turns(worker, hashes_, worker.content, config, BarrierTaskContext.get()) if tasks > 1 else (row for at in range(0, len(hashes_), size) for row in _limited(worker, hashes_[at : at + size], worker.content, config))
+        blocks = (batch.column(0).slice(at, size).to_pylist() for batch in batches for at in range(0, batch.num_rows, size))
+        rows = chain.from_iterable(_in_turns(worker, blocks, worker.content, config, BarrierTaskContext.get()) if tasks > 1 else (_limited(worker, block, worker.content, config) for block in blocks))
         held, weight = [], 0
         for row in rows:
             held.append(row)

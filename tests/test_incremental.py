@@ -195,6 +195,46 @@ def test_tasks_share_one_budget(spark, tmp_path, as_table):
     assert len({x.split()[1] for x in open(place)}) == 2
 
 
+class Alone:
+    """A barrier of one task."""
+
+    def allGather(self, message):
+        return [message]
+
+    def partitionId(self):
+        return 0
+
+
+def test_a_task_holds_two_blocks_of_its_work(tmp_path):
+    """However much a task has to fetch, it reads on only as blocks are done, hands each one's outcomes on, and keeps to its hours."""
+    read, done, place = [], 0, str(tmp_path / "hours")
+
+    def blocks():
+        for k in range(40):
+            read.append(k)
+            yield [f"{k:02x}{i:02x}" for i in range(5)]
+
+    config = ApiConfig(bearer_token=None, requests_per_hour=30, max_retries=1)
+    for k, got in enumerate(fetch._in_turns(Hours(place)(config, 30), blocks(), lambda sha1: (sha1,), config, Alone())):
+        assert len(read) <= k + 2 and [x for x, in got] == [f"{k:02x}{i:02x}" for i in range(5)]
+        done += 1
+    assert done == 40
+    worker = Hours(place)(config, 30)
+    assert [row[0] for block in fetch._in_turns(worker, blocks(), worker.content, config, Alone()) for row in block] == [f"{k:02x}{i:02x}" for k in range(40) for i in range(5)]
+    hours = [int(x.split()[0]) for x in open(place)]
+    assert [hours.count(h) for h in range(7)] == [30] * 6 + [20]
+
+
+def test_two_tasks_fetch_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fetch, "BLOCK", 3)
+    config, place = ApiConfig(bearer_token=None, requests_per_hour=25, max_retries=1), str(tmp_path / "hours")
+    rows = spark.range(100).select(F.lpad(F.hex("id"), 6, "0").alias("sha1_git"), F.concat(F.lit(f"{tmp_path}/c/"), F.col("id")).alias("target"))
+    got = storage.settle(fetch.fetch_targets(rows, f"{tmp_path}/c", config, tasks=2, fetcher=Hours(place)))
+    assert got.where("success").select("target").distinct().count() == got.count() == 100
+    hours = [int(x.split()[0]) for x in open(place)]
+    assert max(hours.count(h) for h in set(hours)) <= 25 and len(hours) == 100
+
+
 def test_the_fetcher_and_the_columns_have_one_law(spark):
     rows = [(k, a, h) for k in ("429", "timeout", "network") for a in range(5) for h in (None, 7.0)]
     got = spark.createDataFrame(rows, "k string, a int, h double").select(fn.backoff(F.col("k"), F.col("a"), F.col("h"))).collect()
