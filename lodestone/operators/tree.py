@@ -10,6 +10,7 @@ from lodestone.functions.text import path_join, utf8_replace
 from lodestone.sources.storage import bucketed, forget, settle, stored_bytes
 
 MAX_DEPTH = 256
+SEVERAL = 1 << 20  #: hashes with several content rows that go to all tasks; if there are more, files move to meet them
 HOT, SMALL = 1000, 1 << 25  #: a directory is hot if more than one in so many ways lead to it; bytes that one task can hold
 
 
@@ -42,7 +43,10 @@ def file_edges(directory: DataFrame, entry_file: DataFrame, content: DataFrame |
     """Files of each directory; with content, a file's row comes once for each content row of its hash, and once without any."""
     out = _edges(directory, entry_file, "file_entries")
     if content is not None:
-        out = out.join(content.select(F.col("sha1_git").alias("target")), "target", "left")
+        several = content.groupBy(F.col("sha1_git").alias("target")).agg(F.count("*").cast("int").alias("times")).where("times > 1")
+        if several.limit(SEVERAL + 1).count() <= SEVERAL:
+            several = F.broadcast(several)
+        out = out.join(several, "target", "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
     return out.select("directory", "name", "target")
 
 
@@ -107,13 +111,25 @@ def files_below(roots: DataFrame, directory: DataFrame, entry_file: DataFrame, e
     A bag: shared directories give their files once for each way. Directories that are missing
     give nothing. recursive=False: only files that lie in a root itself.
     """
+    ways, files = _ways_and_files(roots, directory, entry_file, entry_dir, content, recursive, max_depth)
+    return ways.join(files, "directory").select("root", path_join(F.col("prefix"), F.col("name")).alias("path"), "name", F.col("target").alias("sha1_git"))
+
+
+def _ways_and_files(roots: DataFrame, directory: DataFrame, entry_file: DataFrame, entry_dir: DataFrame, content: DataFrame | None, recursive: bool, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """Ways (root, directory, prefix) and, of the directories that they reach, the files (directory, name, target); directories with empty lists are left out first."""
     if recursive:
-        ways = walk(roots, dir_edges(unique_directories(directory), entry_dir), max_depth)
+        ways = walk(roots, dir_edges(unique_directories(directory.where(F.size("dir_entries") > 0)), entry_dir), max_depth)
     else:
         ways = roots.select(F.col("root_directory_id").alias("root")).where("root is not null").distinct().select("root", F.col("root").alias("directory"), F.lit("").alias("prefix"))
-    reached = directory.join(ways.select(F.col("directory").alias("id")).distinct(), "id", "left_semi")  # before any list is spread
-    files = file_edges(unique_directories(reached), entry_file, content)
-    return ways.join(files, "directory").select("root", path_join(F.col("prefix"), F.col("name")).alias("path"), "name", F.col("target").alias("sha1_git"))
+    reached = directory.where(F.size("file_entries") > 0).join(ways.select(F.col("directory").alias("id")).distinct(), "id", "left_semi")  # before any list is spread
+    return ways, file_edges(unique_directories(reached), entry_file, content)
+
+
+def repo_files_below(repos: DataFrame, directory: DataFrame, entry_file: DataFrame, entry_dir: DataFrame, content: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """repo_files(repos, files_below(repos, ...)): ways meet their repositories before files meet ways, so files move once less. Settle repos: it is read twice."""
+    ways, files = _ways_and_files(repos, directory, entry_file, entry_dir, content, True, max_depth)
+    own = repos.select(F.col("root_directory_id").alias("root"), "repo_url").join(ways, "root").select("repo_url", "directory", "prefix")
+    return own.join(files, "directory").select(path_join(F.col("prefix"), F.col("name")).alias("path"), "name", F.col("target").alias("sha1_git"), "repo_url")
 
 
 def repo_files(repos: DataFrame, files: DataFrame) -> DataFrame:

@@ -74,8 +74,8 @@ def file_metadata(catalog: Catalog, max_depth: int = tree.MAX_DEPTH, batch_size:
     repos = settle(counts.of(repos, "repositories", with_url=F.count("repo_url")))
     if batch_size:
         repos = repos.repartition(min(MOST_TASKS, max(1, -(-counts.get("repositories")["rows"] // batch_size))), "root_directory_id")
-    files = tree.files_below(repos, catalog[schemas.DIRECTORY], catalog[schemas.ENTRY_FILE], catalog[schemas.ENTRY_DIR], catalog[schemas.CONTENT], max_depth=max_depth)
-    return counts.of(tree.repo_files(repos, files), "files")
+    files = tree.repo_files_below(repos, catalog[schemas.DIRECTORY], catalog[schemas.ENTRY_FILE], catalog[schemas.ENTRY_DIR], catalog[schemas.CONTENT], max_depth)
+    return counts.of(files, "files")
 
 
 MOST_TASKS = 10_000

@@ -50,8 +50,8 @@ def _repos(c) -> DataFrame:
 
 
 def _repo_files(c) -> DataFrame:
-    repos = _repos(c)
-    return tree.repo_files(repos, tree.files_below(repos, c["directory"], c["directory_entry_file"], c["directory_entry_dir"], c["content"]))
+    repos = storage.settle(_repos(c))
+    return tree.repo_files_below(repos, c["directory"], c["directory_entry_file"], c["directory_entry_dir"], c["content"])
 
 
 def _names(c) -> DataFrame:

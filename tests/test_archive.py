@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from lodestone.functions import text as fn
 from lodestone.operators import heads, select, tree
 from lodestone.plans import prepare, schemas
+from lodestone.sources import storage
 from lodestone.sources.catalog import Catalog, MissingTable
 
 DIR = "id binary, file_entries array<bigint>, dir_entries array<bigint>"
@@ -238,3 +239,17 @@ def test_membership_plans_as_a_hash_or_merge_join(spark):
 def test_schemas():
     assert [f.name for f in schemas.DOWNLOAD_STATS] == ["sha1_git", "local_path", "success", "size", "status", "error_message"]
     assert isinstance(schemas.DOWNLOAD_STATS["size"].dataType, T.LongType)
+
+
+def test_files_meet_their_repositories_by_way_of_directories(spark, monkeypatch):
+    """The same bag as joining finished files by root, with equal repositories, hashes of several content rows, and no file moved by its root or hash."""
+    d = spark.createDataFrame([(b"a", [1, 2], [1]), (b"a", [1, 2], [1]), (b"s", [3], []), (b"b", None, [1]), (b"e", [], None)], "id binary, file_entries array<bigint>, dir_entries array<bigint>")
+    f = spark.createDataFrame([(1, b"x", b"h1"), (2, b"y", b"h2"), (3, b"z", b"h3")], "id bigint, name binary, target binary")
+    s = spark.createDataFrame([(1, b"s", b"s")], "id bigint, name binary, target binary")
+    content = spark.createDataFrame([(b"h1",), (b"h1",), (b"h1",), (b"h2",), (None,), (None,)], "sha1_git binary")
+    repos = spark.createDataFrame([(b"a", "u"), (b"a", "u"), (b"b", None), (b"e", "v"), (None, "w")], "root_directory_id binary, repo_url string")
+    want = collections.Counter({("x", "x", b"h1", "u"): 6, ("y", "y", b"h2", "u"): 2, ("s/z", "z", b"h3", "u"): 2, ("s/z", "z", b"h3", None): 1})
+    for most in (tree.SEVERAL, 0):
+        monkeypatch.setattr(tree, "SEVERAL", most)
+        for got in (tree.repo_files_below(repos, d, f, s, content), tree.repo_files(repos, tree.files_below(repos, d, f, s, content))):
+            assert collections.Counter((r["path"], r["name"], bytes(r["sha1_git"]), r["repo_url"]) for r in got.collect()) == want
