@@ -294,12 +294,13 @@ def fetch_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.settle(stats).groupBy("status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@_query(_REPO_FILES, settles=True)
+@_query(_REPO_FILES)
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.plans import schemas
 
-    path = storage.new_path(spark)
-    write_metadata(_repo_files(archive(spark, sf_dir)), path)
+    path = storage.new_path(spark)  # stays: it is the result
+    with storage.scope(spark):
+        write_metadata(_repo_files(archive(spark, sf_dir)), path)
     return spark.read.schema(schemas.FILE_METADATA).parquet(path).select("path", "name", _s("sha1_git"), "repo_url")
 
 

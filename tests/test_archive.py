@@ -253,3 +253,12 @@ def test_files_meet_their_repositories_by_way_of_directories(spark, monkeypatch)
         monkeypatch.setattr(tree, "SEVERAL", most)
         for got in (tree.repo_files_below(repos, d, f, s, content), tree.repo_files(repos, tree.files_below(repos, d, f, s, content))):
             assert collections.Counter((r["path"], r["name"], bytes(r["sha1_git"]), r["repo_url"]) for r in got.collect()) == want
+
+
+def test_a_round_trip_writes_its_rows_once(spark, monkeypatch):
+    from lodestone.plans import queries
+
+    written, real = [], storage._write
+    monkeypatch.setattr(storage, "_write", lambda df, path: (written.append(df.columns), real(df, path))[1])
+    df = queries.QUERIES["parquet_roundtrip"](spark, "/root/testdata/sf0.001")
+    assert df.count() > 0 and not [c for c in written if "path" in c]
