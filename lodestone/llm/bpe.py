@@ -2,9 +2,9 @@
 
 A word's bytes are a list of token ids; a higher-order fold replaces, merge after merge, the pair
 with the lowest rank, until no pair has one. Ranks come from a literal map: a perfect hash over
-the pairs of tokens whose bytes together are a token. Each distinct word is folded once. A bounded
-table of folded words that are frequent in a sample goes to all tasks; what other words a text has
-is joined to it by the word, so only few words travel, and the texts' ids never. Decoding joins
+the pairs of tokens whose bytes together are a token. A bounded table
+of folded words that are frequent in a sample goes to all tasks; what other words some texts have
+is folded where they are, once for the texts of a chunk, so no text or word travels. Decoding joins
 the tokens' pieces.
 """
 
@@ -26,7 +26,7 @@ from lodestone.llm.words import CHUNK, UNKNOWN, classes, cuts, points, spelled
 
 SAMPLE_DOCS, TABLE_WORDS, TABLE_BYTES = 1 << 16, 1 << 18, 64
 HOT_WORDS = 1 << 14  #: longer words, up to LONG bytes, are in the table if they are more than one in so many of the sample's words
-CHUNK_ROWS = 512  #: rows whose ids lie together
+CHUNK_ROWS, CHUNK_BYTES = 2048, 1 << 23  #: rows, and bytes of text beyond one row's, whose ids lie together and whose other words are folded together
 HELD = 1 << 17  #: words that a task counts before it hands their counts on
 LONG, BLOCK = 1024, 0.5  #: words of more bytes are folded in blocks of BLOCK * sqrt(bytes) tokens
 _EDGE, _NONE = 65535, 65536
@@ -96,8 +96,8 @@ def fold(word: Column, r: Ranks) -> Column:
 
 
 def _ranked(keys: Column, q: Column) -> Column:
-    """Of each pair (left * 2^16 + right) the merged token if below _NONE; else there is none."""
-    return F.transform(keys, lambda k: F.get(q["table"], F.pmod(k * F.lit(_C) + F.get(q["shift"], F.pmod(k, F.lit(_P))) * F.lit(_D), F.lit(_S))).bitwiseXOR(k * F.lit(65536)))
+    """Of each pair (left * 2^16 + right) the merged token, or _NONE."""
+    return F.transform(keys, lambda k: F.least(F.lit(_NONE).cast("bigint"), F.get(q["table"], F.pmod(k * F.lit(_C) + F.get(q["shift"], F.pmod(k, F.lit(_P))) * F.lit(_D), F.lit(_S))).bitwiseXOR(k * F.lit(65536))))
 
 
 def _bytes(word: Column, q: Column) -> Column:
@@ -110,24 +110,26 @@ def _neighbours(t: Column) -> Column:
 
 
 def _fold_plain(word: Column, q: Column) -> Column:
-    """Every merge makes the list anew."""
-    edge, none = F.array(F.lit(_EDGE).cast("bigint")), F.array().cast("array<bigint>")
-    # State: tokens t between two edges, ranks a and z of neighbours before and after k, the keys to rank anew.
-    start = _let(F.concat(edge, _bytes(word, q), edge), lambda t: F.struct(t.alias("t"), none.alias("a"), _neighbours(t).alias("k"), none.alias("z")))
+    """Every merge makes the lists anew: tokens t between two edges, and r, the rank of each one's pair with the next; null when done.
+
+    The place of the least rank comes with it: array_position leaves its loop by an exception.
+    """
+    edge, none = F.array(F.lit(_EDGE).cast("bigint")), F.lit(None).cast("array<bigint>")
+    start = _let(F.concat(edge, _bytes(word, q), edge), lambda t: F.struct(t.alias("t"), _ranked(_neighbours(t), q).alias("r")))
 
     def merge(acc: Column, _: Column) -> Column:
-        def with_ranks(ranks_: Column) -> Column:
-            def with_best(best: Column) -> Column:
-                def at(i: Column) -> Column:
-                    t = acc["t"]
-                    pair = F.array(F.get(t, i - 2) * F.lit(65536) + best, best * F.lit(65536) + F.get(t, i + 1))
-                    return F.struct(F.concat(F.slice(t, F.lit(1), i - 1), F.array(best), F.slice(t, i + 2, F.size(t))).alias("t"), F.slice(ranks_, F.lit(1), i - 2).alias("a"), pair.alias("k"), F.slice(ranks_, i + 2, F.size(ranks_)).alias("z"))
+        t, r = acc["t"], acc["r"]
 
-                return F.when(best >= _NONE, F.struct(acc["t"].alias("t"), ranks_.alias("a"), none.alias("k"), none.alias("z"))).otherwise(_let(F.array_position(ranks_, best).cast("int"), at))
+        def with_least(least: Column) -> Column:
+            def at(x: Column) -> Column:
+                best, i = x["best"], x["i"]
+                pair = F.array(F.get(t, i - 2) * F.lit(65536) + best, best * F.lit(65536) + F.get(t, i + 1))
+                return F.struct(F.flatten(F.array(F.slice(t, F.lit(1), i - 1), F.array(best), F.slice(t, i + 2, F.size(t)))).alias("t"), F.flatten(F.array(F.slice(r, F.lit(1), i - 2), _ranked(pair, q), F.slice(r, i + 2, F.size(r)))).alias("r"))
 
-            return _let(F.array_min(ranks_), with_best)
+            found = F.struct(F.shiftright(least, 16).alias("best"), (least.bitwiseAND(F.lit(65535)) + 1).cast("int").alias("i"))
+            return F.when(least >= _NONE << 16, F.struct(t.alias("t"), none.alias("r"))).otherwise(_let(found, at))
 
-        return _let(F.concat(acc["a"], _ranked(acc["k"], q), acc["z"]), with_ranks)
+        return F.when(r.isNull(), acc).otherwise(_let(F.array_min(F.transform(r, lambda x, i: F.shiftleft(x, 16) + i)), with_least))
 
     done = F.aggregate(F.array_repeat(F.lit(0), F.octet_length(word) - 1), start, merge)["t"]
     return F.filter(done, lambda i: i != F.lit(_EDGE))
@@ -314,10 +316,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     The table of frequent words comes from about sample_docs rows and has at most table_words of
     at most TABLE_BYTES bytes, and fewer than HOT_WORDS longer ones; these bound what goes to the
-    driver and to every task, and change nothing but the time. Words outside it are rare or very long. Texts are read
-    once after that: what they give, ids with gaps and the words of the gaps, is settled, in chunks of CHUNK_ROWS rows
-    that lie in buckets and never move; the ids of missing words come to them. Words are looked up by a digest of
-    the text: equal texts look them up once, and adaptive execution splits the rows of a very common text.
+    driver and to every task, and change nothing but the time. Words outside it are rare or very long: each is
+    folded once for each chunk of rows that has it, and nothing moves. Texts are read once after the sample; ids with gaps
+    and the ids of the gaps' words are settled in between, so that a task has one Python worker at a time.
+
+    tokens (the ids as a list) come with them.
     """
     r, spark = ranks(path), docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -332,31 +335,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     del sink
     name = uuid.uuid4().hex
-    keyed = texts.select(F.unhex(F.md5(F.col("t").cast("binary"))).alias("key"), "doc_id", "t")
 
     def coded(batches):
         import zstandard
-        from pyspark import TaskContext
 
-        zip_, table, chunk = zstandard.ZstdCompressor(3), _table(name, shared), TaskContext.get().partitionId() << 33
+        zip_, table = zstandard.ZstdCompressor(3), _table(name, shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                got = batch.slice(at, CHUNK_ROWS)
-                rows = table.coded(got.column(2).to_pylist(), pattern)
-                ids, gaps = (zip_.compress(np.concatenate([x[i] for x in rows]).astype(kind).tobytes()) for i, kind in ((0, "<u2"), (1, "<u4")))
-                open_ = [{"i": i, "key": k, "words": x[2]} for i, (k, x) in enumerate(zip(got.column(0).to_pylist(), rows, strict=True)) if x[2]]
-                sizes = ([[len(x[i]) for x in rows]] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([got.column(1).to_pylist()], pa.list_(pa.int64())), *(pa.array(n, pa.list_(pa.int64())) for n in sizes), pa.array([ids], pa.binary()), pa.array([gaps], pa.binary()), pa.array([open_], wanted)], names=["chunk", "doc_id", "n_ids", "n_gaps", "ids", "gaps", "open"])
-                chunk += 1
-
-    def filled(ids, gaps, found):
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat, first = np.fromiter((i for x in found for i in x), np.uint16, int(n.sum())), np.cumsum(n) - n
-        size, begin, source = np.ones(len(ids), np.int64), np.arange(len(ids)), np.concatenate((ids, flat))
-        hole = np.flatnonzero(ids == _EDGE)
-        size[hole], begin[hole] = n[gaps], len(ids) + first[gaps]
-        total = np.cumsum(size)
-        return source[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]))]
+            for got in _chunks(batch):
+                rows, words = table.coded(got.column(1).to_pylist(), pattern), {}
+                gaps = [np.array([words.setdefault(w, len(words)) for w in own], np.int64)[which] for _, which, own in rows]
+                lists = [got.column(0).to_pylist(), [len(x[0]) for x in rows], [len(x) for x in gaps]]
+                ids, gaps = (zip_.compress(np.concatenate(x).astype(kind).tobytes()) for x, kind in (([x[0] for x in rows], "<u2"), (gaps, "<u4")))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.list_(pa.int64())) for x in lists), pa.array([ids], pa.binary()), pa.array([gaps], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))], names=["doc_id", "n_ids", "n_gaps", "ids", "gaps", "words"])
 
     def assembled(batches):
         import zstandard
@@ -364,27 +354,38 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         unzip, names = zstandard.ZstdDecompressor(), list(map(str, range(_EDGE)))
         for batch in batches:
             for at in range(batch.num_rows):
-                doc_id, n_ids, n_gaps, ids, gaps, found = (c[at].as_py() for c in batch.columns)
+                doc_id, n_ids, n_gaps, ids, gaps, found = (c.slice(at, 1).flatten() if pa.types.is_list(c.type) else c[at].as_py() for c in batch.columns)
                 ids, gaps = np.frombuffer(unzip.decompress(ids), "<u2"), np.frombuffer(unzip.decompress(gaps), "<u4")
-                found, lines = {x["i"]: x["found"] for x in found or ()}, []
-                for i, (own, holes) in enumerate(zip(np.split(ids, np.cumsum(n_ids)[:-1]), np.split(gaps, np.cumsum(n_gaps)[:-1]), strict=True)):
-                    lines.append(" ".join(map(names.__getitem__, (filled(own, holes, found[i]) if len(holes) else own).tolist())))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(lines, pa.string())], names=["doc_id", "ids"])
-
-    wanted = pa.list_(pa.struct([("i", pa.int32()), ("key", pa.binary()), ("words", pa.list_(pa.string()))]))
-    chunks = "chunk long, doc_id array<long>, n_ids array<long>, n_gaps array<long>, ids binary, gaps binary, open array<struct<i: int, key: binary, words: array<string>>>"
-    once = storage.bucketed(keyed.mapInArrow(coded, chunks), "chunk", deal=False)
-    open_ = once.select("chunk", F.explode("open").alias("o")).select("chunk", "o.i", "o.key", "o.words")
-    needed = storage.settle(open_.groupBy("key").agg(F.any_value("words").alias("words")).withColumn("n", F.monotonically_increasing_id()))
-    lines = storage.settle(needed.select(F.explode("words").alias("w")).distinct().select("w", fold(F.col("w"), r).cast("array<int>").alias("ids")))
-    pieces = storage.settle(needed.select("n", F.posexplode("words").alias("at", "w")).join(lines, "w").select("n", "at", "ids"))  # the words' shuffle files go
-    storage.forget(lines)
-    in_order = pieces.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("found"))
-    found = storage.settle(in_order.join(needed.select("n", "key"), "n").select("key", "found"))
-    storage.forget(needed, pieces)
-    met = storage.settle(open_.select("chunk", "i", "key").join(found, "key").groupBy("chunk").agg(F.collect_list(F.struct("i", "found")).alias("found")))
-    storage.forget(found)
-    return once.drop("open").join(met, "chunk", "left").select("doc_id", "n_ids", "n_gaps", "ids", "gaps", "found").mapInArrow(assembled, "doc_id long, ids string")
+                ids, size = _filled(ids, gaps, found.flatten().to_numpy(), pa.compute.list_value_length(found).to_numpy())
+                end = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n_ids.to_numpy()))]
+                words = list(map(names.__getitem__, ids.tolist()))
+                lines = [" ".join(words[a:b]) for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(lines, pa.string()), pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids", "tokens"])
+
+    chunks = "doc_id array<long>, n_ids array<long>, n_gaps array<long>, ids binary, gaps binary, words array<string>"
+    found = F.transform("words", lambda w: fold(w, r)).cast("array<array<int>>").alias("found")
+    once = storage.settle(texts.mapInArrow(coded, chunks).select("doc_id", "n_ids", "n_gaps", "ids", "gaps", found))
+    return once.mapInArrow(assembled, "doc_id long, ids string, tokens array<int>")
+
+
+def _chunks(batch: pa.RecordBatch):
+    """Runs of rows of at most CHUNK_ROWS, and of CHUNK_BYTES of text or one row's."""
+    size = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(size, before + CHUNK_BYTES, side="right"))))
+        yield batch.slice(at, end - at)
+        at, before = end, int(size[end - 1])
+
+
+def _filled(ids: np.ndarray, gaps: np.ndarray, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids with those of word gaps[k], which lie one word after another in flat (n of each), in place of the k-th mark; and how many came of each place."""
+    size, begin = np.ones(len(ids), np.int64), np.arange(len(ids))
+    hole, n = np.flatnonzero(ids == _EDGE), n.astype(np.int64)
+    size[hole], begin[hole] = n[gaps], len(ids) + (np.cumsum(n) - n)[gaps]
+    total = np.cumsum(size)
+    source = np.concatenate((ids, flat.astype(np.uint16)))
+    return source[np.repeat(begin - (total - size), size) + np.arange(int(size.sum()))], size
 
 
 _held: tuple[str, Table] | None = None
@@ -400,8 +401,13 @@ def _table(name: str, shared) -> Table:
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes of a line of decimal ids: its tokens' pieces, one after another."""
+    return F.when(ids == "", F.lit(b"")).otherwise(decode_tokens(F.split(ids, " ").cast("array<int>"), path))
+
+
+def decode_tokens(tokens: Column, path: str) -> Column:
+    """The same of a list of ids."""
     pieces = _strings(ranks(path).pieces)
-    return F.when(ids == "", F.lit(b"")).otherwise(F.encode(F.array_join(F.transform(F.split(ids, " ").cast("array<int>"), lambda i: F.get(pieces, i)), ""), "ISO-8859-1"))
+    return F.encode(F.array_join(F.transform(tokens, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
 
 
 def count(ids: Column) -> Column:

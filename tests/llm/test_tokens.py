@@ -284,3 +284,26 @@ def test_pair_encoding_of_odd_texts_equals_the_library(spark):
     got = {r["doc_id"]: (r["ids"], bytes(r["bytes"])) for r in coded.select("doc_id", "ids", bpe.decode(F.col("ids"), RANK).alias("bytes")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == (" ".join(map(str, lib.encode_ordinary(t))), t.encode()), repr(t)
+
+
+def test_words_outside_the_table_are_folded_where_they_are(spark, monkeypatch):
+    """No bucketed table, no join, no shuffle after the sample; the list of ids decodes as the line does."""
+    monkeypatch.setattr(storage, "bucketed", None)
+    rows = [(i, f"odd{i % 7} w{i} " * (i % 5) + "x" * (i % 90)) for i in range(300)]
+    df, lib = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), pair_library()
+    coded = bpe.encode(df, RANK, P.PATTERN, sample_docs=20, table_words=10)
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: (r["tokens"], r["ids"], bytes(r["b"])) for r in coded.withColumn("b", bpe.decode_tokens(F.col("tokens"), RANK)).collect()}
+    for i, t in rows:
+        ids = lib.encode_ordinary(t)
+        assert got[i] == (ids, " ".join(map(str, ids)), t.encode())
+
+
+def test_chunks_are_bounded_by_rows_and_bytes(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * (k * 7 % 90) for k in range(50)])], names=["doc_id", "t"])
+    for most, size in ((7, 1 << 20), (1 << 20, 100), (1 << 20, 1), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(bpe, "CHUNK_ROWS", most)
+        monkeypatch.setattr(bpe, "CHUNK_BYTES", size)
+        got = list(bpe._chunks(batch))
+        assert [r for c in got for r in c.to_pylist()] == batch.to_pylist()
+        assert all(0 < c.num_rows <= most and (c.num_rows == 1 or sum(map(len, c.column(1).to_pylist())) <= size) for c in got)
