@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import storage
 from lodestone.llm.words import CHUNK, UNKNOWN, classes, cuts, points, spelled
 
-SAMPLE_DOCS, TABLE_WORDS, TABLE_BYTES = 1 << 16, 1 << 18, 64
+SAMPLE_DOCS, TABLE_WORDS, TABLE_BYTES = 1 << 16, 1 << 19, 64
 HOT_WORDS = 1 << 14  #: longer words, up to LONG bytes, are in the table if they are more than one in so many of the sample's words
 CHUNK_ROWS, CHUNK_BYTES = 2048, 1 << 23  #: rows, and bytes of text beyond one row's, whose ids lie together and whose other words are folded together
 HELD = 1 << 17  #: words that a task counts before it hands their counts on
@@ -95,9 +95,13 @@ def fold(word: Column, r: Ranks) -> Column:
     return _let(tables, lambda q: F.when(F.octet_length(word) > LONG, _fold_blocks(word, q)).otherwise(_fold_plain(word, q)))
 
 
+def _rank(pair: Column, q: Column) -> Column:
+    """Of a pair (left * 2^16 + right) the merged token, or _NONE."""
+    return _let(pair, lambda k: F.least(F.lit(_NONE).cast("bigint"), F.get(q["table"], F.pmod(k * F.lit(_C) + F.get(q["shift"], F.pmod(k, F.lit(_P))) * F.lit(_D), F.lit(_S))).bitwiseXOR(k * F.lit(65536))))
+
+
 def _ranked(keys: Column, q: Column) -> Column:
-    """Of each pair (left * 2^16 + right) the merged token, or _NONE."""
-    return F.transform(keys, lambda k: F.least(F.lit(_NONE).cast("bigint"), F.get(q["table"], F.pmod(k * F.lit(_C) + F.get(q["shift"], F.pmod(k, F.lit(_P))) * F.lit(_D), F.lit(_S))).bitwiseXOR(k * F.lit(65536))))
+    return F.transform(keys, lambda k: _rank(k, q))
 
 
 def _bytes(word: Column, q: Column) -> Column:
@@ -110,29 +114,34 @@ def _neighbours(t: Column) -> Column:
 
 
 def _fold_plain(word: Column, q: Column) -> Column:
-    """Every merge makes the lists anew: tokens t between two edges, and r, the rank of each one's pair with the next; null when done.
+    """Every merge makes one list anew, of tokens between two edges, each one number: the rank of its pair with the next * 2^32
+    + its place at the start * 2^16 + its id. So the least number is the pair to merge: the first of those with the least rank."""
 
-    The place of the least rank comes with it: array_position leaves its loop by an exception.
-    """
-    edge, none = F.array(F.lit(_EDGE).cast("bigint")), F.lit(None).cast("array<bigint>")
-    start = _let(F.concat(edge, _bytes(word, q), edge), lambda t: F.struct(t.alias("t"), _ranked(_neighbours(t), q).alias("r")))
+    def of(n: int) -> Column:
+        return F.lit(n).cast("bigint")
 
-    def merge(acc: Column, _: Column) -> Column:
-        t, r = acc["t"], acc["r"]
+    def token(x: Column) -> Column:
+        return x.bitwiseAND(of(65535))
+
+    def first(t: Column) -> Column:
+        return F.transform(t, lambda x, i: _rank(x * F.lit(65536) + F.coalesce(F.get(t, i + 1), of(_EDGE)), q) * of(1 << 32) + i * of(65536) + x)
 
+    def merge(acc: Column, _: Column) -> Column:
         def with_least(least: Column) -> Column:
-            def at(x: Column) -> Column:
-                best, i = x["best"], x["i"]
-                pair = F.array(F.get(t, i - 2) * F.lit(65536) + best, best * F.lit(65536) + F.get(t, i + 1))
-                return F.struct(F.flatten(F.array(F.slice(t, F.lit(1), i - 1), F.array(best), F.slice(t, i + 2, F.size(t)))).alias("t"), F.flatten(F.array(F.slice(r, F.lit(1), i - 2), _ranked(pair, q), F.slice(r, i + 2, F.size(r)))).alias("r"))
+            def at(i: Column) -> Column:
+                best = F.shiftright(least, 32)
+                left = _let(F.get(acc, i - 2), lambda x: _rank(token(x) * F.lit(65536) + best, q) * of(1 << 32) + x.bitwiseAND(of((1 << 32) - 1)))
+                own = _rank(best * F.lit(65536) + token(F.get(acc, i + 1)), q) * of(1 << 32) + least.bitwiseAND(of(0xFFFF0000)) + best
+                return F.flatten(F.array(F.slice(acc, F.lit(1), i - 2), F.array(left, own), F.slice(acc, i + 2, F.size(acc))))
 
-            found = F.struct(F.shiftright(least, 16).alias("best"), (least.bitwiseAND(F.lit(65535)) + 1).cast("int").alias("i"))
-            return F.when(least >= _NONE << 16, F.struct(t.alias("t"), none.alias("r"))).otherwise(_let(found, at))
+            return F.when(least >= of(_NONE << 32), acc).otherwise(_let(F.array_position(acc, least).cast("int"), at))
 
-        return F.when(r.isNull(), acc).otherwise(_let(F.array_min(F.transform(r, lambda x, i: F.shiftleft(x, 16) + i)), with_least))
+        return _let(F.array_min(acc), with_least)
 
-    done = F.aggregate(F.array_repeat(F.lit(0), F.octet_length(word) - 1), start, merge)["t"]
-    return F.filter(done, lambda i: i != F.lit(_EDGE))
+    edge = F.array(of((_NONE << 32) + _EDGE))
+    start = _let(_bytes(word, q), lambda t: F.flatten(F.array(edge, first(t), edge)))
+    done = F.aggregate(F.array_repeat(F.lit(0), F.octet_length(word) - 1), start, merge)
+    return F.filter(F.transform(done, token), lambda i: i != F.lit(_EDGE))
 
 
 def _fold_blocks(word: Column, q: Column) -> Column:

@@ -259,6 +259,18 @@ def test_folds_of_words(spark, monkeypatch):
         assert got == {w: lib._encode_single_piece(w.encode()) for w in words}
 
 
+def test_a_merge_of_a_fold_makes_one_list_anew(spark):
+    """A word's ranks and tokens lie in one list: equal to the library for equal ranks side by side, and few steps a merge."""
+    lib = pair_library()
+    words = ["a", "aaaaaaaaa", "ababababab", " andonrethou", " dieenerachie", "ééééé", "\x00\x00\x00", "z" * 1024, "abc" * 341]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r["w"]: r["ids"] for r in df.select("w", bpe.fold(F.col("w"), bpe.ranks(RANK)).alias("ids")).collect()}
+    assert got == {w: lib._encode_single_piece(w.encode()) for w in words}
+    q = F.struct(*(F.array(F.lit(0).cast("bigint")).alias(n) for n in ("shift", "table", "first")))
+    plan = df.select(bpe._fold_plain(F.col("w"), q).alias("ids"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("slice(") == 2
+
+
 def test_texts_in_parts_keep_their_other_words(monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", 40)
     monkeypatch.setattr("lodestone.llm.words.CHUNK", 40)
